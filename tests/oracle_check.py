@@ -21,7 +21,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else ("f", round(v, 6))
+        return None if math.isnan(v) else ("f", round(v, 9))
     if isinstance(v, bool):
         return ("b", v)
     if isinstance(v, int):

@@ -86,7 +86,8 @@ def roll_z(
 
 
 def clip(x: str | Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(c(x), F.lit(hi)), F.lit(lo))
+    """Clamp; null stays null (``least`` and ``greatest`` alone would drop it)."""
+    return F.when(c(x).isNotNull(), F.greatest(F.least(c(x), F.lit(hi)), F.lit(lo)))
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:
@@ -109,3 +110,14 @@ def share(cond: Column) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
+
+
+def rn(x: str | Column, digits: int) -> Column:
+    """Round to few digits by way of nine, so that engines agree on decimal halves."""
+    return F.round(F.round(c(x).cast("double"), 9), digits) + F.lit(0.0)
+
+
+def with_scalar(df, one_row):
+    """Attaches the columns of a one-row aggregate by a broadcast equality join."""
+    left = df.withColumn("_one", F.lit(1))
+    return left.join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")

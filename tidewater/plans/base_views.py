@@ -67,3 +67,19 @@ SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date,
   floor(sum(CAST(round(o_totalprice*100) AS BIGINT))/100) AS value
 FROM orders GROUP BY 1, 2
 """)
+view("margin", """
+SELECT date, entity, CAST(CAST(sum(qty) OVER (PARTITION BY entity ORDER BY date) AS BIGINT) % 1000 + 50 AS DOUBLE) AS margin_balance FROM daily
+""")
+view("holders", """
+SELECT CAST(date_trunc('week', l_shipdate) AS DATE) + 4 AS data_date, l_suppkey AS entity, lv AS level,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS shares
+FROM (SELECT *, unnest([CAST(floor(round(l_discount*100)/2)+1 AS INTEGER), 17]) AS lv FROM lineitem) GROUP BY 1,2,3
+""")
+view("rev_m", """
+SELECT l_suppkey AS entity, CAST(year(l_shipdate)*12+month(l_shipdate)-1 AS INTEGER) AS m,
+  floor(sum(CAST(round(l_extendedprice*100) AS BIGINT))/100) AS revenue FROM lineitem GROUP BY 1,2
+""")
+view("revenue", """
+SELECT a.entity, a.m, printf('%04d%02d', a.m//12, a.m%12+1) AS year_month, a.revenue, (a.revenue/nullif(b.revenue,0)-1)*100 AS yoy_pct
+FROM rev_m a LEFT JOIN rev_m b ON a.entity=b.entity AND b.m=a.m-12
+""")

@@ -1,6 +1,6 @@
 """Imports every plan module so that its queries are registered."""
 
-from tidewater.plans import base_views, panel_plans  # noqa: F401
+from tidewater.plans import base_views, flow_plans, momentum_plans, panel_plans  # noqa: F401
 from tidewater.plans.registry import QUERIES, oracle_sql
 
 __all__ = ["QUERIES", "oracle_sql"]

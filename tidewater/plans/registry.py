@@ -20,7 +20,7 @@ def view(name: str, sql: str) -> None:
 
 
 def _uses(sql: str) -> list[str]:
-    words = set(re.findall(r"[a-z_0-9]+", sql))
+    words = set(re.findall(r"(?:from|join)\s+([a-z_0-9]+)", sql, re.IGNORECASE))
     return [v for v in VIEWS if v in words]
 
 

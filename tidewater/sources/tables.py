@@ -167,3 +167,36 @@ class Tables:
         return self.raw("orders").groupBy(
             F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("date")
         ).agg(F.floor(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100).cast("double").alias("value"))
+
+    @cached_property
+    def margin(self) -> DataFrame:
+        """date, entity, margin_balance: a bounded running balance."""
+        w = own_rows().rowsBetween(Window.unboundedPreceding, 0)
+        return self.daily.select(
+            "date", "entity", (F.sum("qty").over(w) % 1000 + 50).cast("double").alias("margin_balance")
+        )
+
+    @cached_property
+    def holders(self) -> DataFrame:
+        """data_date (week end), entity, level 1-6 plus the total level 17, shares."""
+        week = F.date_add(F.trunc(F.to_date("l_shipdate"), "week"), 4)
+        level = (F.floor(F.round(F.col("l_discount") * 100) / 2) + 1).cast("int")
+        return (
+            self.raw("lineitem")
+            .select(F.col("l_suppkey").alias("entity"), week.alias("data_date"),
+                    F.explode(F.array(level, F.lit(17))).alias("level"), F.col("l_quantity").cast("bigint").alias("q"))
+            .groupBy("data_date", "entity", "level").agg(F.sum("q").alias("shares"))
+        )
+
+    @cached_property
+    def revenue(self) -> DataFrame:
+        """entity, m (month index), year_month, revenue, yoy_pct: self join on the month a year before."""
+        d = F.to_date("l_shipdate")
+        m = F.year(d) * 12 + F.month(d) - 1
+        rev = self.raw("lineitem").groupBy(F.col("l_suppkey").alias("entity"), m.alias("m")).agg(
+            F.floor(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / 100).cast("double").alias("revenue"))
+        old = rev.select("entity", (F.col("m") + 12).alias("m"), F.col("revenue").alias("_o"))
+        ym = F.format_string("%04d%02d", F.floor(F.col("m") / 12), F.col("m") % 12 + 1)
+        return rev.join(old, ["entity", "m"], "left").select(
+            "entity", "m", ym.alias("year_month"), "revenue",
+            ((F.col("revenue") / F.nullif(F.col("_o"), F.lit(0.0)) - 1) * 100).alias("yoy_pct"))
