@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.exprs import clip, count_if, own_rows, rn, roll_avg, roll_z, running, share, with_scalar
+from tidewater.functions.exprs import clip, count_if, own_rows, rn, roll_avg, roll_z, running, share, with_scalar, with_whole_z
 from tidewater.operators.momentum import basket_position, window_return_vs_median
 from tidewater.operators.order import group_median
 from tidewater.operators.panel import clean_prices
@@ -102,7 +102,9 @@ SIGNALS = [f"{FLOW[x]}_{n}d" for x in NETS for n in (5, 20)] + [f"{MOM[x]}_momen
 def standardize(flows: DataFrame, cols: Sequence[str] = SIGNALS, window: int = 60, min_n: int = 30) -> DataFrame:
     """{c}_z: own-history z of every signal of a group; one sort for all columns."""
     w = own_rows("grp")
-    return flows.withColumns({f"{x}_z": roll_z(x, w, window, min_n) for x in cols})
+    ratio = [x for x in cols if "concentration" in x]
+    whole = [x for x in cols if x not in ratio]
+    return with_whole_z(flows, w, whole, window, min_n).withColumns({f"{x}_z": roll_z(x, w, window, min_n) for x in ratio})
 
 
 def rank_flows(flows: DataFrame, by: str = "net_flow_20d", prev: DataFrame | None = None, min_members: int = 1) -> DataFrame:

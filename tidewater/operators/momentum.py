@@ -94,9 +94,12 @@ def clipped_returns(prices: DataFrame, clip_pct: float = 10.0) -> DataFrame:
 
 
 def compound(df: DataFrame, keys: Sequence[str], r: str, out: str) -> DataFrame:
-    """100 x running product of (1 + r) in date order within keys."""
+    """100 x running product of (1 + r) in date order within keys, to nine decimals.
+
+    The rounding makes later threshold tests independent of summation order.
+    """
     w = running(Window.partitionBy(*keys).orderBy("date"))
-    return df.withColumn(out, F.exp(F.sum(F.log1p(r)).over(w)) * 100)
+    return df.withColumn(out, F.round(F.exp(F.sum(F.log1p(r)).over(w)) * 100, 9))
 
 
 def market_index(prices: DataFrame, clip_pct: float = 10.0) -> DataFrame:

@@ -74,11 +74,11 @@ def average_ranks(
     base, ks = _keys(df, keys)
     res = base
     for value, out in ranks.items():
-        table = rank_table(base, ks, value, out, "_n", method, descending)
-        res = res.drop("_n").join(table, [*ks, value], "left")
+        table = rank_table(base, ks, value, out, "_group_n", method, descending)
+        res = res.drop("_group_n").join(table, [*ks, value], "left")
     if n_out:
-        res = res.withColumn(n_out, F.col("_n"))
-    return res.drop("_n", *([] if keys else ["_all"]))
+        res = res.withColumn(n_out, F.col("_group_n"))
+    return res.drop("_group_n", *([] if keys else ["_all"]))
 
 
 def average_rank(

@@ -68,11 +68,11 @@ SELECT date, entity, r AS ret FROM (SELECT date, entity,
   lag(close) OVER (PARTITION BY entity ORDER BY date) AS pv FROM prices WHERE close>0) WHERE pv IS NOT NULL
 """)
 view("mkt_index", """
-SELECT date, mkt_ret, exp(sum(ln(1+mkt_ret)) OVER (ORDER BY date))*100 AS market_index FROM (SELECT date, avg(ret) AS mkt_ret FROM clipped GROUP BY 1)
+SELECT date, mkt_ret, round(exp(sum(ln(1+mkt_ret)) OVER (ORDER BY date))*100,9) AS market_index FROM (SELECT date, avg(ret) AS mkt_ret FROM clipped GROUP BY 1)
 """)
 view("baskets", """
 SELECT grp, date, basket_return_pct, members_priced,
-  exp(sum(ln(1+basket_return_pct/100)) OVER (PARTITION BY grp ORDER BY date))*100 AS basket_index
+  round(exp(sum(ln(1+basket_return_pct/100)) OVER (PARTITION BY grp ORDER BY date))*100,9) AS basket_index
 FROM (SELECT grp, date, avg(ret)*100 AS basket_return_pct, count(DISTINCT entity) AS members_priced
       FROM membership JOIN clipped USING (entity) GROUP BY 1,2)
 """)
