@@ -76,6 +76,9 @@ def block_bootstrap(
         .select(*ks, "_t", "_r", F.col("_e.p").alias("_i"), F.col("_e.sg").alias("_sg"))
     )
     prefix = pts.select(*ks, F.col("_i").cast("bigint").alias("_i"), "_s")
+    if block_len == 1:  # single values: one lookup per draw instead of two
+        draws = draws.where(F.col("_sg") > 0)
+        prefix = pts.select(*ks, F.col("_i").cast("bigint").alias("_i"), F.col("_v").alias("_s"))
     stats = (
         draws.join(prefix, [*ks, "_i"], "left")
         .groupBy(*ks, "_r")
