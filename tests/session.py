@@ -13,6 +13,7 @@ def make_session(cpus: str | None = None, parts: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

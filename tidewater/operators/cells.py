@@ -12,6 +12,7 @@ from tidewater.functions.exprs import own_rows, share, with_scalar
 from tidewater.operators.order import average_ranks, exact_quantiles, nearest_position
 from tidewater.operators.resample import block_bootstrap
 from tidewater.operators.stats import in_test_block, walk_forward_splits
+from tidewater.sources.staging import cut
 
 
 def block_snapshots(horizon: int, gap: int = 5) -> int:
@@ -33,6 +34,7 @@ def evaluate_cells(cells: DataFrame, horizons: Sequence[int], by: Sequence[str]
     """Per horizon x cell (x by): n, mean, median, win, date-mean delta against that
     date's population with a block interval, and the two half means."""
     keep = [*by, "date", "cell"]
+    cells = cut(cells.select(*keep, *[f"alpha{h}" for h in horizons]))
     pop_keys = [*by, "horizon", "date"]
     long = by_horizon(cells, horizons, keep)
     pop = long.groupBy(*pop_keys).agg(F.avg("y").alias("_pop"))
@@ -51,6 +53,7 @@ def evaluate_cells(cells: DataFrame, horizons: Sequence[int], by: Sequence[str]
 
 def evaluate_cells_by_regime(cells: DataFrame, horizons: Sequence[int], n_boot: int = 1000, seed: int = 42, min_dates: int = 30) -> DataFrame:
     """Delta against the date population, averaged by date within each regime."""
+    cells = cut(cells.select("date", "cell", "regime", *[f"alpha{h}" for h in horizons]))
     long = by_horizon(cells, horizons, ["date", "cell", "regime"])
     pop = long.groupBy("horizon", "date").agg(F.avg("y").alias("_pop"))
     k = ["horizon", "regime", "cell"]
@@ -63,6 +66,7 @@ def evaluate_cells_by_regime(cells: DataFrame, horizons: Sequence[int], n_boot:
 
 def walk_forward_cells(cells: DataFrame, horizons: Sequence[int], n_splits: int = 4, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """The cell evaluation on every test block of every horizon, in one job."""
+    cells = cut(cells.select("date", "cell", *[f"alpha{h}" for h in horizons]))
     arr = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(h + 1).alias("emb")) for h in horizons]))
     days = cells.select("date").distinct().select("date", arr.alias("x")).select("date", "x.*")
     splits = walk_forward_splits(days, ["horizon"], n_splits, 0.4, "emb")

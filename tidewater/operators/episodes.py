@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.exprs import count_if, own_rows, with_scalar
 from tidewater.operators.order import exact_quantiles, list_position
+from tidewater.sources.staging import cut
 
 
 def cooled_starts(cands: DataFrame, key: str, cooldown: int) -> DataFrame:
@@ -103,7 +104,7 @@ class Judge:
         self.size = size.select("max_eval", F.least(F.lit(warmup), F.col("top")).alias("first"))
         occ = ep.select(key, F.explode(F.sequence(F.col("e") + 1, F.col("e") + occupy)).alias("p"), F.lit(1).alias("o"), F.lit(None).cast("int").alias("e"))
         hit = ep.select(key, F.explode(F.sequence(F.col("e") - lead, F.col("e"))).alias("p"), F.lit(0).alias("o"), "e")
-        self.marks = occ.unionByName(hit).groupBy(key, "p").agg(F.max("o").alias("occ"), F.min("e").alias("nxt"))
+        self.marks = cut(occ.unionByName(hit).groupBy(key, "p").agg(F.max("o").alias("occ"), F.min("e").alias("nxt")))
         self.n_episodes = ep.agg(F.count(F.lit(1)).alias("n_episodes"))
         inside = with_scalar(self.marks, self.size).where((F.col("p") >= F.col("first")) & (F.col("p") <= F.col("max_eval")))
         used = inside.join(keys.select(key).distinct(), key, "left_semi").agg(
@@ -122,7 +123,7 @@ class Judge:
         return t.withColumn("hit", F.col("nxt").isNotNull()).withColumn("dist", F.col("nxt") - F.col("p"))
 
     def evaluate(self, triggers: DataFrame, by: Sequence[str] = ("job",)) -> DataFrame:
-        o = self.outcomes(triggers)
+        o = cut(self.outcomes(triggers).select(self.key, *by, "nxt", "hit", "dist"))
         s = o.groupBy(*by).agg(
             F.count(F.lit(1)).alias("n_triggers"), count_if(F.col("hit")).alias("hits"), count_if(~F.col("hit")).alias("false_positives"),
             F.countDistinct(F.when(F.col("hit"), F.struct(self.key, "nxt"))).alias("_cov"))

@@ -11,6 +11,7 @@ from tidewater.functions.exprs import clip, count_if, own_rows, rn, roll_avg, ro
 from tidewater.operators.momentum import basket_position, window_return_vs_median
 from tidewater.operators.order import group_median
 from tidewater.operators.panel import clean_prices
+from tidewater.sources.staging import cut
 
 NETS = ("total_net", "foreign_net", "trust_net")
 FLOW = {"total_net": "net_flow", "foreign_net": "foreign_flow", "trust_net": "trust_flow"}
@@ -57,7 +58,8 @@ def group_fund_flows(membership: DataFrame, flows: DataFrame, prices: DataFrame
     daily sum, so only group-day totals enter the windows.
     """
     days = numbered_days(flows)
-    fi = flows.join(F.broadcast(days), "date")
+    days = cut(days)
+    fi = cut(flows.join(F.broadcast(days), "date"))
     n_days = days.agg(F.count(F.lit(1)).alias("n_days"))
     vol = prices.select("date", "entity", F.col("volume").cast("bigint").alias("volume")) if prices is not None else None
     member_day = membership.join(fi.select("entity", "idx", *NETS), "entity")
@@ -134,7 +136,7 @@ def trend_score_series(prices: DataFrame, membership: DataFrame, baskets: DataFr
         "grp", "date",
         ((i > roll_avg(i, w, 20, 1)).cast("double") * 0.5 + (i > roll_avg(i, w, 60, 1)).cast("double") * 0.5).alias("c_ma"),
     )
-    px = member_trend_inputs(prices)
+    px = cut(member_trend_inputs(prices))
     mem = membership.join(px, "entity")
     med = group_median(px, ["date"], "ret_w", "_med")
     agg = mem.groupBy("grp", "date").agg(share(F.col("above")).alias("breadth"), F.max("ret_w").alias("_lead"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.exprs import own_rows, roll_avg, running, share
 from tidewater.operators.asof import roll_forward
 from tidewater.operators.order import exact_quantiles
+from tidewater.sources.staging import cut
 
 HORIZONS = (5, 10, 20, 40)
 
@@ -92,7 +93,7 @@ def build_price_panel(
     row are null (not fetched), never zero.
     """
     px = with_cumulative_dividends(clean_prices(prices), dividends)
-    panel = with_market_median(forward_levels(px, horizons), horizons)
+    panel = with_market_median(cut(forward_levels(px, horizons)), horizons)
     if flows is not None:
         mk = (
             flows.select("entity").distinct().withColumn("market", F.lit("all")) if market is None else market

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.staging import cut
+
 
 def hash_start(seed: Column, r: Column, b: Column, width: Column) -> Column:
     """Start of block ``b`` of replicate ``r``: uniform over ``width`` positions."""
@@ -47,7 +49,9 @@ def block_bootstrap(
         .withColumn("_i", F.row_number().over(w.orderBy("_o")) - 1)
         .withColumn("_t", F.count(F.lit(1)).over(w))
         .withColumn("_s", F.sum("_v").over(w.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_i", F.col("_i").cast("bigint"))
     )
+    pts = cut(pts)  # one row per key and date; its file size decides between broadcast and shuffle
     heads = pts.groupBy(*ks).agg(
         F.max("_t").alias("_t"), F.avg("_v").alias("mean"), F.max("_b").alias("_b")
     )
@@ -56,6 +60,7 @@ def block_bootstrap(
         heads.where(F.col("_t") >= 10)
         .withColumn("_nb", F.ceil(F.col("_t") / F.col("_len")))
         .withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+        .repartition(series.sparkSession.sparkContext.defaultParallelism, "_r")
         .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
         .withColumn("_start", hash_start(F.lit(seed), F.col("_r"), F.col("_k"), F.col("_t") - F.col("_len") + 1))
         .withColumn(
@@ -75,10 +80,10 @@ def block_bootstrap(
         )
         .select(*ks, "_t", "_r", F.col("_e.p").alias("_i"), F.col("_e.sg").alias("_sg"))
     )
-    prefix = pts.select(*ks, F.col("_i").cast("bigint").alias("_i"), "_s")
+    prefix = pts.select(*ks, "_i", "_s")
     if block_len == 1:  # single values: one lookup per draw instead of two
         draws = draws.where(F.col("_sg") > 0)
-        prefix = pts.select(*ks, F.col("_i").cast("bigint").alias("_i"), F.col("_v").alias("_s"))
+        prefix = pts.select(*ks, "_i", F.col("_v").alias("_s"))
     stats = (
         draws.join(prefix, [*ks, "_i"], "left")
         .groupBy(*ks, "_r")

@@ -8,6 +8,8 @@ Only a local session without that setting gets a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,7 @@ def stage_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-tidewater-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
@@ -37,6 +40,11 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """An intermediate that several later branches read: written once, not recomputed per branch."""
+    return write_stage(df, "cut")
+
+
 def staged(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     """The staged table ``name`` of ``root``, built on first use in this application."""
     key = (f"{spark.sparkContext.applicationId}:{root}", name)
