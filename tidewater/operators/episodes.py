@@ -109,11 +109,23 @@ class Judge:
         inside = with_scalar(self.marks, self.size).where((F.col("p") >= F.col("first")) & (F.col("p") <= F.col("max_eval")))
         used = inside.join(keys.select(key).distinct(), key, "left_semi").agg(
             count_if(F.col("occ") == 1).alias("n_occ"), count_if((F.col("occ") == 0) & F.col("nxt").isNotNull()).alias("n_hit"))
-        n_keys = keys.agg(F.countDistinct(key).alias("n_keys"))
-        b = with_scalar(with_scalar(used, n_keys), self.size)
+        self.n_keys = keys.agg(F.countDistinct(key).alias("n_keys"))
+        b = with_scalar(with_scalar(used, self.n_keys), self.size)
         elig = F.col("n_keys") * (F.col("max_eval") - F.col("first") + 1) - F.col("n_occ")
         self.base = b.select(F.when(elig > 0, F.col("n_hit") / elig).otherwise(F.lit(0.0)).alias("base_rate"), elig.alias("n_eligible"))
 
+    def base_by(self, labels: DataFrame) -> DataFrame:
+        """label, base_rate: the base rate over the days of each label."""
+        cal = self.calendar.join(F.broadcast(labels.select("date", "label")), "date", "left").select(
+            F.col("idx").cast("int").alias("p"), F.coalesce("label", F.lit("未標")).alias("label"))
+        cal = with_scalar(cal, self.size).where((F.col("p") >= F.col("first")) & (F.col("p") <= F.col("max_eval"))).select("p", "label")
+        days = with_scalar(cal.groupBy("label").agg(F.count(F.lit(1)).alias("n_days")), self.n_keys)
+        used = self.marks.join(F.broadcast(cal), "p").groupBy("label").agg(
+            count_if(F.col("occ") == 1).alias("n_occ"), count_if((F.col("occ") == 0) & F.col("nxt").isNotNull()).alias("n_hit"))
+        d = days.join(used, "label", "left")
+        elig = F.col("n_keys") * F.col("n_days") - F.coalesce("n_occ", F.lit(0))
+        return d.select("label", (F.coalesce("n_hit", F.lit(0)) / F.nullif(elig, F.lit(0))).alias("base_rate"))
+
     def outcomes(self, triggers: DataFrame) -> DataFrame:
         """Evaluable triggers with ``hit``, ``dist`` and the covered episode."""
         cal = self.calendar.select("date", F.col("idx").cast("int").alias("p"))

@@ -83,10 +83,10 @@ def src06(t):
     return d.select(*k, *[r6(x).alias(x) for x in ("net_margin_pct", "eps", "debt_ratio_pct", "roe_q_pct")])
 
 
-@query("src07_ratio_union", "SELECT strftime(date,'%Y-%m-%d') AS date, entity, CASE WHEN entity%2=0 THEN '上市' ELSE '上櫃' END AS market, pe, pbr FROM ratios WHERE pe IS NOT NULL OR pbr IS NOT NULL")
+@query("src07_ratio_union", "SELECT strftime(date,'%Y-%m-%d') AS date, entity, CASE WHEN b.grp='ASIA' THEN '上櫃' ELSE '上市' END AS market, pe, pbr FROM ratios JOIN broad b USING (entity) WHERE pe IS NOT NULL OR pbr IS NOT NULL")
 def src07(t):
-    r = t.ratios
-    return S.union_ratios(r.where("entity % 2 = 0"), r.where("entity % 2 <> 0")).select(iso("date").alias("date"), "entity", "market", "pe", "pbr")
+    otc = t.broad.where(F.col("grp") == "ASIA").select("entity")
+    return S.union_ratios(t.ratios.join(otc, "entity", "left_anti"), t.ratios.join(otc, "entity", "left_semi")).select(iso("date").alias("date"), "entity", "market", "pe", "pbr")
 
 
 @query("src08_sector_index_feed", "SELECT strftime(date,'%Y-%m-%d') AS date, grp AS index_name, count(*) AS close_index FROM flows JOIN broad USING (entity) GROUP BY 1,2")

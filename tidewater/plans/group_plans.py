@@ -327,8 +327,8 @@ def rec02(t):
     return with_scalar(s, exact_quantiles(j, [], "r", {"revenue_median": 0.5}).withColumn("revenue_median", r6("revenue_median")))
 
 
-view("ev_a", "SELECT entity, ex_date, cash FROM dividends WHERE cash%5<>0")
-view("ev_b", "SELECT entity, ex_date+CASE WHEN cash%7=0 THEN 2 ELSE 0 END AS ex_date, max(cash) AS cash FROM dividends WHERE cash%3<>0 GROUP BY 1,2")
+view("ev_a", "SELECT entity, ex_date, cash FROM dividends WHERE after_price IS NOT NULL")
+view("ev_b", "SELECT entity, ex_date+CASE WHEN cash<600 THEN 2 ELSE 0 END AS ex_date, max(cash) AS cash FROM dividends WHERE before_price>=15000 GROUP BY 1,2")
 
 
 @query("rec03_event_match", """
@@ -336,9 +336,9 @@ SELECT strftime(coalesce(a.ex_date,b.ex_date),'%Y-%m-%d') AS ex_date, coalesce(a
   CASE WHEN EXISTS (SELECT 1 FROM ev_b x WHERE x.entity=a.entity AND abs(x.ex_date-a.ex_date)<=3 AND NOT EXISTS (SELECT 1 FROM ev_a y WHERE y.entity=x.entity AND y.ex_date=x.ex_date)) THEN 'a_only_near' ELSE 'a_only' END ELSE 'b_only' END AS kind
 FROM ev_a a FULL JOIN ev_b b ON a.entity=b.entity AND a.ex_date=b.ex_date""")
 def rec03(t):
-    d = t.dividends.select("entity", "ex_date", "cash")
-    a = d.where(F.col("cash") % 5 != 0)
-    b = d.where(F.col("cash") % 3 != 0).groupBy("entity", F.when(F.col("cash") % 7 == 0, F.date_add("ex_date", 2)).otherwise(F.col("ex_date")).alias("ex_date")).agg(F.max("cash").alias("cash"))
+    d = t.dividends
+    a = d.where(F.col("after_price").isNotNull()).select("entity", "ex_date", "cash")
+    b = d.where(F.col("before_price") >= 15000).groupBy("entity", F.when(F.col("cash") < 600, F.date_add("ex_date", 2)).otherwise(F.col("ex_date")).alias("ex_date")).agg(F.max("cash").alias("cash"))
     return R.event_match(a, b).select(iso("ex_date").alias("ex_date"), "entity", "cash_a", "cash_b", "kind")
 
 

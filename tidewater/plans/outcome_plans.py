@@ -161,9 +161,9 @@ def out09(t):
 
 
 view("launch", f"""
-SELECT {_TAG.format('c.date')} AS week, c.entity, c.amount_m, CASE WHEN c.entity%20=0 THEN 'held' WHEN p.layer='core' THEN 'acted' WHEN p.entity IS NOT NULL THEN 'considered' WHEN c.entity%7=0 THEN 'watchlisted' ELSE 'never_surfaced' END AS status
+SELECT {_TAG.format('c.date')} AS week, c.entity, c.amount_m, CASE WHEN s.s_acctbal>8500 THEN 'held' WHEN p.layer='core' THEN 'acted' WHEN p.entity IS NOT NULL THEN 'considered' WHEN s.s_acctbal<1500 THEN 'watchlisted' ELSE 'never_surfaced' END AS status
 FROM ectx c JOIN (SELECT entity, date, (lead(close,11) OVER w-lead(close,1) OVER w+lead(cum_div,11) OVER w-lead(cum_div,1) OVER w)/lead(close,1) OVER w*100 AS r FROM px_div WINDOW w AS (PARTITION BY entity ORDER BY date)) f USING (entity, date)
-LEFT JOIN picks p ON p.data_date=c.date AND p.entity=c.entity WHERE c.date IN (SELECT date FROM weekly) AND r>=8 AND rp<=0 AND md<=10
+LEFT JOIN picks p ON p.data_date=c.date AND p.entity=c.entity LEFT JOIN supplier s ON s.s_suppkey=c.entity WHERE c.date IN (SELECT date FROM weekly) AND r>=8 AND rp<=0 AND md<=10
 """)
 
 
@@ -175,9 +175,9 @@ def out10(t):
     e = F.lead("close", 1).over(w)
     f = px.select("date", "entity", ((F.lead("close", 11).over(w) - e + F.lead("cum_div", 11).over(w) - F.lead("cum_div", 1).over(w)) / e * 100).alias("r"))
     la = ctx.join(f, ["date", "entity"]).where((F.col("r") >= 8) & (F.col("ret_pullback_pct") <= 0) & (F.col("ma_dist_pct") <= 10)).withColumn("week", week_tag("date"))
-    ents = t.raw("supplier").select(F.col("s_suppkey").alias("entity"))
+    ents = t.raw("supplier").select(F.col("s_suppkey").alias("entity"), "s_acctbal")
     p = picks_of(t)
-    x = O.launch_status(la, ents.where("entity % 20 = 0"), p.where("layer = 'core'"), p, ents.where("entity % 7 = 0"))
+    x = O.launch_status(la, ents.where("s_acctbal > 8500"), p.where("layer = 'core'"), p, ents.where("s_acctbal < 1500"))
     return O.launch_summary(x, 0.8)
 
 
@@ -230,9 +230,9 @@ def out15(t):
 # ------------------------------------------------------------- pick ranking
 
 view("pool", f"""
-SELECT {_TAG.format('s.date')} AS week, s.date, s.entity, s.grp, CASE WHEN s.entity%13=0 THEN 'holding' ELSE 'candidate' END AS source, s.ma60_dist_pct, s.trend_score, p.close, p.close*p.volume/1e6 AS amount_million, p.ma20_dist_pct,
+SELECT {_TAG.format('s.date')} AS week, s.date, s.entity, s.grp, CASE WHEN u.s_acctbal<300 THEN 'holding' ELSE 'candidate' END AS source, s.ma60_dist_pct, s.trend_score, p.close, p.close*p.volume/1e6 AS amount_million, p.ma20_dist_pct,
   CASE WHEN p.vol_ratio>3 THEN '過熱' ELSE '' END AS flags, abs(p.close/nullif(lc,0)-1)*100>9 AS price_discontinuity, l60
-FROM srows s JOIN (SELECT *, lag(close) OVER (PARTITION BY entity ORDER BY date) AS lc, min(close) OVER (PARTITION BY entity ORDER BY date ROWS 59 PRECEDING) AS l60 FROM panel0) p ON p.date=s.date AND p.entity=s.entity
+FROM srows s JOIN (SELECT *, lag(close) OVER (PARTITION BY entity ORDER BY date) AS lc, min(close) OVER (PARTITION BY entity ORDER BY date ROWS 59 PRECEDING) AS l60 FROM panel0) p ON p.date=s.date AND p.entity=s.entity JOIN supplier u ON u.s_suppkey=s.entity
 """)
 view("tbk", "SELECT grp, date, trend_rank, trend_n, (trend_rank*4+trend_n-1)//trend_n AS trend_bucket FROM (SELECT grp, date, rank() OVER (PARTITION BY date ORDER BY trend_score DESC) AS trend_rank, count(*) OVER (PARTITION BY date) AS trend_n FROM (SELECT DISTINCT grp, date, trend_score FROM srows WHERE trend_score IS NOT NULL))")
 view("gated", """
@@ -251,7 +251,8 @@ def pool_of(t):
         d = d.select(
             week_tag("date").alias("week"), "date", "entity", "grp", "ma60_dist_pct", "ma20_dist_pct", "trend_score", "close", "low_60d", (F.col("close") * F.col("volume") / 1e6).alias("amount_million"),
             F.when(F.col("vol_ratio") > 3, "過熱").otherwise("").alias("flags"), (F.abs(F.col("close") / F.nullif(F.col("lc"), F.lit(0.0)) - 1) * 100 > 9).alias("price_discontinuity"))
-        hold = d.where("entity % 13 = 0").withColumn("source", F.lit("holding"))
+        owned = t.raw("supplier").where("s_acctbal < 300").select(F.col("s_suppkey").alias("entity"))
+        hold = d.join(owned, "entity", "left_semi").withColumn("source", F.lit("holding"))
         pool = K.build_pool(hold, d.withColumn("source", F.lit("candidate")))
         tb = K.trend_buckets(srows_of(t).select("grp", "date", "trend_score").distinct(), ["date"], 4).drop("trend_score")
         g = pool.join(tb, ["grp", "date"], "left")
