@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 def roll_forward(
     events: DataFrame, rows: DataFrame, key: str, event_date: str, row_date: str, out: str
 ) -> DataFrame:
-    """Adds to each event the first row date at or after it (null if none)."""
+    """Adds to each event the first row date at or after it (null if none).
+
+    Reading backwards turns "first one ahead" into a running last value, which
+    is one step per row; a frame to the end of the partition is not.
+    """
     marks = rows.select(key, F.col(row_date).alias("_d"), F.col(row_date).alias("_row"), F.lit(1).alias("_k"))
     evs = events.withColumn("_d", F.col(event_date)).withColumn("_k", F.lit(0))
-    w = Window.partitionBy(key).orderBy("_d", "_k").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(key).orderBy(F.desc("_d"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     return (
         evs.unionByName(marks, allowMissingColumns=True)
-        .withColumn(out, F.first("_row", ignorenulls=True).over(w))
+        .withColumn(out, F.last("_row", ignorenulls=True).over(w))
         .where(F.col("_k") == 0)
         .drop("_d", "_k", "_row")
     )

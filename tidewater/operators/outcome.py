@@ -67,12 +67,11 @@ def todate_returns(picks: DataFrame, prices: DataFrame, dividends: DataFrame, me
 
     The path minimum is a suffix minimum per entity, so no pick is joined to its path.
     """
-    w = own_rows()
-    tail = w.rowsBetween(0, Window.unboundedFollowing)
+    tail = Window.partitionBy("entity").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
     px = with_cumulative_dividends(clean_prices(prices), dividends)
     d = px.select(
         "entity", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"), F.min("close").over(tail).alias("path_min"),
-        F.last("date").over(tail).alias("exit_date"), F.last("close").over(tail).alias("exit_price"), (F.last("cum_div").over(tail) - F.col("cum_div")).alias("cash"))
+        F.first("date").over(tail).alias("exit_date"), F.first("close").over(tail).alias("exit_price"), (F.first("cum_div").over(tail) - F.col("cum_div")).alias("cash"))
     e = entries(picks, prices, "data_date").join(d, ["entity", "entry_date"], "left")
     p = clean_prices(prices).select("date", "entity", "close")
     end = with_scalar(p, p.agg(F.max("date").alias("_z"))).where(F.col("date") == F.col("_z")).select("entity", F.col("close").alias("_x"))

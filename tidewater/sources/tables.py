@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.exprs import own_rows
+from tidewater.sources.staging import staged
 
 SMOOTH_ROWS = 20
 THEME_MIN_LINES = 20
@@ -30,6 +31,15 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
+        """One row per (entity, date), written once: every other view starts here."""
+        return staged(self.spark, self.root, "daily", self._daily)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        """date, entity, close, volume: close is the 20-row mean of daily mean price."""
+        return staged(self.spark, self.root, "prices", self._prices)
+
+    def _daily(self) -> DataFrame:
         q = F.col("l_quantity").cast("bigint")
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         flag, status = F.col("l_returnflag"), F.col("l_linestatus")
@@ -48,9 +58,7 @@ class Tables:
             .withColumn("raw", F.floor(F.col("cents") / (F.col("n_lines") * 100)))
         )
 
-    @cached_property
-    def prices(self) -> DataFrame:
-        """date, entity, close, volume: close is the 20-row mean of daily mean price."""
+    def _prices(self) -> DataFrame:
         w = own_rows().rowsBetween(-(SMOOTH_ROWS - 1), 0)
         return self.daily.select(
             "date",
