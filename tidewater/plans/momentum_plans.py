@@ -86,16 +86,16 @@ def index_of(t):
     return staged(t.spark, t.root, "market_index", lambda: M.market_index(t.prices))
 
 
-@query("mom06_market_index", "SELECT strftime(date,'%Y-%m-%d') AS date, round(mkt_ret,8)+0.0 AS mkt_ret, market_index FROM mkt_index")
+@query("mom06_market_index", "SELECT strftime(date,'%Y-%m-%d') AS date, round(mkt_ret,8)+0.0 AS mkt_ret, round(market_index*(1+1e-12),6) AS market_index FROM mkt_index")
 def mom06(t):
-    return index_of(t).select(iso("date").alias("date"), r6("mkt_ret", 8).alias("mkt_ret"), "market_index")
+    return index_of(t).select(iso("date").alias("date"), r6("mkt_ret", 8).alias("mkt_ret"), r6("market_index").alias("market_index"))
 
 
 @query("mom07_group_baskets", """
-SELECT grp, strftime(date,'%Y-%m-%d') AS date, round(basket_return_pct,6)+0.0 AS basket_return_pct, members_priced, basket_index FROM baskets""")
+SELECT grp, strftime(date,'%Y-%m-%d') AS date, round(basket_return_pct,6)+0.0 AS basket_return_pct, members_priced, round(basket_index*(1+1e-12),6) AS basket_index FROM baskets""")
 def mom07(t):
     return baskets_of(t).select("grp", iso("date").alias("date"), r6("basket_return_pct").alias("basket_return_pct"),
-                                "members_priced", "basket_index")
+                                "members_priced", r6("basket_index").alias("basket_index"))
 
 
 view("basket_pos", """
