@@ -18,11 +18,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import text_key, text_of, with_outputs
+from tidewater.llm.pretoken import Splitter
 
 CACHED_PIECES, CACHED_LENGTH = 150_000, 64
 
@@ -60,7 +60,7 @@ class Codec(dict):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.tokens = {r: t for t, r in self.rank.items()}
-        self.pattern = regex.compile(pattern)
+        self.splitter = Splitter(pattern)
         self.single = [bytes([b]) for b in range(256)]
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -71,13 +71,10 @@ class Codec(dict):
             self[piece] = ids
         return ids
 
-    def pieces(self, text: str) -> Iterable[str]:
-        return self.pattern.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.pattern.finditer(text))
-
     def encode(self, text: str) -> np.ndarray:
         if len(self) > CACHED_PIECES:
             self.clear()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pieces(text))), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.splitter.pieces(text))), np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -118,9 +115,9 @@ def boundaries(parts: DataFrame, path: str, pattern: str, size: int, overlap: in
 
     @F.pandas_udf("head array<int>, tail array<int>")
     def scan(bodies: pd.Series, last: pd.Series) -> pd.DataFrame:
-        p, heads, tails = codec(path, pattern).pattern, [], []
+        split, heads, tails = codec(path, pattern).splitter, [], []
         for body, end in zip(bodies, last):
-            starts = np.fromiter((m.start() for m in p.finditer(body)), np.int32)
+            starts = np.fromiter((m.start() for m in split.of(body).finditer(body)), np.int32)
             # up to two characters ahead decide a boundary: those nearer to a cut end aren't sure
             sure = starts if end else starts[starts <= len(body) - 2]
             heads.append(sure[sure < overlap])

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import text_of, with_outputs
+from tidewater.llm.pretoken import Splitter
 
 CACHED_PIECES, CACHED_LENGTH = 250_000, 64
 
@@ -43,7 +44,7 @@ class Counter(dict):
         self.letters = byte_letters()
         if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("a plain byte-level file is needed")
-        self.pattern = regex.compile(BYTE_LEVEL)
+        self.splitter = Splitter(BYTE_LEVEL)
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
@@ -76,8 +77,7 @@ class Counter(dict):
         return done
 
     def plain(self, text: str) -> int:
-        found = self.pattern.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.pattern.finditer(text))
-        return sum(map(self.__getitem__, found))
+        return sum(map(self.__getitem__, self.splitter.pieces(text)))
 
     def count(self, text: str) -> int:
         if len(self) > CACHED_PIECES:
