@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewater.llm import bloom_dedup, bloom_lm, byte_codec, hilbert_shards, hyper_language, license_scan, source_mix, token_count, weighted_minhash
+from tidewater.llm import bloom_dedup, bloom_lm, byte_codec, hilbert_shards, hyper_language, image_features, license_scan, source_mix, token_count, weighted_minhash
 from tidewater.llm.common import documents, fold_of
 
 
@@ -21,6 +21,13 @@ def op3_hilbert_shards(spark, sf_dir):
     return hilbert_shards.digest(documents(spark, sf_dir))
 
 
+def op4_image_features(spark, sf_dir):
+    """Pictures drawn from all vectors; edited copies of those whose id is divisible by 50 are looked for among them."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = image_features.pictures(vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", True)
+    return image_features.copies(asked, image_features.pictures(vectors, "vec_id", "embedding", False))
+
+
 def op5_bloom_lm(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", fold_of("doc_id", 10) == 0)
     return bloom_lm.score(docs, docs.where("not held_out"))
@@ -48,7 +55,7 @@ def op10_source_mix(spark, sf_dir):
     return source_mix.mix(documents(spark, sf_dir).select("doc_id", "source", "text"), carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_codec, op2_license_scan, op3_hilbert_shards, op5_bloom_lm, op6_hyper_language, op7_bloom_dedup, op8_token_count, op9_weighted_minhash, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_byte_codec, op2_license_scan, op3_hilbert_shards, op4_image_features, op5_bloom_lm, op6_hyper_language, op7_bloom_dedup, op8_token_count, op9_weighted_minhash, op10_source_mix)}
 
 ORACLES = {
     "op7_bloom_dedup": """
