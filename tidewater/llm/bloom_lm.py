@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import text_of
@@ -131,13 +131,18 @@ def train(training: DataFrame, bits: int, log_buckets: int, min_pairs: int) -> D
 class Model:
     """What the scoring tasks hold: the filter, and exact counts of the most frequent words."""
 
-    def __init__(self, blocks: dict[int, bytes], bits: int, log_buckets: int, head: np.ndarray, head_n: np.ndarray, total: int, distinct: int):
+    def __init__(self, rows, bits: int, log_buckets: int, total: int, distinct: int):
+        """rows: bucket, filter and the packed frequent words of each bucket, taken one at a time."""
         self.block, self.log_buckets = bits >> log_buckets, log_buckets
         self.bytes = np.zeros(bits >> 3, np.uint8)
-        for b, raw in blocks.items():
-            self.bytes[b * (self.block >> 3):(b + 1) * (self.block >> 3)] = np.frombuffer(raw, np.uint8)
-        order = np.argsort(head)
-        self.head, self.head_n, self.total, self.distinct = head[order], head_n[order], total, distinct
+        head, head_n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for r in rows:
+            self.bytes[r["bucket"] * (self.block >> 3):(r["bucket"] + 1) * (self.block >> 3)] = np.frombuffer(r["filter"], np.uint8)
+            head.append(np.frombuffer(r["head"], np.uint64))
+            head_n.append(np.frombuffer(r["head_n"], np.int64))
+        self.head, self.head_n, self.total, self.distinct = np.concatenate(head), np.concatenate(head_n), total, distinct
+        order = np.argsort(self.head)
+        self.head, self.head_n = self.head[order], self.head_n[order]
 
     def level(self, h: np.ndarray, kind: int) -> np.ndarray:
         """Level of each n-gram: membership is asked level by level until the first miss."""
@@ -173,6 +178,22 @@ class Model:
         return np.log10(np.where(base > 0, weight * both / np.where(base > 0, base, 1) + (1 - weight) * one, one))
 
 
+def frequent(least: int | None) -> tuple[Column, Column]:
+    """head, head_n: hashes and counts of a bucket's words that occur ``least`` times or more (None: of none), packed."""
+
+    @F.pandas_udf("head binary, head_n binary")
+    def packed(hashes: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, n in zip(hashes, counts):
+            h, n = np.asarray(h, np.int64), np.asarray(n, np.int64)
+            keep = n >= least if least is not None else np.zeros(len(n), bool)
+            out.append((h[keep].tobytes(), n[keep].tobytes()))
+        return pd.DataFrame(out, columns=["head", "head_n"])
+
+    p = packed("hashes", "counts")
+    return p["head"].alias("head"), p["head_n"].alias("head_n")
+
+
 def score(df: DataFrame, training: DataFrame, text: str = "text", bits: int = 1 << 28, log_buckets: int = 10, min_pairs: int = 2, weight: float = 0.6, head_words: int = 1_000_000, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns of every row (all but the text by default) with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -195,11 +216,7 @@ def score(df: DataFrame, training: DataFrame, text: str = "text", bits: int = 1
     ranked = by_count.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
     facts = ranked.agg(F.sum(F.col("n") * F.col("words")).alias("total"), F.sum("words").alias("distinct"), F.min(F.when(F.col("upto") <= head_words, F.col("n"))).alias("least")).first()
     total, distinct, least = facts["total"] or 0, facts["distinct"] or 0, facts["least"]
-    blocks = {r["bucket"]: bytes(r["filter"]) for r in model.select("bucket", "filter").toLocalIterator()}
-    keep = F.lit(False) if least is None else F.col("n") >= least
-    head = words.where(keep).toPandas()
-    held = spark.sparkContext.broadcast(Model(blocks, bits, log_buckets, head["hash"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), total, distinct))
-    del blocks, head
+    held = spark.sparkContext.broadcast(Model(model.select("bucket", "filter", *frequent(least)).toLocalIterator(), bits, log_buckets, total, distinct))
 
     @F.pandas_udf("n_tokens long, head_known long, head_sum double, score double, rare array<bigint>, rare_n array<bigint>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
