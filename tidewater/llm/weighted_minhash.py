@@ -26,6 +26,8 @@ from tidewater.sources.staging import write_stage
 
 WORDS = 5
 BANDS, ROWS = 10, 3
+#: Texts of a bucket up to which all its pairs are compared.
+SMALL = 8
 #: Counters of document frequency (hashed), in blocks.
 LOG_COUNTERS, LOG_BLOCK = 21, 15
 #: Draws of (r, log c, beta) that shingles pick from, and steps per unit of a log weight.
@@ -144,7 +146,7 @@ def shared_weights(spark: SparkSession, docs: DataFrame):
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """node, rank, sig of each distinct text with at least one word."""
+    """node, sig of each distinct text with at least one word."""
 
     @F.pandas_udf("array<int>")
     def drawn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -155,7 +157,7 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     d = docs.select("node", drawn("text").alias("sig")).where("sig is not null")
-    return d.groupBy("node").agg(F.first("sig").alias("sig")).withColumn("rank", F.xxhash64("node"))
+    return d.groupBy("node").agg(F.first("sig").alias("sig"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -186,46 +188,43 @@ def compared(pairs: DataFrame, sets: DataFrame, weights) -> DataFrame:
 def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
     """a, b, weighted, plain: links between distinct texts that join all near duplicates.
 
-    docs: node, text.  Round 1 compares every text with the first text (by a
-    fixed random order) of each of its buckets: at most one pair per text and
-    band, and the same leader mostly serves several bands.  Texts that neither
-    match it nor the last text go on in the same bucket, split further by one
-    more sample per round, until no bucket holds two: no bucket is cut short
-    and none is gathered in a task.
+    docs: node, text.  In a bucket of at most SMALL texts every pair is
+    compared.  In a larger one every text is compared with a leader; those that
+    match it are settled there, the others stay open.  Buckets with an open
+    text are split by one more sample and get another leader, which all texts
+    of the bucket can be, until they are small or nobody is open.  So pairs stay
+    in proportion to texts, no bucket is cut short and none is gathered in a task.
     """
     spark = docs.sparkSession
     weights = shared_weights(spark, docs)
     sig = write_stage(signatures(docs, weights), "signatures")
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
-    members = sig.select("node", "rank", F.posexplode(bands).alias("band", "key"))
-
-    def bucketed(m: DataFrame) -> DataFrame:
-        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "node"))["node"].alias("lead"), F.max(F.struct("rank", "node"))["node"].alias("tail")).where("n > 1")
-        return m.join(of_key, ["band", "key"])
-
-    state = write_stage(bucketed(members), "buckets")
-    involved = state.select("node").distinct()
-    sets = write_stage(shingle_sets(docs.join(involved, "node", "left_semi").dropDuplicates(["node"])), "sets")
-    links = compared_links = None
-    pos = 0
-    pairs = state.where("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+    def bucketed(m: DataFrame, turn: int) -> DataFrame:
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node"))["node"]
+        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some"), first.alias("lead")).where("n > 1 and some").drop("some")
+        return write_stage(m.join(of_key, ["band", "key"]), "buckets")
+
+    state = bucketed(sig.select("node", F.lit(True).alias("open"), F.posexplode(bands).alias("band", "key")), 0)
+    sets = write_stage(shingle_sets(docs.join(state.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])), "sets")
+    links, turn = None, 0
     while True:
+        few = state.where(F.col("n") <= SMALL)
+        other = few.select("band", "key", F.col("node").alias("other"), F.col("open").alias("other_open"))
+        pairs = few.join(other, ["band", "key"]).where("node < other and (open or other_open)").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        large = state.where(F.col("n") > SMALL)
+        pairs = pairs.union(large.where("open and node != lead").select(F.least("node", "lead"), F.greatest("node", "lead"))).distinct()
         done = write_stage(compared(pairs, sets, weights), "pairs")
         good = done.where((F.col("weighted") >= threshold) | (F.col("plain") >= threshold))
         links = good if links is None else links.unionByName(good)
-        compared_links = done if compared_links is None else compared_links.unionByName(done)
-        matched = good.select(F.col("a").alias("node"), F.col("b").alias("other")).union(good.select(F.col("b"), F.col("a")))
-        rest = state.where("n > 2 and node != lead and node != tail" if pos else "n > 2 and node != lead")
-        for end in ("lead", "tail") if pos else ("lead",):
-            rest = rest.join(matched.select("node", F.col("other").alias(end)), ["node", end], "left_anti")
-        more = F.get("s", (F.col("band") * ROWS + ROWS + pos) % (BANDS * ROWS))
-        rest = rest.join(sig.select("node", F.col("sig").alias("s")), "node").select("node", "rank", "band", F.xxhash64("key", more).alias("key"))
-        pos += 1
-        state = write_stage(bucketed(rest), "buckets")
+        matched = good.select(F.col("a").alias("node"), F.col("b").alias("lead")).union(good.select("b", "a")).distinct().withColumn("settled", F.lit(True))
+        more = F.get("sig", (F.col("band") * ROWS + ROWS + turn) % (BANDS * ROWS))
+        rest = large.join(matched, ["node", "lead"], "left").withColumn("open", F.col("open") & F.col("settled").isNull() & (F.col("node") != F.col("lead")))
+        rest = rest.join(sig, "node").select("node", "open", "band", F.xxhash64("key", more).alias("key"))
+        turn += 1
+        state = bucketed(rest, turn)
         if state.isEmpty():
-            return links
-        pairs = state.where("node != lead").select("node", F.col("lead").alias("other")).union(state.where("node != tail and lead != tail").select("node", F.col("tail").alias("other")))
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            return links.select("a", "b", "weighted", "plain").distinct()
 
 
 def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
