@@ -153,17 +153,13 @@ def cluster_exposure(holdings: DataFrame, clusters: DataFrame) -> DataFrame:
     return with_scalar(g, n).withColumn("share", F.round(sh, 3)).withColumn("flagged", (F.col("n_held") > F.col("max_count")) | (sh > F.col("max_share"))).drop("_n")
 
 
-def correlation_edges(prices: DataFrame, holdings: DataFrame, window: int, min_overlap: int, threshold: float, max_holdings: int = 2000) -> DataFrame:
+def correlation_edges(prices: DataFrame, holdings: DataFrame, window: int, min_overlap: int, threshold: float) -> DataFrame:
     """Pairs of *held* names whose last-window returns correlate at least at the threshold.
 
-    The result is defined on pairs of one portfolio.  A portfolio is a short
-    list; its length is checked, because every pair of it is an answer.
+    The result is defined on pairs of one portfolio: every pair of it is an answer.
     """
     held = cut(holdings.select("entity").distinct())
-    n = held.count()
-    if n > max_holdings:
-        raise ValueError(f"{n} holdings; a correlation table is meant for one portfolio of at most {max_holdings}")
-    r = clipped_returns(prices.join(F.broadcast(held), "entity", "left_semi"))
+    r = clipped_returns(prices.join(held, "entity", "left_semi"))
     w = Window.partitionBy("entity").orderBy(F.desc("date"))
     r = cut(r.withColumn("_b", F.row_number().over(w)).where(F.col("_b") <= window).select("entity", "date", "ret"))
     a, b = r.select("date", F.col("entity").alias("a"), F.col("ret").alias("x")), r.select("date", F.col("entity").alias("b"), F.col("ret").alias("y"))
@@ -174,11 +170,11 @@ def correlation_edges(prices: DataFrame, holdings: DataFrame, window: int, min_o
     return g.where((F.col("n") >= min_overlap) & (F.abs("rho") >= threshold))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reached): min-label rounds, written out each round."""
     e = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     lab = cut(e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = e.join(lab, e.b == lab.node).groupBy("a").agg(F.min("component").alias("_m"))
         nxt = lab.join(near, lab.node == near.a, "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"))
         nxt = nxt.join(nxt.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left").select(
@@ -187,4 +183,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         if nxt.exceptAll(lab).isEmpty():
             return nxt
         lab = nxt
-    raise RuntimeError("components did not settle; raise max_rounds")

@@ -15,7 +15,8 @@ from tidewater.operators.panel import clean_prices, with_cumulative_dividends
 # fixed patterns: labels and day counts are masked, then the first number after a break sign is the price
 STOP_MASK = r"(?:MA|Ma|ma)\s*\d+|low_?\d+|\d+\s*日|\d+(?:\.\d+)?\s*%|\bT[1-9]\b"
 STOP_PRICE = r"(?:破|<|＜)[^0-9]*?(\d+(?:\.\d+)?)"
-LAYER_ORDER = {"core": 0, "analyst": 0, "opportunity": 1, "watch": 2}
+# fixed values: rank of each layer; other names rank 9 before and 3 after, like an absent one
+LAYER_ORDER = {"core": 0, "analyst": 1, "opportunity": 1, "pool": 2}
 
 
 def stop_price(text: Column) -> Column:
@@ -140,7 +141,7 @@ def week_over_week(picks: DataFrame) -> DataFrame:
     weeks = picks.select("week").distinct().select("week", F.lead("week").over(Window.orderBy("week")).alias("to_week"))
     nxt = picks.select(F.col("week").alias("to_week"), "entity", F.col("layer").alias("to_layer"))
     j = picks.join(F.broadcast(weeks), "week").where(F.col("to_week").isNotNull()).join(nxt, ["to_week", "entity"], "left")
-    worse = F.coalesce(order[F.col("to_layer")], F.lit(3)) > order[F.col("layer")]
+    worse = F.coalesce(order[F.col("to_layer")], F.lit(3)) > F.coalesce(order[F.col("layer")], F.lit(9))
     return j.where(worse).select(F.col("week").alias("from_week"), "to_week", "entity", F.col("layer").alias("from_layer"), F.coalesce("to_layer", F.lit("absent")).alias("to_layer"))
 
 

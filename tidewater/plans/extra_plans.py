@@ -260,7 +260,7 @@ def str02(t):
 
     def latest(batch, batch_id):
         one = batch.groupBy("day", "user_id", "event_type").agg(F.max("event_id").alias("event_id")).select("user_id", "event_type", "event_id", "day")
-        T.upsert_batch(f"{base}/out", "day", ["day", "user_id", "event_type"])(one, batch_id)
+        T.upsert_batch(f"{base}/out", "day", ["day", "user_id", "event_type"], ["event_id"])(one, batch_id)
 
     for i in (1, 2):
         ev.writeStream.foreachBatch(latest).option("checkpointLocation", f"{base}/c{i}").trigger(availableNow=True).start().awaitTermination()

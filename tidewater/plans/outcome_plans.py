@@ -1,5 +1,7 @@
 """Outcome, ledger and pick-ranking queries."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tidewater.sources.staging import staged
 
 _TAG = "isoyear({0})||'-W'||lpad(weekofyear({0})::VARCHAR,2,'0')"
 view("picks", f"""
-SELECT {_TAG.format('date')} AS week, date AS data_date, entity, close, k, CASE WHEN k<=2 THEN 'core' WHEN k<=4 THEN 'opportunity' ELSE 'watch' END AS layer, CASE WHEN k>4 THEN 'r'||(entity%3) END AS reason,
+SELECT {_TAG.format('date')} AS week, date AS data_date, entity, close, k, CASE WHEN k<=2 THEN 'core' WHEN k<=3 THEN 'analyst' WHEN k<=4 THEN 'opportunity' ELSE 'pool' END AS layer, CASE WHEN k>4 THEN 'r'||(entity%3) END AS reason,
   CASE WHEN k=6 THEN '未定' ELSE '收盤確認跌破 MA60 '||CAST(floor(close*0.97::DOUBLE) AS BIGINT)||'、隔日未收復出場' END AS stop, m.grp
 FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY vol_ratio DESC, entity) AS k FROM panel0 WHERE date IN (SELECT date FROM weekly) AND vol_ratio IS NOT NULL) LEFT JOIN membership m USING (entity) WHERE k<=6
 """)
@@ -29,7 +31,7 @@ def picks_of(t):
         d = panel_of(t).where(F.col("vol_ratio").isNotNull()).join(F.broadcast(P.weekly_dates(t.prices).select("date")), "date", "left_semi")
         d = d.withColumn("k", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("vol_ratio"), "entity"))).where(F.col("k") <= 6)
         stop = F.when(F.col("k") == 6, "未定").otherwise(F.concat(F.lit("收盤確認跌破 MA60 "), F.floor(F.col("close") * 0.97).cast("string"), F.lit("、隔日未收復出場")))
-        layer = F.when(F.col("k") <= 2, "core").when(F.col("k") <= 4, "opportunity").otherwise("watch")
+        layer = F.when(F.col("k") <= 2, "core").when(F.col("k") <= 3, "analyst").when(F.col("k") <= 4, "opportunity").otherwise("pool")
         reason = F.when(F.col("k") > 4, F.concat(F.lit("r"), (F.col("entity") % 3).cast("string")))
         d = d.select(week_tag("date").alias("week"), F.col("date").alias("data_date"), "entity", "close", "k", layer.alias("layer"), reason.alias("reason"), stop.alias("stop"))
         return d.join(t.membership, "entity", "left")
@@ -134,7 +136,7 @@ def out06b(t):
 
 @query("out07_week_over_week", """
 SELECT p.week AS from_week, w.nw AS to_week, p.entity, p.layer AS from_layer, coalesce(n.layer,'absent') AS to_layer FROM picks p JOIN (SELECT week, lead(week) OVER (ORDER BY week) AS nw FROM (SELECT DISTINCT week FROM picks)) w USING (week)
-LEFT JOIN picks n ON n.week=w.nw AND n.entity=p.entity WHERE w.nw IS NOT NULL AND coalesce(CASE n.layer WHEN 'core' THEN 0 WHEN 'opportunity' THEN 1 WHEN 'watch' THEN 2 END,3) > CASE p.layer WHEN 'core' THEN 0 WHEN 'opportunity' THEN 1 ELSE 2 END""")
+LEFT JOIN picks n ON n.week=w.nw AND n.entity=p.entity WHERE w.nw IS NOT NULL AND coalesce(CASE n.layer WHEN 'core' THEN 0 WHEN 'analyst' THEN 1 WHEN 'opportunity' THEN 1 WHEN 'pool' THEN 2 END,3) > CASE p.layer WHEN 'core' THEN 0 WHEN 'analyst' THEN 1 WHEN 'opportunity' THEN 1 WHEN 'pool' THEN 2 ELSE 9 END""")
 def out07(t):
     return O.week_over_week(picks_of(t))
 
@@ -186,7 +188,7 @@ def out11(t):
     """Writes all weeks, rewrites the same weeks again: partitions are replaced, never doubled."""
     from tidewater.sources.staging import stage_dir
 
-    path = f"{stage_dir(t.spark)}/ledger-{abs(hash((t.root, 'ledger')))}"
+    path = f"{stage_dir(t.spark)}/ledger-{uuid.uuid4().hex}"
     rows = picks_of(t).select("entity", "layer", "week")
     O.upsert_partitions(rows, path, "week")
     O.upsert_partitions(rows.where(F.col("week") >= "1998"), path, "week")

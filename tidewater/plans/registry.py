@@ -48,7 +48,7 @@ def _assemble(sql: str) -> str:
         visit(v)
     if not order:
         return sql
-    head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order)
+    head = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head},\n{body[15:]}"

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -46,23 +47,27 @@ def light_stream(scores: DataFrame, green_max: float, red_min: float, band: floa
         fold, "series_id string, ts timestamp, seq bigint, color string", "color string", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batch(path: str, part: str, keys: Sequence[str]):
-    """foreachBatch writer: replaces rows by key inside the touched partitions only.
+def upsert_batch(path: str, part: str, keys: Sequence[str], by: Sequence[str]):
+    """foreachBatch writer: one row per key, the one largest in ``by`` (then in the other columns), inside the touched partitions only.
 
     The merged partitions are written aside first, because a job must not read
-    the files it overwrites.  A replayed batch leaves the table unchanged.
+    the files it overwrites.  A replayed or late batch leaves the table right:
+    the largest row wins whatever the order of batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = cut(batch.dropDuplicates(list(keys)))
+        rest = [*by, *[c for c in batch.columns if c not in keys and c not in by]]
+        new = cut(batch)
         try:
             old = spark.read.schema(batch.schema).parquet(path)
-        except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only a missing table is a first batch
+                raise
             old = new.limit(0)
-        touched = F.broadcast(new.select(part).distinct())
-        keep = old.join(touched, part, "left_semi").join(new.select(*keys), list(keys), "left_anti")
-        merged = write_stage(keep.select(*batch.columns).unionByName(new), "merge")
+        both = old.join(new.select(part).distinct(), part, "left_semi").select(*batch.columns).unionByName(new)
+        best = both.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_best")).select(*keys, "_best.*")
+        merged = write_stage(best.select(*batch.columns), "merge")
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
     return write
