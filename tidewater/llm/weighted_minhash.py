@@ -28,6 +28,8 @@ WORDS = 5
 BANDS, ROWS = 10, 3
 #: Texts of a bucket up to which all its pairs are compared.
 SMALL = 8
+#: Leaders of a larger bucket, and samples more by which it is split for the next round.
+LEADERS, SPLIT = 4, 2
 #: Counters of document frequency (hashed), in blocks.
 LOG_COUNTERS, LOG_BLOCK = 21, 15
 #: Draws of (r, log c, beta) that shingles pick from, and steps per unit of a log weight.
@@ -189,10 +191,10 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
     """a, b, weighted, plain: links between distinct texts that join all near duplicates.
 
     docs: node, text.  In a bucket of at most SMALL texts every pair is
-    compared.  In a larger one every text is compared with a leader; those that
-    match it are settled there, the others stay open.  Buckets with an open
-    text are split by one more sample and get another leader, which all texts
-    of the bucket can be, until they are small or nobody is open.  So pairs stay
+    compared.  In a larger one every text is compared with LEADERS of them;
+    those that match one are settled there, the others stay open.  Buckets with
+    an open text are split by SPLIT more samples and get other leaders, which
+    all texts of the bucket can be, until they are small or nobody is open.  So pairs stay
     in proportion to texts, no bucket is cut short and none is gathered in a task.
     """
     spark = docs.sparkSession
@@ -201,8 +203,8 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
 
     def bucketed(m: DataFrame, turn: int) -> DataFrame:
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node"))["node"]
-        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some"), first.alias("lead")).where("n > 1 and some").drop("some")
+        first = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "node").alias("rank"), "node"))["node"] for i in range(LEADERS)]
+        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some"), F.array_distinct(F.array(*first)).alias("leads")).where("n > 1 and some").drop("some")
         return write_stage(m.join(of_key, ["band", "key"]), "buckets")
 
     state = bucketed(sig.select("node", F.lit(True).alias("open"), F.posexplode(bands).alias("band", "key")), 0)
@@ -213,14 +215,16 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
         other = few.select("band", "key", F.col("node").alias("other"), F.col("open").alias("other_open"))
         pairs = few.join(other, ["band", "key"]).where("node < other and (open or other_open)").select(F.col("node").alias("a"), F.col("other").alias("b"))
         large = state.where(F.col("n") > SMALL)
-        pairs = pairs.union(large.where("open and node != lead").select(F.least("node", "lead"), F.greatest("node", "lead"))).distinct()
+        asked = large.where("open").select("node", "band", "key", F.explode("leads").alias("lead")).where("node != lead")
+        pairs = pairs.union(asked.select(F.least("node", "lead"), F.greatest("node", "lead"))).distinct()
         done = write_stage(compared(pairs, sets, weights), "pairs")
         good = done.where((F.col("weighted") >= threshold) | (F.col("plain") >= threshold))
         links = good if links is None else links.unionByName(good)
-        matched = good.select(F.col("a").alias("node"), F.col("b").alias("lead")).union(good.select("b", "a")).distinct().withColumn("settled", F.lit(True))
-        more = F.get("sig", (F.col("band") * ROWS + ROWS + turn) % (BANDS * ROWS))
-        rest = large.join(matched, ["node", "lead"], "left").withColumn("open", F.col("open") & F.col("settled").isNull() & (F.col("node") != F.col("lead")))
-        rest = rest.join(sig, "node").select("node", "open", "band", F.xxhash64("key", more).alias("key"))
+        matched = good.select(F.col("a").alias("node"), F.col("b").alias("lead")).union(good.select("b", "a"))
+        settled = asked.join(matched, ["node", "lead"], "left_semi").select("node", "band", "key").distinct().withColumn("settled", F.lit(True))
+        more = [F.get("sig", (F.col("band") * ROWS + ROWS + turn * SPLIT + i) % (BANDS * ROWS)) for i in range(SPLIT)]
+        rest = large.join(settled, ["node", "band", "key"], "left").withColumn("open", F.col("open") & F.col("settled").isNull() & ~F.array_contains("leads", F.col("node")))
+        rest = rest.join(sig, "node").select("node", "open", "band", F.xxhash64("key", *more).alias("key"))
         turn += 1
         state = bucketed(rest, turn)
         if state.isEmpty():
