@@ -192,7 +192,7 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
 
     docs: node, text.  In a bucket of at most SMALL texts every pair is
     compared.  In a larger one every text is compared with LEADERS of them;
-    those that match one are settled there, the others stay open.  Buckets with
+    those in one class with one by now are settled there, the others stay open.  Buckets with
     an open text are split by SPLIT more samples and get other leaders, which
     all texts of the bucket can be, until they are small or nobody is open.  So pairs stay
     in proportion to texts, no bucket is cut short and none is gathered in a task.
@@ -220,8 +220,9 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
         done = write_stage(compared(pairs, sets, weights), "pairs")
         good = done.where((F.col("weighted") >= threshold) | (F.col("plain") >= threshold))
         links = good if links is None else links.unionByName(good)
-        matched = good.select(F.col("a").alias("node"), F.col("b").alias("lead")).union(good.select("b", "a"))
-        settled = asked.join(matched, ["node", "lead"], "left_semi").select("node", "band", "key").distinct().withColumn("settled", F.lit(True))
+        label = components(links)
+        near = asked.join(label, "node").join(label.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead").where("label = lead_label")
+        settled = near.select("node", "band", "key").distinct().withColumn("settled", F.lit(True))
         more = [F.get("sig", (F.col("band") * ROWS + ROWS + turn * SPLIT + i) % (BANDS * ROWS)) for i in range(SPLIT)]
         rest = large.join(settled, ["node", "band", "key"], "left").withColumn("open", F.col("open") & F.col("settled").isNull() & ~F.array_contains("leads", F.col("node")))
         rest = rest.join(sig, "node").select("node", "open", "band", F.xxhash64("key", *more).alias("key"))
