@@ -100,7 +100,7 @@ def weight_table(frequency: np.ndarray, n: int) -> np.ndarray:
 @lru_cache(maxsize=1)
 def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     g = np.random.default_rng(20_240_601)
-    return g.gamma(2.0, 1.0, DRAWS), np.log(g.gamma(2.0, 1.0, DRAWS)), g.random(DRAWS)
+    return tuple(d.astype(np.float32) for d in (g.gamma(2.0, 1.0, DRAWS), np.log(g.gamma(2.0, 1.0, DRAWS)), g.random(DRAWS)))
 
 
 @lru_cache(maxsize=1)
@@ -112,11 +112,11 @@ def samples(s: np.ndarray, log_weights: np.ndarray) -> np.ndarray:
     """BANDS*ROWS consistent samples of one multiset: 32-bit hashes of (shingle, step)."""
     r, log_c, beta = draws()
     u, tf = np.unique(s, return_counts=True)
-    log_s = log_weights[u & np.uint32((1 << LOG_COUNTERS) - 1)] / STEPS + np.rint(np.log(tf) * STEPS) / STEPS
+    log_s = (log_weights[u & np.uint32((1 << LOG_COUNTERS) - 1)] / STEPS + np.rint(np.log(tf) * STEPS) / STEPS).astype(np.float32)
     wide = mix(u.astype(np.uint64))
-    best, out = np.full(len(factors()), np.inf), np.zeros(len(factors()), np.uint64)
+    best, out = np.full(len(factors()), np.inf, np.float32), np.zeros(len(factors()), np.uint64)
     for lo in range(0, len(u), 2048):
-        pick = ((wide[lo:lo + 2048, None] * factors()[None, :]) >> np.uint64(48)).astype(np.int64)
+        pick = ((wide[lo:lo + 2048, None] * factors()[None, :]) >> np.uint64(48)).astype(np.intp)
         rr, bb = r[pick], beta[pick]
         step = np.floor(log_s[lo:lo + 2048, None] / rr + bb)
         log_a = log_c[pick] - rr * (step - bb) - rr
@@ -187,8 +187,26 @@ def compared(pairs: DataFrame, sets: DataFrame, weights) -> DataFrame:
     return p.select("a", "b", of("set_a", "set_b").alias("s")).select("a", "b", "s.weighted", "s.plain")
 
 
-def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
-    """a, b, weighted, plain: links between distinct texts that join all near duplicates.
+def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label of all links so far, from the labels before and the new links.
+
+    Only links between different classes are followed, so that later rounds,
+    whose links mostly lie within one class, end after one look.
+    """
+    if labels is None:
+        return components(links)
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+    ends = [F.coalesce(f"of_{end}", end).alias(end) for end in ("a", "b")]
+    between = write_stage(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(*ends).where("a != b").distinct(), "between")
+    if between.isEmpty():
+        return labels
+    up = components(between)
+    old = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return write_stage(old.unionByName(up.join(labels, "node", "left_anti")), "labels")
+
+
+def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, labels): a, b, weighted, plain between distinct texts, and node, label of the classes they join.
 
     docs: node, text.  In a bucket of at most SMALL texts every pair is
     compared.  In a larger one every text is compared with LEADERS of them;
@@ -209,7 +227,8 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
 
     state = bucketed(sig.select("node", F.lit(True).alias("open"), F.posexplode(bands).alias("band", "key")), 0)
     sets = write_stage(shingle_sets(docs.join(state.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])), "sets")
-    links, turn = None, 0
+    links = label = None
+    turn = 0
     while True:
         few = state.where(F.col("n") <= SMALL)
         other = few.select("band", "key", F.col("node").alias("other"), F.col("open").alias("other_open"))
@@ -220,7 +239,7 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
         done = write_stage(compared(pairs, sets, weights), "pairs")
         good = done.where((F.col("weighted") >= threshold) | (F.col("plain") >= threshold))
         links = good if links is None else links.unionByName(good)
-        label = components(links)
+        label = merged_labels(label, good)
         near = asked.join(label, "node").join(label.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead").where("label = lead_label")
         settled = near.select("node", "band", "key").distinct().withColumn("settled", F.lit(True))
         more = [F.get("sig", (F.col("band") * ROWS + ROWS + turn * SPLIT + i) % (BANDS * ROWS)) for i in range(SPLIT)]
@@ -229,7 +248,7 @@ def verified_links(docs: DataFrame, threshold: float) -> DataFrame:
         turn += 1
         state = bucketed(rest, turn)
         if state.isEmpty():
-            return links.select("a", "b", "weighted", "plain").distinct()
+            return links.select("a", "b", "weighted", "plain").distinct(), label
 
 
 def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -248,8 +267,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold
     """
     slim = df.select(F.col(id_col).alias("id"), text_of(text).alias("text"))
     docs = slim.select(text_key(F.col("text")).alias("node"), "text")
-    links = write_stage(verified_links(docs, threshold), "near")
-    label = components(links)
+    links, label = verified_links(docs, threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = slim.select("id", text_key(F.col("text")).alias("node"))
     rows = rows.join(label.join(degree, "node"), "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
