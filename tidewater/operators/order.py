@@ -16,17 +16,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def cells_per_fold(df: DataFrame) -> int:
-    """Finer cells for larger inputs, from the size the optimizer expects.
 
-    Any value gives the same result; a larger input needs more cells so that
-    no single cell becomes a large sort.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 16 if size < 1 << 32 else 256 if size < 1 << 40 else 4096
+#: Cells per factor e of a value: one spans a thousandth of it, and a group has at most some 70,000.
+PER_FOLD = 1024
 
 
-def order_cell(v: Column, per_fold: int) -> Column:
+def order_cell(v: Column, per_fold: int = PER_FOLD) -> Column:
     """Monotone integer cell of a value: log-spaced, symmetric around zero."""
     v = v.cast("double")
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * F.lit(1e6)) * F.lit(float(per_fold)))
@@ -39,14 +34,14 @@ def _keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def rank_table(
-    base: DataFrame, ks: Sequence[str], value: str, out: str, n_out: str, method: str, descending: bool, per_fold: int
+    base: DataFrame, ks: Sequence[str], value: str, out: str, n_out: str, method: str, descending: bool
 ) -> DataFrame:
     """One row per distinct (keys, value) with its rank and the group size."""
     vals = (
         base.where(F.col(value).isNotNull())
         .groupBy(*ks, value)
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cell", order_cell(F.col(value), per_fold))
+        .withColumn("_cell", order_cell(F.col(value)))
     )
     w_cells = Window.partitionBy(*ks).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (
@@ -80,9 +75,8 @@ def average_ranks(
     """
     base, ks = _keys(df, keys)
     res = base
-    per_fold = cells_per_fold(base)
     for value, out in ranks.items():
-        table = rank_table(base, ks, value, out, "_group_n", method, descending, per_fold)
+        table = rank_table(base, ks, value, out, "_group_n", method, descending)
         res = res.drop("_group_n").join(table, [*ks, value], "left")
     if n_out:
         res = res.withColumn(n_out, F.col("_group_n"))
@@ -139,7 +133,7 @@ def exact_quantiles(
     base, ks = _keys(df, keys)
     rows = base.where(F.col(value).isNotNull()).select(
         *ks, F.col(value).cast("double").alias("_v")
-    ).withColumn("_cell", order_cell(F.col("_v"), cells_per_fold(base)))
+    ).withColumn("_cell", order_cell(F.col("_v")))
     w = Window.partitionBy(*ks)
     cells = (
         rows.groupBy(*ks, "_cell")

@@ -36,16 +36,33 @@ def trend_score(index: DataFrame, ma_windows: Sequence[int] = (20, 60, 120)) ->
     return d.select("date", F.when(F.col(f"m{ws[-1]}").isNotNull(), score).alias("trend_score"))
 
 
-def breadth_score(prices: DataFrame, index: DataFrame, ma: int = 60, position: int = 120, min_priced: int = 200) -> DataFrame:
-    b = above_ma_share(prices, ma)
+def index_position(index: DataFrame, position: int = 120) -> DataFrame:
+    """date, pos: where the index stands between its lowest and highest of ``position`` days."""
     f = day_window().rowsBetween(-(position - 1), 0)
     lo, hi = F.min("market_index").over(f), F.max("market_index").over(f)
     pos = F.when(hi > lo, (F.col("market_index") - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(F.lit(0.5))
-    i = index.select("date", F.when(F.count("market_index").over(f) >= 2, pos).alias("pos"))
-    j = i.join(b, "date", "left")
-    base = 2 * F.col("frac_above_ma") - 1
-    full = F.when(F.col("pos").isNotNull(), (base + (2 * F.col("pos") - 1)) / 2.0).otherwise(base)
-    return j.select("date", F.when(F.col("n_priced") >= min_priced, full).alias("breadth_score"), "frac_above_ma", "n_priced")
+    return index.select("date", F.when(F.count("market_index").over(f) >= 2, pos).alias("pos"))
+
+
+def breadth_from(frac: Column, n_priced: Column, pos: Column, min_priced: int) -> Column:
+    base = 2 * frac - 1
+    return F.when(n_priced >= min_priced, F.when(pos.isNotNull(), (base + (2 * pos - 1)) / 2.0).otherwise(base))
+
+
+def breadth_score(prices: DataFrame, index: DataFrame, ma: int = 60, position: int = 120, min_priced: int = 200) -> DataFrame:
+    j = index_position(index, position).join(above_ma_share(prices, ma), "date", "left")
+    return j.select("date", breadth_from(F.col("frac_above_ma"), F.col("n_priced"), F.col("pos"), min_priced).alias("breadth_score"), "frac_above_ma", "n_priced")
+
+
+def latest_scores(prices: DataFrame, flows: DataFrame, index: DataFrame, ma: int = 60, min_priced: int = 200, saturate: float = 1e8) -> DataFrame:
+    """The three sub-scores on the last market day; each entity counts in breadth with its own last row, traded that day or not."""
+    d = index_position(index).join(trend_score(index), "date").join(flow_score(flows, index, saturate=saturate), "date")
+    d = with_scalar(d, d.agg(F.max("date").alias("_m"))).where(F.col("date") == F.col("_m"))
+    own = prices.where(F.col("close") > 0).select("entity", "date", "close", roll_avg("close", own_rows(), ma).alias("ma"))
+    last = own.groupBy("entity").agg(F.max_by(F.struct("close", "ma"), "date").alias("l")).where("l.ma is not null")
+    last = last.agg(F.avg((F.col("l.close") > F.col("l.ma")).cast("double")).alias("frac"), F.count(F.lit(1)).alias("n_priced"))
+    breadth = breadth_from(F.col("frac"), F.col("n_priced"), F.col("pos"), min_priced)
+    return with_scalar(d, last).select("date", "trend_score", breadth.alias("breadth_score"), "flow_score")
 
 
 def flow_score(flows: DataFrame, calendar: DataFrame, windows: Sequence[int] = (5, 20), saturate: float = 1e8) -> DataFrame:

@@ -7,12 +7,14 @@ from tidewater.operators import cells as C
 from tidewater.operators import flows as W
 from tidewater.operators import momentum as M
 from tidewater.operators import panel as P
+from tidewater.operators import valuation as V
 from tidewater.operators.order import exact_quantiles
 from tidewater.plans.flow_plans import gflows_of, lifted, panel_mh, trend_of
 from tidewater.plans.panel_plans import panel_of
 from tidewater.plans.regime_plans import regime_of
 from tidewater.plans.registry import query, view
 from tidewater.plans.stats_plans import boot_views, split_views
+from tidewater.plans.valuation_plans import MINP, legs_sql
 from tidewater.sources.staging import staged
 
 HS = (10, 20, 40)
@@ -182,14 +184,16 @@ def cel07(t):
     return cell_out(C.evaluate_cells(C.top_share(d, "chg"), HS))
 
 
-view("vg_rows", "SELECT p.date, p.entity, alpha10, alpha20, alpha40, pbr FROM panel0 p JOIN ratios USING (date, entity) WHERE p.date IN (SELECT date FROM weekly)")
-view("vg_cells", "SELECT * FROM (SELECT *, CASE WHEN rank() OVER (PARTITION BY date ORDER BY pbr DESC)<=ceil(count(*) OVER (PARTITION BY date)*0.2::DOUBLE) THEN 'cheap' WHEN rank() OVER (PARTITION BY date ORDER BY pbr)<=ceil(count(*) OVER (PARTITION BY date)*0.2::DOUBLE) THEN 'rich' END AS cell FROM vg_rows) WHERE cell IS NOT NULL")
+view("vg_rows", "SELECT g.date, g.entity, p.alpha10, p.alpha20, p.alpha40, g.composite FROM (" + legs_sql("legsw_in", "date, entity") + ") g JOIN panel0 p ON p.date=g.date AND p.entity=g.entity WHERE g.composite IS NOT NULL")
+view("vg_cells", "SELECT * FROM (SELECT *, CASE WHEN rank() OVER (PARTITION BY date ORDER BY composite DESC)<=ceil(count(*) OVER (PARTITION BY date)*0.2::DOUBLE) THEN 'cheap' WHEN rank() OVER (PARTITION BY date ORDER BY composite)<=ceil(count(*) OVER (PARTITION BY date)*0.2::DOUBLE) THEN 'rich' END AS cell FROM vg_rows) WHERE cell IS NOT NULL")
 
 
 @query("cel08_valuation_cells", cell_sql("c8", "vg_cells", HS))
 def cel08(t):
-    d = panel_of(t).select("date", "entity", *_AL).join(t.ratios.select("date", "entity", "pbr"), ["date", "entity"]).join(F.broadcast(P.weekly_dates(t.prices).select("date")), "date", "left_semi")
-    return cell_out(C.evaluate_cells(C.two_tails(d, "pbr"), HS))
+    """The fifth of names furthest below their composite reference price against the fifth furthest above."""
+    gaps = V.gap_panel(t.ratios, t.prices, P.weekly_dates(t.prices), t.membership, t.broad, MINP).select("date", "entity", "composite").where("composite is not null")
+    d = panel_of(t).select("date", "entity", *_AL).join(gaps, ["date", "entity"])
+    return cell_out(C.evaluate_cells(C.two_tails(d, "composite"), HS))
 
 
 view("combo", "SELECT a.date, a.entity, a.alpha10, a.alpha20, a.alpha40, CASE WHEN a.cell='hit' AND b.cell='hit' THEN 'both_hit' WHEN b.cell='hit' THEN 'a_only_hit' WHEN a.cell='hit' THEN 'b_only_hit' ELSE 'neither' END AS cell FROM mo_cells a JOIN rot_cells b USING (date, entity)")

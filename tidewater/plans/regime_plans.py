@@ -42,10 +42,16 @@ def regime_of(t):
 _RS = ["trend_score", "breadth_score", "flow_score"]
 
 
-@query("reg01_sub_scores", "SELECT strftime(date,'%Y-%m-%d') AS date, " + ", ".join(f"round({x},6)+0.0 AS {x}" for x in _RS) + " FROM rg_all WHERE date=(SELECT max(date) FROM rg_all)")
+view("rg_last", """
+SELECT avg((close>ma)::INT) AS frac, count(*) AS n_priced FROM (SELECT close, CASE WHEN count(*) OVER w>=60 THEN avg(close) OVER w END AS ma, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS k FROM prices WHERE close>0
+  WINDOW w AS (PARTITION BY entity ORDER BY date ROWS 59 PRECEDING)) WHERE k=1 AND ma IS NOT NULL
+""")
+
+
+@query("reg01_sub_scores", "SELECT strftime(date,'%Y-%m-%d') AS date, " + ", ".join(f"round({x},6)+0.0 AS {x}" for x in _RS) + """ FROM (SELECT t.date, trend_score, CASE WHEN n_priced>=5 THEN CASE WHEN c>=2 THEN (2*frac-1+(2*(CASE WHEN hi>lo THEN (market_index-lo)/(hi-lo) ELSE 0.5 END)-1))/2.0::DOUBLE ELSE 2*frac-1 END END AS breadth_score,
+  (SELECT arg_max(flow_score, f.date) FROM rg_flow f WHERE f.date<=(SELECT max(date) FROM rg_trend)) AS flow_score FROM rg_trend t CROSS JOIN rg_last WHERE t.date=(SELECT max(date) FROM rg_trend))""")
 def reg01(t):
-    r = regime_of(t)
-    return with_scalar(r, r.agg(F.max("date").alias("_m"))).where(F.col("date") == F.col("_m")).select(iso("date").alias("date"), *[r6(x).alias(x) for x in _RS])
+    return R.latest_scores(t.prices, t.flows, index_of(t), min_priced=5, saturate=_SAT).select(iso("date").alias("date"), *[r6(x).alias(x) for x in _RS])
 
 
 @query("reg03_regime_history", "SELECT strftime(date,'%Y-%m-%d') AS date, regime_label, round(regime_score,6)+0.0 AS regime_score, " + ", ".join(f"round({x},6)+0.0 AS {x}" for x in _RS) + " FROM regime")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _DONE: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def stage_dir(spark: SparkSession) -> str:
@@ -36,6 +37,7 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once and returns the table read back."""
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,5 +56,14 @@ def staged(spark: SparkSession, root: str, name: str, build) -> DataFrame:
 
 
 def forget() -> None:
-    """Drops the index of staged tables (after the source tables have changed)."""
+    """Drops the index of staged tables and deletes the folders this application wrote, on whatever file system they are.
+
+    For use between independent queries, or after the source tables have
+    changed; results that still read a staged table must be taken before.
+    """
     _DONE.clear()
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        if spark.sparkContext._jsc is not None:  # a stopped session has no file system to ask
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
