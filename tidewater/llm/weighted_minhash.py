@@ -26,7 +26,7 @@ from tidewater.sources.staging import write_stage
 
 WORDS = 5
 BANDS, ROWS = 10, 3
-#: Texts of a bucket up to which all its pairs are compared.
+#: Open texts of a bucket up to which each of them is compared with the whole bucket.
 SMALL = 8
 #: Leaders of a larger bucket, and samples more by which it is split for the next round.
 LEADERS, SPLIT = 4, 2
@@ -208,12 +208,12 @@ def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(links, labels): a, b, weighted, plain between distinct texts, and node, label of the classes they join.
 
-    docs: node, text.  In a bucket of at most SMALL texts every pair is
-    compared.  In a larger one every text is compared with LEADERS of them;
-    those in one class with one by now are settled there, the others stay open.  Buckets with
-    an open text are split by SPLIT more samples and get other leaders, which
-    all texts of the bucket can be, until they are small or nobody is open.  So pairs stay
-    in proportion to texts, no bucket is cut short and none is gathered in a task.
+    docs: node, text.  All texts of a bucket are open at first.  Where at most
+    SMALL are open, each is compared with the whole bucket, so pairs stay below
+    SMALL times its texts.  Elsewhere the open ones are compared with LEADERS
+    texts; those in one class with one of them by now are settled there.  What
+    has open texts left is split by SPLIT more samples and gets other leaders,
+    until nobody is open.  No bucket is cut short and none is gathered in a task.
     """
     spark = docs.sparkSession
     weights = shared_weights(spark, docs)
@@ -222,7 +222,7 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
 
     def bucketed(m: DataFrame, turn: int) -> DataFrame:
         first = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "node").alias("rank"), "node"))["node"] for i in range(LEADERS)]
-        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some"), F.array_distinct(F.array(*first)).alias("leads")).where("n > 1 and some").drop("some")
+        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"), F.array_distinct(F.array(*first)).alias("leads")).where("n > 1 and n_open > 0")
         return write_stage(m.join(of_key, ["band", "key"]), "buckets")
 
     state = bucketed(sig.select("node", F.lit(True).alias("open"), F.posexplode(bands).alias("band", "key")), 0)
@@ -230,10 +230,9 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     links = label = None
     turn = 0
     while True:
-        few = state.where(F.col("n") <= SMALL)
+        few, large = state.where(F.col("n_open") <= SMALL), state.where(F.col("n_open") > SMALL)
         other = few.select("band", "key", F.col("node").alias("other"), F.col("open").alias("other_open"))
-        pairs = few.join(other, ["band", "key"]).where("node < other and (open or other_open)").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        large = state.where(F.col("n") > SMALL)
+        pairs = few.where("open").join(other, ["band", "key"]).where("node < other or (node != other and not other_open)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         asked = large.where("open").select("node", "band", "key", F.explode("leads").alias("lead")).where("node != lead")
         pairs = pairs.union(asked.select(F.least("node", "lead"), F.greatest("node", "lead"))).distinct()
         done = write_stage(compared(pairs, sets, weights), "pairs")
