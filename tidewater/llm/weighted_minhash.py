@@ -20,16 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import text_key, text_of
-from tidewater.llm.components import components
+from tidewater.llm.components import components, few_components
 from tidewater.llm.hashed_words import NO_WORD, batches_of, mix, word_hashes
 from tidewater.sources.staging import write_stage
 
 WORDS = 5
 BANDS, ROWS = 10, 3
-#: Open texts of a bucket up to which each of them is compared with the whole bucket.
-SMALL = 8
-#: Leaders of a larger bucket, and samples more by which it is split for the next round.
-LEADERS, SPLIT = 4, 2
+#: Open texts of a bucket up to which each of them is compared with the whole bucket: in the first round, later.
+SMALL = 8, 16
+#: Leaders of a larger bucket in the first round and later, and samples more by which it is split for the next round.
+LEADERS, SPLIT = (4, 8), 2
+#: New links between classes up to which one task joins them; more are joined by rounds of shuffles.
+FEW_LINKS = 10_000
 #: Counters of document frequency (hashed), in blocks.
 LOG_COUNTERS, LOG_BLOCK = 21, 15
 #: Draws of (r, log c, beta) that shingles pick from, and steps per unit of a log weight.
@@ -198,9 +200,10 @@ def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
     ends = [F.coalesce(f"of_{end}", end).alias(end) for end in ("a", "b")]
     between = write_stage(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(*ends).where("a != b").distinct(), "between")
-    if between.isEmpty():
+    n = between.count()
+    if not n:
         return labels
-    up = components(between)
+    up = write_stage(few_components(between), "up") if n <= FEW_LINKS else components(between)
     old = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     return write_stage(old.unionByName(up.join(labels, "node", "left_anti")), "labels")
 
@@ -208,12 +211,14 @@ def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(links, labels): a, b, weighted, plain between distinct texts, and node, label of the classes they join.
 
-    docs: node, text.  All texts of a bucket are open at first.  Where at most
-    SMALL are open, each is compared with the whole bucket, so pairs stay below
-    SMALL times its texts.  Elsewhere the open ones are compared with LEADERS
-    texts; those in one class with one of them by now are settled there.  What
-    has open texts left is split by SPLIT more samples and gets other leaders,
-    until nobody is open.  No bucket is cut short and none is gathered in a task.
+    docs: node, text.  Only links between classes are looked for.  In a bucket
+    the texts outside its most frequent class are open, in the first round all.
+    Where at most SMALL are open, each is compared with all of other classes in
+    the bucket, so pairs stay below SMALL times its texts.  Elsewhere LEADERS
+    of the open ones are so compared and then done, and with the classes that
+    these links make the bucket is looked at again, split by SPLIT more
+    samples, until nobody is open.  No bucket is cut short and none is gathered
+    in a task.
     """
     spark = docs.sparkSession
     weights = shared_weights(spark, docs)
@@ -221,31 +226,37 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
 
     def bucketed(m: DataFrame, turn: int) -> DataFrame:
-        first = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "node").alias("rank"), "node"))["node"] for i in range(LEADERS)]
-        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"), F.array_distinct(F.array(*first)).alias("leads")).where("n > 1 and n_open > 0")
-        return write_stage(m.join(of_key, ["band", "key"]), "buckets")
-
-    state = bucketed(sig.select("node", F.lit(True).alias("open"), F.posexplode(bands).alias("band", "key")), 0)
+        """m: node, label, done, band, key -> with open, n_open and leads, of the buckets with open texts."""
+        if turn:
+            of_label = m.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+            m = m.join(of_label.groupBy("band", "key").agg(F.max(F.struct("n", "label"))["label"].alias("top")), ["band", "key"])
+            m = m.withColumn("open", ~F.col("done") & (F.col("label") != F.col("top"))).drop("top")
+        else:
+            m = m.withColumn("open", F.lit(True))
+        ranked = [F.struct(F.xxhash64(F.lit(turn), F.lit(i), "node").alias("rank"), "node", "label") for i in range(LEADERS[turn > 0])]
+        first = [F.min(F.when(F.col("open"), r)) for r in ranked]
+        of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"), F.array_distinct(F.transform(F.array(*first), lambda r: F.struct(r["node"].alias("node"), r["label"].alias("label")))).alias("leads"))
+        return write_stage(m.join(of_key.where("n > 1 and n_open > 0").drop("n"), ["band", "key"]), "buckets")
+
+    state = bucketed(sig.select("node", F.col("node").alias("label"), F.lit(False).alias("done"), F.posexplode(bands).alias("band", "key")), 0)
     sets = write_stage(shingle_sets(docs.join(state.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])), "sets")
     links = label = None
     turn = 0
     while True:
-        few, large = state.where(F.col("n_open") <= SMALL), state.where(F.col("n_open") > SMALL)
-        other = few.select("band", "key", F.col("node").alias("other"), F.col("open").alias("other_open"))
-        pairs = few.where("open").join(other, ["band", "key"]).where("node < other or (node != other and not other_open)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        asked = large.where("open").select("node", "band", "key", F.explode("leads").alias("lead")).where("node != lead")
-        pairs = pairs.union(asked.select(F.least("node", "lead"), F.greatest("node", "lead"))).distinct()
+        few, large = state.where(F.col("n_open") <= SMALL[turn > 0]), state.where(F.col("n_open") > SMALL[turn > 0])
+        other = few.select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("open").alias("other_open"))
+        pairs = few.where("open").join(other, ["band", "key"]).where("label != other_label and (node < other or not other_open)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        asked = large.select("node", "label", F.explode("leads").alias("lead")).where("label != lead.label")
+        pairs = pairs.union(asked.select(F.least("node", "lead.node"), F.greatest("node", "lead.node"))).distinct()
         done = write_stage(compared(pairs, sets, weights), "pairs")
         good = done.where((F.col("weighted") >= threshold) | (F.col("plain") >= threshold))
         links = good if links is None else links.unionByName(good)
         label = merged_labels(label, good)
-        near = asked.join(label, "node").join(label.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead").where("label = lead_label")
-        settled = near.select("node", "band", "key").distinct().withColumn("settled", F.lit(True))
+        rest = large.select("node", "band", "key", (F.col("done") | F.array_contains("leads.node", F.col("node"))).alias("done"))
         more = [F.get("sig", (F.col("band") * ROWS + ROWS + turn * SPLIT + i) % (BANDS * ROWS)) for i in range(SPLIT)]
-        rest = large.join(settled, ["node", "band", "key"], "left").withColumn("open", F.col("open") & F.col("settled").isNull() & ~F.array_contains("leads", F.col("node")))
-        rest = rest.join(sig, "node").select("node", "open", "band", F.xxhash64("key", *more).alias("key"))
+        rest = rest.join(sig, "node").select("node", "band", F.xxhash64("key", *more).alias("key"), "done")
         turn += 1
-        state = bucketed(rest, turn)
+        state = bucketed(rest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), turn)
         if state.isEmpty():
             return links.select("a", "b", "weighted", "plain").distinct(), label
 
