@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from tests.session import make_session
 from tidewater.llm import bloom_dedup, bloom_lm, byte_codec, hilbert_shards, hyper_language, image_features, license_scan, source_mix, token_count, weighted_minhash
+from tidewater.llm.components import components, few_components
 from tidewater.llm.hashed_words import NO_WORD, word_hashes
 
 MULTI, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -213,6 +214,14 @@ def test_weighted_minhash_classes(spark):
     assert weighted_minhash.classes(d.limit(0)).count() == 0
 
 
+def test_few_components(spark):
+    links = spark.createDataFrame([(b"c", b"b"), (b"b", b"a"), (b"e", b"d"), (b"d", b"e"), (b"f", b"f")], "a binary, b binary").repartition(3)
+    want = {(b"a", b"a"), (b"b", b"a"), (b"c", b"a"), (b"d", b"d"), (b"e", b"d"), (b"f", b"f")}
+    for how in (few_components, components):
+        assert {(bytes(x.node), bytes(x.label)) for x in how(links).collect()} == want
+    assert few_components(links.limit(0)).count() == 0
+
+
 def test_consistent_samples_follow_similarity():
     table = np.zeros(1 << weighted_minhash.LOG_COUNTERS, np.int16)
     g = np.random.default_rng(8)

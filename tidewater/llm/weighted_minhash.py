@@ -28,8 +28,8 @@ WORDS = 5
 BANDS, ROWS = 10, 3
 #: Open texts of a bucket up to which each of them is compared with the whole bucket: in the first round, later.
 SMALL = 8, 16
-#: Leaders of a larger bucket in the first round and later, and samples more by which it is split for the next round.
-LEADERS, SPLIT = (4, 8), 2
+#: Leaders of a larger bucket, and samples more by which it is split for the next round.
+LEADERS, SPLIT = 4, 2
 #: New links between classes up to which one task joins them; more are joined by rounds of shuffles.
 FEW_LINKS = 10_000
 #: Counters of document frequency (hashed), in blocks.
@@ -233,7 +233,7 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
             m = m.withColumn("open", ~F.col("done") & (F.col("label") != F.col("top"))).drop("top")
         else:
             m = m.withColumn("open", F.lit(True))
-        ranked = [F.struct(F.xxhash64(F.lit(turn), F.lit(i), "node").alias("rank"), "node", "label") for i in range(LEADERS[turn > 0])]
+        ranked = [F.struct(F.xxhash64(F.lit(turn), F.lit(i), "node").alias("rank"), "node", "label") for i in range(LEADERS)]
         first = [F.min(F.when(F.col("open"), r)) for r in ranked]
         of_key = m.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"), F.array_distinct(F.transform(F.array(*first), lambda r: F.struct(r["node"].alias("node"), r["label"].alias("label")))).alias("leads"))
         return write_stage(m.join(of_key.where("n > 1 and n_open > 0").drop("n"), ["band", "key"]), "buckets")
@@ -246,7 +246,8 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         few, large = state.where(F.col("n_open") <= SMALL[turn > 0]), state.where(F.col("n_open") > SMALL[turn > 0])
         other = few.select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("open").alias("other_open"))
         pairs = few.where("open").join(other, ["band", "key"]).where("label != other_label and (node < other or not other_open)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        asked = large.select("node", "label", F.explode("leads").alias("lead")).where("label != lead.label")
+        leads = large.groupBy("node", "label").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))  # of BANDS buckets at most
+        asked = leads.select("node", F.explode(F.filter("leads", lambda x: x["label"] != F.col("label"))).alias("lead"))
         pairs = pairs.union(asked.select(F.least("node", "lead.node"), F.greatest("node", "lead.node"))).distinct()
         done = write_stage(compared(pairs, sets, weights), "pairs")
         good = done.where((F.col("weighted") >= threshold) | (F.col("plain") >= threshold))
