@@ -214,6 +214,27 @@ def test_weighted_minhash_classes(spark):
     assert weighted_minhash.classes(d.limit(0)).count() == 0
 
 
+def test_weighted_minhash_repeated_lines(spark):
+    g = np.random.default_rng(21)
+    texts = []
+    for k in range(12):  # plain similarity above 0.9, weighted below 0.3
+        words, line = " ".join(f"w{i}" for i in g.integers(0, 5000, 100)), " ".join(f"l{k}x{i}" for i in range(10))
+        texts += [f"{words} {line}", f"{words} {' '.join([line] * 50)}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in weighted_minhash.classes(d).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
+def test_plain_samples_follow_plain_similarity():
+    g = np.random.default_rng(9)
+    hits = []
+    for _ in range(60):
+        a = g.integers(0, 1 << 32, 200, dtype=np.uint64).astype(np.uint32)
+        b = np.concatenate([a[:160], a[:160], a[:160], g.integers(0, 1 << 32, 40, dtype=np.uint64).astype(np.uint32)])
+        hits.append(np.mean(weighted_minhash.plain_samples(np.sort(a)) == weighted_minhash.plain_samples(np.sort(b))))
+    assert abs(np.mean(hits) - 160 / 240) < 0.04
+
+
 def test_few_components(spark):
     links = spark.createDataFrame([(b"c", b"b"), (b"b", b"a"), (b"e", b"d"), (b"d", b"e"), (b"f", b"f")], "a binary, b binary").repartition(3)
     want = {(b"a", b"a"), (b"b", b"a"), (b"c", b"a"), (b"d", b"d"), (b"e", b"d"), (b"f", b"f")}

@@ -6,7 +6,8 @@ and a weight step, drawn so that two texts draw the same pair with probability
 equal to their weighted Jaccard similarity; common passages weigh little and
 seldom bring texts together.  Samples are grouped in bands, texts that share a
 band are compared with the leader of that bucket, and the whole shingle sets
-decide.
+decide.  As many bands are sampled from the distinct shingles with equal
+weights, for texts that are alike but for repeats or rare shingles.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tidewater.llm.hashed_words import NO_WORD, batches_of, mix, word_hashes
 from tidewater.sources.staging import write_stage
 
 WORDS = 5
+#: Bands of weighted samples, and as many of plain ones.
 BANDS, ROWS = 10, 3
 #: Open texts of a bucket up to which each of them is compared with the whole bucket: in the first round, later.
 SMALL = 8, 16
@@ -131,6 +133,21 @@ def samples(s: np.ndarray, log_weights: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+@lru_cache(maxsize=1)
+def plain_factors() -> np.ndarray:
+    return mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
+
+
+def plain_samples(s: np.ndarray) -> np.ndarray:
+    """BANDS*ROWS samples of the distinct shingles of one multiset, all of one weight: 32-bit hashes of the least product."""
+    u = s[np.concatenate([[True], s[1:] != s[:-1]])]
+    wide = mix(u.astype(np.uint64))
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for lo in range(0, len(u), 2048):
+        least = np.minimum(least, (wide[lo:lo + 2048, None] * plain_factors()).min(axis=0))
+    return (mix(least) >> np.uint64(32)).astype(np.uint32)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, log_weights: np.ndarray) -> tuple[float, float]:
     """Weighted and plain Jaccard similarity of two sorted multisets."""
     (ua, na), (ub, nb) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
@@ -150,14 +167,14 @@ def shared_weights(spark: SparkSession, docs: DataFrame):
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """node, sig of each distinct text with at least one word."""
+    """node, sig of each distinct text with at least one word: the weighted samples, then the plain ones."""
 
     @F.pandas_udf("array<int>")
     def drawn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
             texts, out = rows.tolist(), []
             for lo, hi in batches_of(texts):
-                out += [samples(s, weights.value).view(np.int32) if len(s) else None for s in shingles(texts[lo:hi])]
+                out += [np.concatenate([samples(s, weights.value), plain_samples(s)]).view(np.int32) if len(s) else None for s in shingles(texts[lo:hi])]
             yield pd.Series(out, dtype=object)
 
     d = docs.select("node", drawn("text").alias("sig")).where("sig is not null")
@@ -223,7 +240,7 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     weights = shared_weights(spark, docs)
     sig = write_stage(signatures(docs, weights), "signatures")
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(2 * BANDS)])
 
     def bucketed(m: DataFrame, turn: int) -> DataFrame:
         """m: node, label, done, band, key -> with open, n_open and leads, of the buckets with open texts."""
@@ -246,7 +263,7 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         few, large = state.where(F.col("n_open") <= SMALL[turn > 0]), state.where(F.col("n_open") > SMALL[turn > 0])
         other = few.select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("open").alias("other_open"))
         pairs = few.where("open").join(other, ["band", "key"]).where("label != other_label and (node < other or not other_open)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        leads = large.groupBy("node", "label").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))  # of BANDS buckets at most
+        leads = large.groupBy("node", "label").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))  # of 2 * BANDS buckets at most
         asked = leads.select("node", F.explode(F.filter("leads", lambda x: x["label"] != F.col("label"))).alias("lead"))
         pairs = pairs.union(asked.select(F.least("node", "lead.node"), F.greatest("node", "lead.node"))).distinct()
         done = write_stage(compared(pairs, sets, weights), "pairs")
@@ -274,7 +291,8 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold
     shingle and is only equal to itself; null counts as empty; texts of fewer
     than five words are one shingle.  Repeated rows get the same class; an
     empty table gives none.  Links are found by sampling: a pair at similarity
-    s shares a bucket with probability 1-(1-s**ROWS)**BANDS, 0.999 at 0.8.
+    s of either kind shares a bucket with probability 1-(1-s**ROWS)**BANDS or
+    more, 0.999 at 0.8.
     """
     slim = df.select(F.col(id_col).alias("id"), text_of(text).alias("text"))
     docs = slim.select(text_key(F.col("text")).alias("node"), "text")
