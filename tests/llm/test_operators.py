@@ -214,6 +214,45 @@ def test_weighted_minhash_classes(spark):
     assert weighted_minhash.classes(d.limit(0)).count() == 0
 
 
+def class_ids(texts):
+    """Least index of each text's class, by comparing all pairs (plain similarity)."""
+    sets, of = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if of[i] != of[j] and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                a, b = of[i], of[j]
+                of = [min(a, b) if x == max(a, b) else x for x in of]
+    return of
+
+
+def test_weighted_minhash_large_bucket_of_many_classes(spark):
+    g = np.random.default_rng(12)
+    seed, texts = np.array([f"w{i}" for i in range(100)], object), []
+    for k in range(400):  # 0.85 of each text's shingles are the seed's; those of two texts are 0.74 alike, a pair of one k 0.81
+        w = seed.copy()
+        w[g.choice(np.arange(5, 95, 10), 1)] = f"a{k}"
+        w[100 - 10:] = [f"b{k}x{i}" for i in range(10)]
+        c = w.copy()
+        c[g.choice(np.arange(8, 80, 20), 2, replace=False)] = [f"c{k}", f"d{k}"]
+        texts += [" ".join(w), " ".join(c)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in weighted_minhash.classes(d).collect()}
+    want = class_ids(texts)
+    assert len(set(want)) > 200
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_block_links_are_all_links():
+    g = np.random.default_rng(2)
+    table = g.integers(0, 45, 1 << weighted_minhash.LOG_COUNTERS).astype(np.int16)
+    sets = [np.sort(g.integers(0, 40, g.integers(1, 60)).astype(np.uint32)) for _ in range(120)] + [np.zeros(0, np.uint32)]
+    apart = g.random((40, 81)) < 0.9
+    got = weighted_minhash.block_links(sets[:40], sets[40:], apart, table, 0.5)
+    want = [(i, j, *s) for i, x in enumerate(sets[:40]) for j, y in enumerate(sets[40:]) if apart[i, j] and max(s := weighted_minhash.similarity(x, y, table)) >= 0.5]
+    assert want and sorted(got) == sorted(want)
+
+
 def test_weighted_minhash_repeated_lines(spark):
     g = np.random.default_rng(21)
     texts = []

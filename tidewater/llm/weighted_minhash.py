@@ -5,8 +5,8 @@ text times inverse document frequency.  A sample of it is a pair of a shingle
 and a weight step, drawn so that two texts draw the same pair with probability
 equal to their weighted Jaccard similarity; common passages weigh little and
 seldom bring texts together.  Samples are grouped in bands, texts that share a
-band are compared with the leader of that bucket, and the whole shingle sets
-decide.  As many bands are sampled from the distinct shingles with equal
+band are compared with leaders of that bucket and, where these leave several
+classes, with all texts of other classes there; the whole shingle sets decide.  As many bands are sampled from the distinct shingles with equal
 weights, for texts that are alike but for repeats or rare shingles.
 """
 
@@ -30,8 +30,10 @@ WORDS = 5
 BANDS, ROWS = 10, 3
 #: Open texts of a bucket up to which each of them is compared with the whole bucket: in the first round, later.
 SMALL = 8, 16
-#: Leaders of a larger bucket, and samples more by which it is split for the next round.
-LEADERS, SPLIT = 4, 2
+#: Leaders of a larger bucket in each round, and rounds after which its open texts are compared block by block.
+LEADERS, ROUNDS = 4, 3
+#: Texts and bytes of shingle sets of a block, and elements of a block pair that are multiplied at once.
+BLOCK_TEXTS, BLOCK_BYTES, BLOCK_ELEMENTS = 1024, 16 << 20, 4096
 #: New links between classes up to which one task joins them; more are joined by rounds of shuffles.
 FEW_LINKS = 10_000
 #: Counters of document frequency (hashed), in blocks.
@@ -206,6 +208,75 @@ def compared(pairs: DataFrame, sets: DataFrame, weights) -> DataFrame:
     return p.select("a", "b", of("set_a", "set_b").alias("s")).select("a", "b", "s.weighted", "s.plain")
 
 
+def elements(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and element of all sets, one behind another; an element is a shingle (upper bits) and how often it came before in its text."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shingle = np.concatenate([np.zeros(0, np.uint32), *sets])
+    start = np.ones(len(row), bool)
+    start[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
+    at = np.arange(len(row))
+    return row, (shingle.astype(np.uint64) << np.uint64(32)) | (at - np.maximum.accumulate(np.where(start, at, 0))).astype(np.uint64)
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], apart: np.ndarray, log_weights: np.ndarray, threshold: float) -> list[tuple[int, int, float, float]]:
+    """(i, j, weighted, plain) of all left and right sorted multisets that reach the threshold where ``apart`` is true.
+
+    What two texts share is a product of matrices over the elements of both sides.
+    """
+    (row_a, a), (row_b, b) = elements(left), elements(right)
+    weight = lambda e: np.exp(log_weights[(e >> np.uint64(32)) & np.uint64((1 << LOG_COUNTERS) - 1)] / STEPS)
+    first = lambda e: (e & np.uint64(0xFFFFFFFF)) == 0
+    sums = [(np.bincount(r, weight(e), n), np.bincount(r, first(e), n)) for r, e, n in ((row_a, a, len(left)), (row_b, b, len(right)))]
+    both = np.intersect1d(a, b)
+    in_a, in_b = np.isin(a, both), np.isin(b, both)
+    row_a, col_a, row_b, col_b = row_a[in_a], np.searchsorted(both, a[in_a]), row_b[in_b], np.searchsorted(both, b[in_b])
+    shared, same = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)), np.float32)
+    order_a, order_b = np.argsort(col_a, kind="stable"), np.argsort(col_b, kind="stable")
+    for lo in range(0, len(both), BLOCK_ELEMENTS):
+        e = both[lo:lo + BLOCK_ELEMENTS]
+        x, y = np.zeros((len(left), len(e))), np.zeros((len(right), len(e)))
+        for m, row, col, order in ((x, row_a, col_a, order_a), (y, row_b, col_b, order_b)):
+            here = order[np.searchsorted(col[order], lo):np.searchsorted(col[order], lo + len(e))]
+            m[row[here], col[here] - lo] = 1
+        shared += (x * weight(e)) @ y.T
+        same += x[:, first(e)].astype(np.float32) @ y[:, first(e)].astype(np.float32).T
+    (all_a, n_a), (all_b, n_b) = sums
+    union = np.maximum(all_a[:, None] + all_b - shared, 1e-12), np.maximum(n_a[:, None] + n_b - same, 1)
+    # the matrices only choose; sums in another order could turn a pair that just reaches the threshold
+    found = np.argwhere(apart & ((shared / union[0] >= threshold - 1e-9) | (same / union[1] >= threshold - 1e-6)))
+    rows = [(int(i), int(j), *similarity(left[i], right[j], log_weights)) for i, j in found]
+    return [r for r in rows if max(r[2:]) >= threshold]
+
+
+def blocks_compared(state: DataFrame, sets: DataFrame, weights, threshold: float) -> DataFrame:
+    """a, b, weighted, plain: all links from the open texts of each bucket to its texts of other classes.
+
+    The open texts and all texts of a bucket are dealt into blocks; a task
+    compares a block of the one with a block of the other, so that no task
+    holds a bucket and no pair is written that is no link.
+    """
+    m = state.where("open or not done").join(sets, "node")
+    pieces = lambda c: F.ceil(F.greatest(F.count_if(c) / BLOCK_TEXTS, F.sum(F.when(c, F.length("set")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    of_key = m.groupBy("band", "key").agg(pieces(F.col("open")).alias("rows"), pieces(F.lit(True)).alias("cols"))
+    m = m.join(of_key, ["band", "key"]).select("band", "key", "node", "label", "open", "set", "rows", "cols")
+    dealt = lambda n: F.pmod(F.xxhash64(F.lit(7), "node"), F.col(n)).cast("int")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = m.where("open").withColumn("r", dealt("rows")).withColumn("c", up_to("cols")).withColumn("asks", F.lit(True))
+    asked = m.withColumn("c", dealt("cols")).withColumn("r", up_to("rows")).withColumn("asks", F.lit(False))
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["asks"]], rows[~rows["asks"]]
+        names = {k: i for i, k in enumerate(rows["label"].unique())}
+        label_x, label_y = x["label"].map(names).to_numpy(), y["label"].map(names).to_numpy()
+        read = lambda d: [np.frombuffer(s, np.uint32) for s in d["set"]]
+        found = block_links(read(x), read(y), label_x[:, None] != label_y, weights.value, threshold)
+        ends = [(*sorted((x["node"].iloc[i], y["node"].iloc[j])), w, p) for i, j, w, p in found]
+        return pd.DataFrame(ends, columns=["a", "b", "weighted", "plain"])
+
+    both = asks.unionByName(asked).select("band", "key", "r", "c", "node", "label", "set", "asks")
+    return both.groupBy("band", "key", "r", "c").applyInPandas(of, "a binary, b binary, weighted double, plain double").distinct()
+
+
 def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, label of all links so far, from the labels before and the new links.
 
@@ -233,9 +304,10 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     Where at most SMALL are open, each is compared with all of other classes in
     the bucket, so pairs stay below SMALL times its texts.  Elsewhere LEADERS
     of the open ones are so compared and then done, and with the classes that
-    these links make the bucket is looked at again, split by SPLIT more
-    samples, until nobody is open.  No bucket is cut short and none is gathered
-    in a task.
+    these links make the bucket is looked at again, whole.  What is open after
+    ROUNDS of these is compared with all texts of other classes, block by
+    block.  So any two texts that share a bucket have been compared or are of
+    one class; no bucket is cut short and none is gathered in a task.
     """
     spark = docs.sparkSession
     weights = shared_weights(spark, docs)
@@ -261,9 +333,9 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     turn = 0
     while True:
         few, large = state.where(F.col("n_open") <= SMALL[turn > 0]), state.where(F.col("n_open") > SMALL[turn > 0])
-        other = few.select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("open").alias("other_open"))
+        other = few.where("not done").select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("open").alias("other_open"))
         pairs = few.where("open").join(other, ["band", "key"]).where("label != other_label and (node < other or not other_open)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        leads = large.groupBy("node", "label").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))  # of 2 * BANDS buckets at most
+        leads = large.where("not done").groupBy("node", "label").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))  # of 2 * BANDS buckets at most
         asked = leads.select("node", F.explode(F.filter("leads", lambda x: x["label"] != F.col("label"))).alias("lead"))
         pairs = pairs.union(asked.select(F.least("node", "lead.node"), F.greatest("node", "lead.node"))).distinct()
         done = write_stage(compared(pairs, sets, weights), "pairs")
@@ -271,11 +343,12 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         links = good if links is None else links.unionByName(good)
         label = merged_labels(label, good)
         rest = large.select("node", "band", "key", (F.col("done") | F.array_contains("leads.node", F.col("node"))).alias("done"))
-        more = [F.get("sig", (F.col("band") * ROWS + ROWS + turn * SPLIT + i) % (BANDS * ROWS)) for i in range(SPLIT)]
-        rest = rest.join(sig, "node").select("node", "band", F.xxhash64("key", *more).alias("key"), "done")
         turn += 1
         state = bucketed(rest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), turn)
-        if state.isEmpty():
+        if turn == ROUNDS and not state.isEmpty():
+            good = write_stage(blocks_compared(state, sets, weights, threshold), "pairs")
+            links, label = links.unionByName(good), merged_labels(label, good)
+        if turn == ROUNDS or state.isEmpty():
             return links.select("a", "b", "weighted", "plain").distinct(), label
 
 
