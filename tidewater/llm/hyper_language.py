@@ -49,6 +49,14 @@ def letters_of(text: str) -> np.ndarray:
     return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
 
 
+def has_letter(text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(map(str.isalpha, t)) for t in texts], dtype=bool)
+
+    return found(text)
+
+
 def vectors(texts: list[str], dims: int) -> np.ndarray:
     """One bundled trigram vector per text (all 0: no letter)."""
     out = np.zeros((len(texts), dims), np.float64)
