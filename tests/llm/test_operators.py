@@ -161,6 +161,25 @@ def test_bloom_lm(docs):
     assert bloom_lm.score(docs, docs.limit(0), bits=1 << 12, log_buckets=2).count() == len(ROWS)
 
 
+def test_bloom_lm_filter_grows_with_its_ngrams(spark, docs):
+    rates = []
+    for n in (300, 30_000):
+        d = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "text string")
+        rows = bloom_lm.train(d, None, 2, 1).withColumn("head", F.lit(b"")).withColumn("head_n", F.lit(b"")).collect()
+        m = bloom_lm.Model(rows, sum(len(r["filter"]) for r in rows) * 8, 2, 1, 1)
+        h, _ = word_hashes([" ".join(f"w{i}" for i in range(n)), " ".join(f"v{i}" for i in range(20_000))], bloom_lm.BLANKS)
+        assert (m.level(h[:n], 1) >= 1).all()
+        rates.append((m.level(h[n:], 1) > 0).mean())
+    assert max(rates) < 0.02
+    order = spark.createDataFrame([(1, "k1 k2 k3 k4"), (2, "k3 k2 k1 k4")], "doc_id long, text string")
+    one, two = (x.score for x in bloom_lm.score(order, order.where("doc_id = 1"), log_buckets=2).orderBy("doc_id").collect())
+    assert one > two + 1  # pairs seen once count
+    how = {"carry": ["doc_id", "source"], "log_buckets": 3, "head_words": 3}
+    train = docs.where("doc_id is null or doc_id not in (7, 9)")
+    held, joined = (sorted(map(repr, bloom_lm.score(docs, train, **how, **x).collect())) for x in ({}, {"held_bytes": 0}))
+    assert held == joined and len(held) == len(ROWS)
+
+
 def test_filter_gives_levels_back(spark):
     words = " ".join(f"w{i} " * (i % 9 + 1) for i in range(300))
     d = spark.createDataFrame([(words,)], "text string")
