@@ -363,6 +363,26 @@ def test_image_copies(spark):
     assert (close & met).sum() / close.sum() >= 0.9
 
 
+def test_image_tables_hold_pairs_within_24_bits_and_noisy_copies(spark):
+    g = np.random.default_rng(11)
+    base = g.integers(0, 256, (2400, 32), dtype=np.uint8)
+    bits = np.unpackbits(base, axis=1)
+    for i in range(2400):  # 1 to 24 bits turned
+        bits[i, g.choice(256, i % 24 + 1, replace=False)] ^= 1
+    sent = lambda rows: spark.createDataFrame([(i, *map(int, r.copy().view(np.int64))) for i, r in enumerate(rows)], "row long, w0 long, w1 long, w2 long, w3 long")
+    met = {x.q_row for x in image_features.near_pairs(sent(np.packbits(bits, axis=1)), sent(base)).where("q_row = b_row").collect()}
+    assert all(i in met for i in range(2400) if i % 24 < 19) and len(met) >= 0.98 * 2400
+    pictures = [image_features.picture(g.normal(0, 0.15, 64)) for _ in range(20)]
+    row = lambda i, p: (i, p.shape[1], p.shape[0], p.tobytes())
+    schema = "id long, width int, height int, pixels binary"
+    asked = spark.createDataFrame([row(i, image_features.noisy(p[8:88, 4:84], i, 4.0)) for i, p in enumerate(pictures)], schema)
+    got = {(x.query, x.id) for x in image_features.copies(asked, spark.createDataFrame([row(i, p) for i, p in enumerate(pictures)], schema)).collect()}
+    small = spark.createDataFrame([row(i, np.rint(image_features.resized(p.astype(float), 0.9)).astype(np.uint8)) for i, p in enumerate(pictures)], schema)
+    got_small = {(x.query, x.id) for x in image_features.copies(small, spark.createDataFrame([row(i, p) for i, p in enumerate(pictures)], schema)).collect()}
+    assert all(sum((i, i) in x for i in range(20)) >= 18 for x in (got, got_small))
+    assert all(i == j for i, j in got | got_small)
+
+
 def test_words_hash_alike_and_apart():
     h, n = word_hashes(["Ab-c  ab c\n", "", "é É"], NO_WORD)
     assert n.tolist() == [4, 0, 2] and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 4
