@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.session import make_session
-from tidewater.llm import bloom_dedup, bloom_lm, byte_codec, hilbert_shards, hyper_language, image_features, license_scan, source_mix, token_count, weighted_minhash
+from tidewater.llm import bloom_dedup, bloom_lm, byte_codec, hilbert_shards, hyper_language, image_features, license_scan, queries, source_mix, token_count, weighted_minhash
 from tidewater.llm.components import components, few_components
 from tidewater.llm.hashed_words import NO_WORD, word_hashes
 
@@ -383,6 +383,16 @@ def test_image_tables_hold_pairs_within_24_bits_and_noisy_copies(spark):
     assert all(i == j for i, j in got | got_small)
 
 
+def test_image_query_says_which_rows_are_equal(spark, tmp_path):
+    g = np.random.default_rng(17)
+    vectors = [(i, [float(x) for x in g.normal(0, 0.15, 64)]) for i in range(1, 6)]
+    vectors += [(50, vectors[0][1]), (51, vectors[0][1]), (52, None), (50, vectors[0][1])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries.op4_image_features(spark, str(tmp_path)).collect()
+    assert [(x.query, x.id) for x in rows if x.query is not None] == [(50, 1)] * 2
+    same([(x.id, x.member) for x in rows if x.query is None], [(i, i) for i in range(1, 6)] + [(1, 50), (1, 51), (None, 52), (1, 50)])
+
+
 def test_words_hash_alike_and_apart():
     h, n = word_hashes(["Ab-c  ab c\n", "", "é É"], NO_WORD)
     assert n.tolist() == [4, 0, 2] and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 4

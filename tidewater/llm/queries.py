@@ -22,10 +22,16 @@ def op3_hilbert_shards(spark, sf_dir):
 
 
 def op4_image_features(spark, sf_dir):
-    """Pictures drawn from all vectors; edited copies of those whose id is divisible by 50 are looked for among them."""
+    """Pictures drawn from all vectors; edited copies of those whose id is divisible by 50 are looked for among them.
+
+    A match has the least id among equal pictures; for every vector, a row
+    without a query says which id that is (member: the vector's own).
+    """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     asked = image_features.pictures(vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", True)
-    return image_features.copies(asked, image_features.pictures(vectors, "vec_id", "embedding", False))
+    base = image_features.pictures(vectors, "vec_id", "embedding", False)
+    found = image_features.copies(asked, base)
+    return found.unionByName(image_features.members(base), allowMissingColumns=True)
 
 
 def op5_bloom_lm(spark, sf_dir):
