@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewater.llm import bloom_dedup, bloom_lm, byte_codec, hilbert_shards, hyper_language, image_features, license_scan, source_mix, token_count, weighted_minhash
+from tidewater.llm import bloom_dedup, bloom_lm, byte_codec, chebyshev_whitening, edit_embedding, hilbert_shards, hyper_language, image_features, license_scan, source_mix, token_count, turn_repair, weighted_minhash
 from tidewater.llm.common import documents, fold_of
 
 
@@ -61,7 +61,26 @@ def op10_source_mix(spark, sf_dir):
     return source_mix.mix(documents(spark, sf_dir).select("doc_id", "source", "text"), carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_codec, op2_license_scan, op3_hilbert_shards, op4_image_features, op5_bloom_lm, op6_hyper_language, op7_bloom_dedup, op8_token_count, op9_weighted_minhash, op10_source_mix)}
+def op11_edit_embedding(spark, sf_dir):
+    found = edit_embedding.edited(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_bands", "next_bands")
+
+
+def op12_chebyshev_whitening(spark, sf_dir):
+    return chebyshev_whitening.components(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", "embedding")
+
+
+def op13_turn_repair(spark, sf_dir):
+    """Every original conversation; one of which no row is left has zeros, an empty audit and the hash of nothing."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = turn_repair.digest(turn_repair.repair(turn_repair.damaged(rows)))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    left = every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").withColumnRenamed("id", "conv_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return left.fillna(0, counts).fillna("", ["audit"]).withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))).select("conv_id", *counts, "audit", "repaired_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_codec, op2_license_scan, op3_hilbert_shards, op4_image_features, op5_bloom_lm, op6_hyper_language, op7_bloom_dedup, op8_token_count, op9_weighted_minhash, op10_source_mix, op11_edit_embedding, op12_chebyshev_whitening, op13_turn_repair)}
 
 ORACLES = {
     "op7_bloom_dedup": """
