@@ -42,3 +42,19 @@ def carry_last(
     return merged.where(F.col("_k") == 1).select(
         *keep, F.col("_f._fd").alias(f"{fact_date}_asof"), *[F.col(f"_f.{x}").alias(x) for x in cols]
     )
+
+
+def carry_many(rows: DataFrame, key: str, row_date: str, facts: dict[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
+    """Backward as-of from several fact tables in one sorted pass.
+
+    ``facts`` maps the name of an output struct to (table, date from which its
+    rows are known, columns).  A row gets the last fact of each table dated at
+    or before its own date, null where there is none.
+    """
+    union = rows.withColumn("_d", F.col(row_date)).withColumn("_k", F.lit(1))
+    for name, (table, date, cols) in facts.items():
+        pack = F.struct(F.col(date).alias("asof"), *[F.col(x) for x in cols]).alias(name)
+        union = union.unionByName(table.select(key, F.col(date).alias("_d"), F.lit(0).alias("_k"), pack), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("_d", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    carried = union.withColumns({name: F.last(name, ignorenulls=True).over(w) for name in facts})
+    return carried.where(F.col("_k") == 1).drop("_d", "_k")

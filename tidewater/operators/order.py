@@ -181,3 +181,17 @@ def exact_quantiles(
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     return exact_quantiles(df, keys, value, {out: 0.5})
+
+
+def positions(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, per_fold: int = 64) -> DataFrame:
+    """Adds the place (from 0) of each row in its group by (value, tie), for values that are not null.
+
+    Places run over order-preserving cells, whose counts are a small table, and
+    rows are ordered inside one cell only.
+    """
+    ks = [*keys, "_cell"]
+    rows = df.where(F.col(value).isNotNull()).withColumn("_cell", order_cell(F.col(value), per_fold))
+    w = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("_c")).select(*ks, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*ks).orderBy(value, tie)) - 1
+    return rows.withColumn("_in", inside).join(cells, ks).withColumn(out, F.col("_before") + F.col("_in")).drop("_cell", "_in", "_before")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.exprs import own_rows, rn
+from tidewater.functions.exprs import own_rows, rn, with_scalar
 from tidewater.operators.order import average_ranks, exact_quantiles
 from tidewater.sources.staging import cut
 
@@ -266,9 +266,9 @@ def dcf_table(inputs: DataFrame, cost_of_equity: float, floor: float = 8.0, term
 def statements_asof(single: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per anchor and entity: trailing-four-quarter sums when the last four filed quarters are consecutive.
 
-    A quarter is usable at the first anchor after its deadline and after; each
-    quarter is matched to the anchors by the month of its deadline, so the
-    join is an equality on (entity, latest quarter known at the anchor).
+    A quarter is usable at the first anchor after its deadline and after, until
+    the next one's; the rows made are those of the result, by an equality join
+    on the month.
     """
     w = Window.partitionBy("entity").orderBy("qi")
     q = single.withColumn("qi", F.col("year") * 4 + F.col("quarter") - 1).withColumn("known", deadline(F.col("year"), F.col("quarter")))
@@ -278,13 +278,14 @@ def statements_asof(single: DataFrame, anchors: DataFrame) -> DataFrame:
         "entity", "qi", "year", "quarter", "known",
         *[F.when(full & (F.count(x).over(f4) == 4), F.sum(x).over(f4)).alias(f"{x}_ttm") for x in ("revenue", "income", "eps")],
         F.when(full, F.max((F.col("income") < 0).cast("int")).over(f4)).alias("any_loss"))
-    # the latest quarter of an entity known before an anchor: running over its own filings
-    from tidewater.operators.asof import carry_last
-
-    ents = single.select("entity").distinct()
-    grid = ents.join(F.broadcast(anchors.select(F.date_sub("anchor", 1).alias("_d"), "anchor")))
-    facts = q.withColumnRenamed("known", "kd")
-    return carry_last(grid, facts, ["entity"], "_d", "kd", ["qi", "revenue_ttm", "income_ttm", "eps_ttm", "any_loss"]).drop("_d").where(F.col("qi").isNotNull())
+    # A filing is the latest one from the day after its deadline to the deadline of the next; its months meet the anchors, one a month.
+    month = lambda d: F.year(d) * 12 + F.month(d)
+    q = with_scalar(q.withColumn("kd_next", F.lead("known").over(w)), anchors.agg(F.max("anchor").alias("_end")))
+    until = F.greatest(F.coalesce("kd_next", "_end"), F.col("known"))
+    q = q.withColumn("_m", F.explode(F.sequence(month("known"), month(until))))
+    days = F.broadcast(anchors.select("anchor", month("anchor").alias("_m")))
+    held = (F.col("known") < F.col("anchor")) & F.coalesce(F.col("anchor") <= F.col("kd_next"), F.lit(True))
+    return q.join(days, "_m").where(held).select("entity", "anchor", "qi", "revenue_ttm", "income_ttm", "eps_ttm", "any_loss")
 
 
 def derive_shares(income: Column, eps: Column, equity: Column, price: Column, pbr: Column, min_eps: float = 0.1) -> Column:

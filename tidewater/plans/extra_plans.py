@@ -22,7 +22,8 @@ from tidewater.plans.panel_plans import panel_of, tr_targets
 from tidewater.plans.regime_plans import regime_of
 from tidewater.plans.registry import query, view
 from tidewater.plans.stats_plans import boot_views
-from tidewater.plans.valuation_plans import MINP, fair_values, latest_ratios
+from tidewater.plans.fair_value_plans import fair_value_panel
+from tidewater.plans.valuation_plans import MINP, latest_ratios
 from tidewater.sources.staging import stage_dir
 from tidewater.streaming import forms as T
 
@@ -208,15 +209,13 @@ def sta22(t):
     return s.select("grp", F.col("n_obs").alias("t"), r6("mean").alias("mean"), r6("ci_lo").alias("lo"), r6("ci_hi").alias("hi"), F.coalesce((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0), F.lit(False)).cast("int").alias("excludes_zero"))
 
 
-view("fvs", "SELECT strptime(f.anchor,'%Y-%m-%d')::DATE AS date, f.entity, (list_avg(f.kept)/f.price-1)*100 AS up, p.alpha20 AS y, p.vol_ratio AS c FROM fv_l f JOIN panel0 p ON p.entity=f.entity AND strftime(p.date,'%Y-%m-%d')=f.anchor WHERE len(f.kept)>0 AND p.alpha20 IS NOT NULL")
+view("fvs", "SELECT date, entity, fv_upside_pct AS up, alpha20 AS y FROM fv_panel WHERE fv_upside_pct IS NOT NULL AND alpha20 IS NOT NULL")
 view("fvic", "SELECT date, corr(rx,ry) AS v FROM (SELECT date, count(*) OVER (PARTITION BY date) AS n, rank() OVER (PARTITION BY date ORDER BY up)+(count(*) OVER (PARTITION BY date, up)-1)/2.0::DOUBLE AS rx, rank() OVER (PARTITION BY date ORDER BY y)+(count(*) OVER (PARTITION BY date, y)-1)/2.0::DOUBLE AS ry FROM fvs) WHERE n>=10 GROUP BY 1 HAVING stddev_pop(rx)*stddev_pop(ry)>1e-12")
 
 
 @query("sta23_fair_value_study", "SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n_anchors, round(avg(v),6)+0.0 AS mean_ic FROM fvic GROUP BY 1")
 def sta23(t):
-    main, _ = V.composite_main([F.col(k) for k in ("m5", "m7", "m8", "m9")], F.col("price"))
-    d = fair_values(t).select("entity", F.col("anchor").alias("date"), main.alias("up0"), "price")
-    d = d.select("entity", "date", ((F.col("up0") / F.col("price") - 1) * 100).alias("up")).join(panel_of(t).select("entity", "date", "alpha20"), ["entity", "date"])
+    d = fair_value_panel(t).select("entity", "date", F.col("fv_upside_pct").alias("up"), "alpha20")
     ic = S.daily_ic(d, [], "up", "alpha20")
     return ic.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n_anchors"), r6(F.avg("ic")).alias("mean_ic"))
 

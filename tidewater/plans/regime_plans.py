@@ -266,6 +266,10 @@ def reg16(t):
 SELECT strftime(date,'%Y-%m-%d') AS date, CASE WHEN ma IS NULL THEN NULL WHEN market_index>=ma THEN '多' ELSE '空' END AS mkt_state FROM (
   SELECT date, market_index, CASE WHEN count(*) OVER w>=200 THEN avg(market_index) OVER w END AS ma FROM mkt_index WINDOW w AS (ORDER BY date ROWS 199 PRECEDING))""")
 def val19(t):
+    return state_of(t).withColumn("date", iso("date"))
+
+
+def state_of(t):
     ma = M.roll_avg("market_index", R.day_window(), 200)
     d = index_of(t).withColumn("ma", ma)
-    return d.select(iso("date").alias("date"), F.when(F.col("ma").isNotNull(), F.when(F.col("market_index") >= F.col("ma"), "多").otherwise("空")).alias("mkt_state"))
+    return d.select("date", F.when(F.col("ma").isNotNull(), F.when(F.col("market_index") >= F.col("ma"), "多").otherwise("空")).alias("mkt_state"))

@@ -250,57 +250,6 @@ def val15(t):
     return V.leave_self_out_median(d, ["grp"], "pe", "peer_median", MINP).select("entity", "grp", "pe", r6("peer_median").alias("peer_median"))
 
 
-_MODELS = {"m5": "dps*1.02/0.06", "m7": "peer_pe*eps_ttm", "m8": "peer_pb*price/pbr", "m9": "revenue_ttm/shares*2.0"}
-view("fv_in", f"""
-SELECT strftime(a.anchor,'%Y-%m-%d') AS anchor, a.entity, p.close AS price, t.pbr, CASE WHEN q.fl AND q.ce=4 THEN q.et END AS eps_ttm, CASE WHEN q.fl THEN q.rt END AS revenue_ttm,
-  coalesce(CASE WHEN abs(CASE WHEN q.fl AND q.ce=4 THEN q.et END)>=0.1 AND q.it/q.et>0 AND q.fl AND q.ci=4 THEN q.it/q.et END, CASE WHEN t.pbr>0 THEN 100000.0::DOUBLE/(p.close/t.pbr) END) AS shares, w.dps, 15.0::DOUBLE AS peer_pe, 0.3::DOUBLE AS peer_pb
-FROM asof_q a JOIN prices p ON p.entity=a.entity AND p.date=a.anchor JOIN ratios t ON t.entity=a.entity AND t.date=a.anchor LEFT JOIN LATERAL (SELECT sum(cash) AS dps FROM dividends d WHERE d.entity=a.entity AND d.ex_date>a.anchor-365 AND d.ex_date<=a.anchor AND cash>0) w ON true
-""")
-view("fv_m", "SELECT *, " + ", ".join(f"CASE WHEN {e}>0 THEN {e} END AS {k}" for k, e in _MODELS.items()) + " FROM fv_in")
-view("fv_l", "SELECT *, list_filter([m5,m7,m8,m9], lambda x: x>0 AND x>=0.4::DOUBLE*price AND x<=2.0::DOUBLE*price) AS kept, list_sort(list_filter([m5,m7,m8,m9], lambda x: x>0)) AS alls FROM fv_m")
-
-
-def dps_ttm(t, anchors):
-    """Trailing-365-day cash per entity and anchor: running sums at two dates, no range join."""
-    ev = t.dividends.where(F.col("cash") > 0).select("entity", F.col("ex_date").alias("d"), "cash")
-    a = F.explode(F.array(F.struct(F.col("anchor").alias("d"), F.lit(1.0).alias("s")), F.struct(F.date_sub("anchor", 365).alias("d"), F.lit(-1.0).alias("s"))))
-    pts = anchors.select("entity", "anchor", a.alias("x")).select("entity", "anchor", "x.*")
-    u = ev.withColumn("k", F.lit(0)).unionByName(pts.withColumn("k", F.lit(1)), allowMissingColumns=True)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("entity").orderBy("d", "k").rowsBetween(Window.unboundedPreceding, 0)
-    run = u.withColumn("c", F.sum(F.coalesce("cash", F.lit(0.0))).over(w)).where(F.col("k") == 1)
-    return run.groupBy("entity", "anchor").agg(F.sum(F.col("c") * F.col("s")).alias("dps"))
-
-
-def fair_values(t):
-    a = asof_q(t)
-    px = t.prices.select("entity", F.col("date").alias("anchor"), F.col("close").alias("price"))
-    rt = t.ratios.select("entity", F.col("date").alias("anchor"), "pbr")
-    d = a.join(px, ["entity", "anchor"]).join(rt, ["entity", "anchor"]).join(dps_ttm(t, a.select("entity", "anchor")), ["entity", "anchor"], "left")
-    sh = V.derive_shares(F.col("income_ttm"), F.col("eps_ttm"), F.lit(100000.0), F.col("price"), F.col("pbr"))
-    d = d.withColumns({"shares": sh, "peer_pe": F.lit(15.0), "peer_pb": F.lit(0.3)})
-    return d.withColumns({k: F.expr(f"CASE WHEN {e.replace('/shares', '/nullif(shares,0D)').replace('/pbr', '/nullif(pbr,0D)')}>0 THEN {e.replace('/shares', '/nullif(shares,0D)').replace('/pbr', '/nullif(pbr,0D)')} END".replace("1.02", "1.02D").replace("0.06", "0.06D").replace("2.0", "2.0D")) for k, e in _MODELS.items()})
-
-
-@query("val16_model_composites", """
-SELECT anchor, entity, round(price,6) AS price, round(m5,4)+0.0 AS m5, round(m7,4)+0.0 AS m7, round(m8,4)+0.0 AS m8, round(m9,4)+0.0 AS m9, CAST(len(kept) AS BIGINT) AS n_kept, round(list_avg(kept),4)+0.0 AS fv_main,
-  round(CASE WHEN len(alls)=0 THEN NULL WHEN len(alls)%2=1 THEN alls[len(alls)//2+1] ELSE (alls[len(alls)//2]+alls[len(alls)//2+1])/2 END,4)+0.0 AS fv_raw FROM fv_l""")
-def val16(t):
-    d = fair_values(t)
-    ms = [F.col(k) for k in _MODELS]
-    main, n = V.composite_main(ms, F.col("price"))
-    return d.select(iso("anchor").alias("anchor"), "entity", r6("price").alias("price"), *[r6(k, 4).alias(k) for k in _MODELS], n.cast("bigint").alias("n_kept"), r6(main, 4).alias("fv_main"), r6(V.composite_raw(ms), 4).alias("fv_raw"))
-
-
-@query("val17_fair_value_panel", "SELECT f.anchor, f.entity, round((list_avg(f.kept)/f.price-1)*100,4)+0.0 AS upside_pct, round(p.ma60_dist_pct,6)+0.0 AS ma60_dist_pct, round(p.alpha20,6)+0.0 AS alpha20 FROM fv_l f JOIN panel0 p ON p.entity=f.entity AND strftime(p.date,'%Y-%m-%d')=f.anchor")
-def val17(t):
-    d = fair_values(t)
-    main, _ = V.composite_main([F.col(k) for k in _MODELS], F.col("price"))
-    p = panel_of(t).select("entity", F.col("date").alias("anchor"), "ma60_dist_pct", "alpha20")
-    return d.join(p, ["entity", "anchor"]).select(iso("anchor").alias("anchor"), "entity", r6((main / F.col("price") - 1) * 100, 4).alias("upside_pct"), r6("ma60_dist_pct").alias("ma60_dist_pct"), r6("alpha20").alias("alpha20"))
-
-
 @query("val18_calendar_medians", "SELECT strftime(date,'%Y-%m-%d') AS date, entity, " + ", ".join(f"round(CASE WHEN count(pbr) OVER w>=10 THEN median({c}) OVER w END,6) AS {o}" for c, o in
        (("pe", "pe_self_med"), ("pbr", "pb_self_med"), ("nullif(dividend_yield,0)", "dy_self_med"))) + " FROM ratios WINDOW w AS (PARTITION BY entity ORDER BY date RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW)")
 def val18(t):
