@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,15 +88,36 @@ def self_medians(history: DataFrame, min_n: int = 8) -> DataFrame:
     return history.groupBy("entity").agg(*aggs)
 
 
+def history_medians(history: DataFrame, cols: dict[str, str], days: int | None = None) -> DataFrame:
+    """entity, date, each output and n_<output>: median and number of an entity's values up to the date, or in a trailing range of calendar days.
+
+    A frame that buffers and sorts its window for every row costs the square
+    of a history.  Here an entity's rows (one a day at most, so bounded by the
+    calendar) pass once through a running median, which inserts and removes
+    one value a row.  Nulls are no values.
+    """
+    outs = list(cols.values())
+    schema = ", ".join([f"entity {dict(history.dtypes)['entity']}", "date date", *[f"{o} double, n_{o} long" for o in outs]])
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        values = rows[list(cols)].astype("float64").set_axis(pd.to_datetime(rows["date"]), axis=0)
+        frame = values.rolling(f"{days}D", min_periods=1) if days else values.expanding(min_periods=1)
+        middle, number = frame.median(), frame.count()
+        out = {"entity": rows["entity"].to_numpy(), "date": rows["date"].to_numpy()}
+        for c, o in cols.items():
+            out |= {o: middle[c].to_numpy(), f"n_{o}": number[c].to_numpy().astype("int64")}
+        return pd.DataFrame(out)
+
+    return history.select("entity", "date", *cols).groupBy("entity").applyInPandas(one, schema)
+
+
 def self_medians_upto(history: DataFrame, min_n: int = 8) -> DataFrame:
-    """The same at every date with the history up to it: an expanding frame on own rows."""
-    w = own_rows().rowsBetween(Window.unboundedPreceding, 0)
+    """The same at every date with the history up to it."""
     cols = {"pe": "pe_self_median", "pbr": "pb_self_median", "dividend_yield": "yield_self_median"}
-    out = []
-    for c, o in cols.items():
-        v = F.when(F.col(c) > 0, F.col(c))
-        out.append(F.when(F.count(v).over(w) >= min_n, rn(F.percentile(v, 0.5).over(w), 2)).alias(o))
-    return history.select("entity", "date", *out)
+    positive = history.select("entity", "date", *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in cols])
+    d = history_medians(positive, cols)
+    return d.select("entity", "date", *[F.when(F.col(f"n_{o}") >= min_n, rn(F.col(o), 2)).alias(o) for o in cols.values()])
 
 
 def implied_price(price: Column, ratio: Column, ref: Column) -> Column:
@@ -165,14 +187,10 @@ def daily_medians(ratios: DataFrame) -> DataFrame:
 
 
 def calendar_medians(ratios: DataFrame, days: int, min_obs: int) -> DataFrame:
-    """Medians over a trailing calendar-day range with enough observations."""
-    w = Window.partitionBy("entity").orderBy(F.unix_date("date")).rangeBetween(-(days - 1), 0)
-    n = F.count("pbr").over(w)
-
-    def m(c: Column) -> Column:
-        return F.when(n >= min_obs, F.percentile(c, 0.5).over(w))
-
-    return ratios.select("date", "entity", m(F.col("pe")).alias("pe_self_med"), m(F.col("pbr")).alias("pb_self_med"), m(F.nullif(F.col("dividend_yield"), F.lit(0.0))).alias("dy_self_med"))
+    """Medians over a trailing calendar-day range with enough observations; a yield of zero is none."""
+    cols = {"pe": "pe_self_med", "pbr": "pb_self_med", "dividend_yield": "dy_self_med"}
+    d = history_medians(ratios.withColumn("dividend_yield", F.nullif("dividend_yield", F.lit(0.0))), cols, days)
+    return d.select("date", "entity", *[F.when(F.col("n_pb_self_med") >= min_obs, F.col(o)).alias(o) for o in cols.values()])
 
 
 # ------------------------------------------------------------- statements and DCF

@@ -6,6 +6,7 @@ from tidewater.functions.exprs import iso, r6, with_scalar
 from tidewater.operators import cells as C
 from tidewater.operators import panel as P
 from tidewater.operators import stats as S
+from tidewater.operators import study as U
 from tidewater.operators.order import average_ranks, exact_quantiles
 from tidewater.operators.resample import block_bootstrap
 from tidewater.plans.panel_plans import panel_of
@@ -371,35 +372,43 @@ def sta19(t):
                                                     F.count(F.when(F.col("vol_ratio") >= 0.5, 1)).alias("n_liquid"))
 
 
-# permutation null: rows are dealt by a hash order within the date
-_NP = 20
-view("cv", "SELECT date, entity, ma20_dist_pct AS f, r20 AS r, alpha20 AS a FROM panel0 WHERE date IN (SELECT date FROM weekly) AND ma20_dist_pct IS NOT NULL AND r20 IS NOT NULL AND alpha20 IS NOT NULL")
-view("cvp", f"""SELECT x.p, x.f, y.r, y.a FROM (SELECT p, date, f, row_number() OVER (PARTITION BY p, date ORDER BY md5('42:'||p||':'||entity), entity) AS k FROM cv, range({_NP}) q(p)) x
-JOIN (SELECT date, r, a, row_number() OVER (PARTITION BY date ORDER BY entity) AS k FROM cv) y ON y.date=x.date AND y.k=x.k WHERE abs(x.f)>=1""")
-view("cvs", "SELECT p, avg(((r>0)=(f>0))::INT) AS hr, avg(((a>0)=(f>0))::INT) AS ha FROM cvp GROUP BY 1")
+# permutation null: f is dealt within the date by a keyed bijection of its places
+N_PERM = 200
 
 
-@query("sta20_convergence", f"""
-SELECT h.n, round(h.r,6) AS hit_r, round(h.a,6) AS hit_a, round(s.m,6) AS perm_r_mean, round(s.l[CAST(floor(0.025*{_NP}) AS INTEGER)+1],6) AS perm_r_lo, round(s.l[CAST(floor(0.975*{_NP}) AS INTEGER)+1],6) AS perm_r_hi
-FROM (SELECT count(*) AS n, avg(((r>0)=(f>0))::INT) AS r, avg(((a>0)=(f>0))::INT) AS a FROM cv WHERE abs(f)>=1) h, (SELECT avg(hr) AS m, list_sort(list(hr)) AS l FROM cvs) s""")
-def sta20(t):
-    """Sign agreement against a within-date permutation; ranks by hash keep dates whole yet
-    the deal is a join on (permutation, date, rank), never a pair product."""
-    from pyspark.sql import Window
+def convergence_views(pre, rows, keys, abs_min):
+    """SQL twin of ``study.convergence`` over view ``rows`` (keys, date, entity, f, r, a)."""
+    ks = ", ".join([*keys, "date"])
+    kk = "".join(f"{k}, " for k in keys)
+    rnd = lambda v, r, m: f"((((({v})*48271+key*69621+{r}*16807+12345)%2147483647)*48271%2147483647)//1024%{m})"
+    even = lambda x, r: f"((({x}//sb)+{rnd(f'{x}%sb', r, 'sa')})%sa)*sb+{x}%sb"
+    odd = lambda x, r: f"({x}//sb)*sb+({x}%sb+{rnd(f'{x}//sb', r, 'sb')})%sb"
+    view(f"{pre}_at", f"""SELECT *, CAST(ceil(n/sa::DOUBLE) AS BIGINT) AS sb FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS sa FROM (SELECT {ks}, f, r, a, row_number() OVER (PARTITION BY {ks} ORDER BY entity)-1 AS k, count(*) OVER (PARTITION BY {ks}) AS n
+  FROM {rows} WHERE f IS NOT NULL AND r IS NOT NULL AND a IS NOT NULL))""")
+    view(f"{pre}_x4", f"""SELECT *, {odd('x3', 3)} AS x4 FROM (SELECT *, {even('x2', 2)} AS x3 FROM (SELECT *, {odd('x1', 1)} AS x2 FROM (SELECT *, {even('k', 0)} AS x1 FROM (
+  SELECT *, CAST(p AS BIGINT)*1000003+(date-DATE '1970-01-01') AS key FROM {pre}_at, range({N_PERM}) q(p) WHERE abs(f)>={abs_min}))))""")
+    step = f"CASE WHEN i%2=0 THEN {even('s', '(i%4)')} ELSE {odd('s', '(i%4)')} END"
+    view(f"{pre}_to", f"""SELECT {ks}, p, f, CASE WHEN x4<n THEN x4 ELSE -list_reduce(list_prepend(x4, range(0, 4*(sa*sb-n)+4)), lambda s, i: CASE WHEN s<0 THEN s WHEN i%4=3 AND ({step})<n THEN -({step})-1 ELSE {step} END)-1 END AS k FROM {pre}_x4""")
+    on = " AND ".join(f"x.{k}=y.{k}" for k in [*keys, "date"])
+    view(f"{pre}_s", f"SELECT {''.join(f'x.{k}, ' for k in keys)}p, avg(((y.r>0)=(x.f>0))::INT) AS hr, avg(((y.a>0)=(x.f>0))::INT) AS ha FROM {pre}_to x JOIN {pre}_at y ON {on} AND x.k=y.k GROUP BY {''.join(f'x.{k}, ' for k in keys)}p")
+    lo, hi = int(0.025 * N_PERM) + 1, min(N_PERM - 1, int(0.975 * N_PERM)) + 1
+    band = ", ".join(f"round(avg(h{v}),6) AS perm_{v}_mean, round(list_sort(list(h{v}))[{lo}],6) AS perm_{v}_lo, round(list_sort(list(h{v}))[{hi}],6) AS perm_{v}_hi" for v in "ra")
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    view(f"{pre}_null", f"SELECT {kk}{band} FROM {pre}_s {group}")
+    view(f"{pre}_real", f"SELECT {kk}count(*) AS n, round(avg(((r>0)=(f>0))::INT),6) AS hit_r, round(avg(((a>0)=(f>0))::INT),6) AS hit_a FROM {pre}_at WHERE abs(f)>={abs_min} {group}")
+    return f"SELECT * FROM {pre}_real " + (f"JOIN {pre}_null USING ({', '.join(keys)})" if keys else f"CROSS JOIN {pre}_null")
+
 
+view("cv", "SELECT date, entity, ma20_dist_pct AS f, r20 AS r, alpha20 AS a FROM panel0 WHERE date IN (SELECT date FROM weekly)")
+PERM_COLS = ["hit_r", "hit_a", *[f"perm_{v}_{x}" for v in "ra" for x in ("mean", "lo", "hi")]]
+
+
+@query("sta20_convergence", convergence_views("cvp", "cv", [], 1))
+def sta20(t):
+    """Sign agreement against 200 within-date permutations, with bands for return and alpha."""
     d = panel_of(t).join(F.broadcast(P.weekly_dates(t.prices).select("date")), "date", "left_semi")
-    d = d.select("date", "entity", F.col("ma20_dist_pct").alias("f"), F.col("r20").alias("r"), F.col("alpha20").alias("a")).where("f is not null and r is not null and a is not null")
-    same = lambda v: F.avg(((F.col(v) > 0) == (F.col("f") > 0)).cast("double"))
-    big = F.abs("f") >= 1
-    real = d.where(big).agg(F.count(F.lit(1)).alias("n"), r6(same("r")).alias("hit_r"), r6(same("a")).alias("hit_a"))
-    p = d.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(_NP - 1))))
-    h = F.md5(F.concat_ws(":", F.lit("42"), F.col("p").cast("string"), F.col("entity").cast("string")))
-    x = p.select("p", "date", "f", F.row_number().over(Window.partitionBy("p", "date").orderBy(h, "entity")).alias("k"))
-    y = d.select("date", "r", "a", F.row_number().over(Window.partitionBy("date").orderBy("entity")).alias("k"))
-    st = x.join(y, ["date", "k"]).where(big).groupBy("p").agg(same("r").alias("hr"))
-    arr = F.array_sort(F.collect_list("hr"))
-    null = st.agg(r6(F.avg("hr")).alias("perm_r_mean"), r6(F.element_at(arr, int(0.025 * _NP) + 1)).alias("perm_r_lo"), r6(F.element_at(arr, int(0.975 * _NP) + 1)).alias("perm_r_hi"))
-    return with_scalar(real, null)
+    d = d.select("date", "entity", F.col("ma20_dist_pct").alias("f"), F.col("r20").alias("r"), F.col("alpha20").alias("a"))
+    return U.convergence(d, [], 1.0, N_PERM).select("n", *[r6(c).alias(c) for c in PERM_COLS])
 
 
 view("lev", "SELECT date, close AS price, ma60_dist_pct, r20, close/(1+ma60_dist_pct/100) AS fv FROM panel0 WHERE date IN (SELECT date FROM weekly) AND ma60_dist_pct IS NOT NULL AND r20 IS NOT NULL AND r20>-100")
