@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.session import make_session
 from tidewater.llm import chebyshev_whitening as cw
 from tidewater.llm import edit_embedding as ee
-from tidewater.llm import queries
+from tidewater.llm import queries, source_mix
 from tidewater.llm import turn_repair as tr
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -269,3 +269,11 @@ def test_near_pairs_against_all_pairs(spark):
     got = {(r[0], r[1]): r[2] for r in ee.near_pairs(df, df, "doc_id").collect()}
     assert {k: v for k, v in got.items() if k[0] in prints} .items() <= want.items()
     assert len([k for k in want if k in got]) >= 0.98 * len(want) and sum(a != b for a, b in want) > 100
+
+
+def test_mix_does_not_depend_on_partitions(spark):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randint(0, 200), f"s{rnd.choice([0, 0, 0, 1, 2])}") for i in range(500)] + [(7, "same text", "s1")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = [sorted(tuple(r) for r in source_mix.mix(d, carry=["doc_id"], block_words=8).collect()) for d in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("doc_id")))]
+    assert told[0] == told[1] == told[2] and sum(r[-1] for r in told[0]) > 0

@@ -73,10 +73,12 @@ def schedule(spark, shares: DataFrame, slots: int) -> DataFrame:
 def positions(sized: DataFrame, seed: int) -> DataFrame:
     """Adds begin: the words of the source's documents that come before in hashed order.
 
-    ``sized``: place, size, row and columns that tell rows apart.  Sums of
-    equal ranges of hashes come first, so a source is never sorted as one.
+    ``sized``: place, size, tie (of identifier and text) and row.  The order is
+    that of the contents; row numbers, which depend on the scan, only part rows
+    equal in both.  Sums of equal ranges of hashes come first, so a source is
+    never sorted as one.
     """
-    h = sized.withColumn("mixed", F.xxhash64(F.lit(seed), "tie", "row")).withColumn("bucket", F.pmod(F.shiftright("mixed", 20), F.lit(BUCKETS)))
+    h = sized.withColumn("mixed", F.xxhash64(F.lit(seed), "tie")).withColumn("bucket", F.pmod(F.shiftright("mixed", 20), F.lit(BUCKETS)))
     per = h.groupBy("place", "bucket").agg(F.sum("size").alias("n"))
     per = per.withColumn("before", F.sum("n").over(Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.sum("size").over(Window.partitionBy("place", "bucket").orderBy("mixed", "tie", "row").rowsBetween(Window.unboundedPreceding, -1))
