@@ -262,6 +262,64 @@ def episode_scores(fired: DataFrame, keys: Sequence[str], windows: DataFrame, ga
     return rate.join(g, list(keys), "left").fillna(0, ["n_episodes", "false_positives", "n_events_hit"])
 
 
+def window_scores(series: DataFrame, lookbacks: Sequence[int], deltas: Sequence[int], min_obs: int = 30) -> DataFrame:
+    """series_id, kind, delta (0 for the level), lookback, date, score: shares at or below the current value for every window in one pass a transform."""
+    w = own_rows("series_id")
+    known = series.where(F.col("value").isNotNull()).select("series_id", "date", "value")
+    parts = [known.withColumns({"kind": F.lit("level_pct"), "delta": F.lit(0)})]
+    for d in deltas:
+        change = known.select("series_id", "date", (F.col("value") - F.lag("value", d).over(w)).alias("value")).where(F.col("value").isNotNull())
+        parts.append(change.withColumns({"kind": F.lit("speed_pct"), "delta": F.lit(d)}))
+    frame = w.rowsBetween(-(max(lookbacks) - 1), 0)
+    out = None
+    for part in parts:
+        d = part.withColumn("_v", F.collect_list("value").over(frame)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") >= min_obs)
+        tail = lambda lb: F.slice("_v", F.greatest(F.size("_v") - lb + 1, F.lit(1)), F.lit(lb))
+        each = F.explode(F.array(*[F.struct(F.lit(lb).alias("lookback"), _at_most_of(tail(lb), F.col("value")).alias("score")) for lb in lookbacks])).alias("_x")
+        d = d.select("series_id", "kind", "delta", "date", each).select("series_id", "kind", "delta", "date", "_x.*")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def _at_most_of(values: Column, x: Column) -> Column:
+    return F.size(F.filter(values, lambda y: y <= x)) / F.nullif(F.size(values), F.lit(0))
+
+
+def episode_starts(scores: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """keys, date, above, score: for which thresholds a date starts an episode, namely those over ``above`` and up to its score.
+
+    As a threshold falls, days join runs and runs join across ``gap`` quiet
+    rows.  A day starts an episode as long as no day of the gap before it is
+    at the threshold: so one running maximum gives the episodes of every
+    threshold, without a pass for each.
+    """
+    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(gap + 1), -1)
+    above = F.coalesce(F.max("score").over(w), F.lit(float("-inf")))
+    return scores.select(*keys, "date", "score", above.alias("above")).where("score > above")
+
+
+def threshold_grid(scores: DataFrame, keys: Sequence[str], thresholds: str, hits: DataFrame, quiet: DataFrame, gap: int) -> DataFrame:
+    """keys, threshold, n_episodes, fire_rate, false_positives and hits (event -> first start), for all thresholds of each key at once.
+
+    ``scores`` carry an array column ``thresholds``, constant within keys.
+    ``hits`` (event, place, w0, w1) are windows in which a start counts, the
+    first place of an event before its later ones; a start in none of the
+    ``quiet`` windows (w0, w1) is a false positive.  Both are short lists.
+    """
+    every = scores.select(*keys, "score", F.explode(thresholds).alias("threshold"))
+    rate = every.groupBy(*keys, "threshold").agg(share(F.col("score") >= F.col("threshold")).alias("fire_rate"))
+    marks = scores.groupBy(*keys).agg(F.first(thresholds).alias("_t"))
+    starts = episode_starts(scores, keys, gap).join(marks, list(keys))
+    starts = starts.withColumn("threshold", F.explode(F.filter("_t", lambda x: (x > F.col("above")) & (x <= F.col("score"))))).select(*keys, "threshold", "date")
+    inside = starts.select("date").distinct().join(F.broadcast(quiet), (F.col("date") >= F.col("w0")) & (F.col("date") <= F.col("w1"))).select("date").distinct().withColumn("_in", F.lit(1))
+    n = starts.join(inside, "date", "left").groupBy(*keys, "threshold").agg(F.count(F.lit(1)).alias("n_episodes"), F.count(F.when(F.col("_in").isNull(), 1)).alias("false_positives"))
+    found = starts.join(F.broadcast(hits), (F.col("date") >= F.col("w0")) & (F.col("date") <= F.col("w1")))
+    first = found.groupBy(*keys, "threshold", "event").agg(F.min(F.struct("place", "date")).alias("_m"))
+    first = first.groupBy(*keys, "threshold").agg(F.map_from_entries(F.collect_list(F.struct("event", F.col("_m.date")))).alias("hits"))
+    k = [*keys, "threshold"]
+    return rate.join(n, k, "left").join(first, k, "left").fillna(0, ["n_episodes", "false_positives"])
+
+
 # ------------------------------------------------------------- washout
 
 
