@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.session import make_session
+from tidewater.operators import resample as B
 from tidewater.operators import study as U
 from tidewater.operators import valuation as V
 
@@ -104,3 +105,28 @@ def test_history_medians_against_windows(spark, days):
         seen = [v for f, g, v in rows if f == e and v is not None and g <= d and (days is None or (d - g).days < days)]
         m, n = got[e, d]
         assert n == len(seen) and (m == statistics.median(seen) if seen else m is None or np.isnan(m))
+
+
+def weight(ident, r, seed=20260710):
+    u = (ident % B.PRIME * 48271 + (r + seed) * 69621 + 1) % B.PRIME
+    for odd, one in B.STEPS:
+        u = (u * u + u * odd + one) % B.PRIME
+    return sum(u >= t for t in B.POISSON)
+
+
+def test_poisson_weights_are_poisson_and_unrelated():
+    w = np.array([[weight(e * 100_003 + 9000 + d, r) for r in range(40)] for e in range(30) for d in range(20)])
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06 and abs((w == 0).mean() - np.exp(-1)) < 0.02
+    rows, draws = np.corrcoef(w[:200]), np.corrcoef(w.T)
+    assert abs(rows[np.triu_indices(200, 1)].mean()) < 0.01 and abs(draws[np.triu_indices(40, 1)]).max() < 0.2
+
+
+def test_poisson_interval_against_plain_sums(spark):
+    rnd, n = random.Random(3), 80
+    rows = [(c, rnd.gauss(1, 2), i) for c, k in (("a", 60), ("b", 9), ("c", 300)) for i in range(k)] + [("a", None, 999)]
+    got = {r["c"]: (r["ci_lo"], r["ci_hi"]) for r in B.poisson_interval(spark.createDataFrame(rows, "c string, y double, i long"), ["c"], "y", "i", n).collect()}
+    assert got["b"] == (None, None)
+    for c in "ac":
+        part = [(y, i) for k, y, i in rows if k == c and y is not None]
+        means = sorted(sum(weight(i, r) * y for y, i in part) / sum(weight(i, r) for _, i in part) for r in range(n))
+        assert got[c] == pytest.approx((means[int(n * 0.025)], means[int(n * 0.975) - 1]))

@@ -7,6 +7,7 @@ an md5 counter hash, which any engine can repeat.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,3 +97,43 @@ def block_bootstrap(
         F.max(F.when(F.col("_q") == hi_i, F.col("_m"))).alias(hi),
     )
     return heads.select(*ks, F.col("_t").alias("n_obs"), "mean").join(ci, ks, "left")
+
+
+PRIME = 2_147_483_647
+#: Where a uniform whole number below PRIME reaches 1, 2, ... in a Poisson draw of mean 1.
+POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+
+
+def squared(u: Column, odd: int, one: int) -> Column:
+    """One mixing step modulo the prime, which any engine can repeat."""
+    return (u * u + u * odd + one) % PRIME
+
+
+STEPS = ((16807, 7), (48271, 11), (69621, 13))
+
+
+def poisson_interval(rows: DataFrame, keys: Sequence[str], value: str, ident: str, n_boot: int = 1000, seed: int = 20260710, alpha: float = 0.05) -> DataFrame:
+    """keys, ci_lo, ci_hi: percentile interval of the pooled mean of a table's rows.
+
+    Every row draws its own Poisson weight in each replicate from a counter
+    hash, so a replicate needs neither the number of rows nor their order: all
+    replicates are one sum that is combined map-side, however many rows a key
+    has.  Keys with less than ten rows get a null interval.
+    """
+    ks = list(keys)
+    d = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*ks, F.col(value).cast("double").alias("_y"), F.col(ident).alias("_id"))
+    size = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    u = (F.pmod(F.col("_id").cast("long"), F.lit(PRIME)) * 48271 + (F.col("_b").cast("long") + seed) * 69621 + 1) % PRIME
+    d = d.withColumn("_u", u)
+    for odd, one in STEPS:
+        d = d.withColumn("_u", squared(F.col("_u"), odd, one))
+    weight = sum(((F.col("_u") >= t).cast("int") for t in POISSON), F.lit(0))
+    d = d.withColumn("_w", weight)
+    means = d.groupBy(*ks, "_b").agg((F.sum(F.col("_w") * F.col("_y")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    order = Window.partitionBy(*ks).orderBy("_m")
+    means = means.withColumn("_q", F.row_number().over(order) - 1)  # one row a replicate
+    lo, hi = int(n_boot * (alpha / 2)), int(n_boot * (1 - alpha / 2)) - 1
+    ci = means.groupBy(*ks).agg(F.max(F.when(F.col("_q") == lo, F.col("_m"))).alias("_lo"), F.max(F.when(F.col("_q") == hi, F.col("_m"))).alias("_hi"))
+    enough = F.col("_n") >= 10
+    return size.join(ci, ks, "left").select(*ks, F.when(enough, F.col("_lo")).alias("ci_lo"), F.when(enough, F.col("_hi")).alias("ci_hi"))

@@ -9,13 +9,14 @@ from tidewater.operators import momentum as M
 from tidewater.operators import panel as P
 from tidewater.operators import valuation as V
 from tidewater.operators.order import exact_quantiles
+from tidewater.operators.resample import poisson_interval
 from tidewater.plans.flow_plans import gflows_of, lifted, panel_mh, trend_of
 from tidewater.plans.panel_plans import panel_of
 from tidewater.plans.regime_plans import regime_of
 from tidewater.plans.registry import query, view
-from tidewater.plans.stats_plans import boot_views, split_views
+from tidewater.plans.stats_plans import IDENT, boot_views, ident, poisson_views, split_views
 from tidewater.plans.valuation_plans import MINP, legs_sql
-from tidewater.sources.staging import staged
+from tidewater.sources.staging import cut, staged
 
 HS = (10, 20, 40)
 _AL = [f"alpha{h}" for h in HS]
@@ -246,29 +247,56 @@ SELECT *, CASE WHEN trend_score>=median(trend_score) OVER (PARTITION BY date) TH
 view("lag_mid", "SELECT quantile_cont(date-DATE '1970-01-01',0.5) AS mid FROM lag_rows")
 
 
-def _pool_sql(src, mid, labels, h):
+def _pool_sql(pre, src, mid, labels, hs):
+    """Views and SQL of a pooled table with its Poisson intervals, by horizon and labels, total included."""
     k = ", ".join(labels)
-    sel = ", ".join(f"coalesce({x},'{'（全體）' if i == 0 else '—'}') AS {x}" for i, x in enumerate(labels))
-    return f"""SELECT {h} AS horizon, {sel}, count(*) AS n, round(avg(y),6)+0.0 AS mean, round(median(y),6)+0.0 AS median, round(avg((y>0)::INT),6) AS win_rate,
-  round(avg(y) FILTER (WHERE date-DATE '1970-01-01'<=(SELECT mid FROM {mid})),6)+0.0 AS mean_h1, round(avg(y) FILTER (WHERE date-DATE '1970-01-01'>(SELECT mid FROM {mid})),6)+0.0 AS mean_h2
-FROM (SELECT {k}, date, alpha{h} AS y FROM {src} WHERE alpha{h} IS NOT NULL) GROUP BY GROUPING SETS (({k}), ())"""
+    total = ", ".join(f"'{'（全體）' if i == 0 else '—'}'" for i in range(len(labels)))
+    view(f"{pre}_rows", " UNION ALL ".join(f"SELECT {h} AS horizon, {x}, date, alpha{h} AS y, {IDENT} AS ident FROM {src} WHERE alpha{h} IS NOT NULL" for h in hs for x in (k, ", ".join(f"{v} AS {n}" for v, n in zip(total.split(", "), labels)))))
+    poisson_views(pre, f"{pre}_rows", ["horizon", *labels])
+    on = f"USING (horizon, {k})"
+    return f"""SELECT horizon, {k}, n, mean, median, win_rate, mean_h1, mean_h2, round(ci_lo,6)+0.0 AS ci_lo, round(ci_hi,6)+0.0 AS ci_hi FROM (SELECT horizon, {k}, count(*) AS n, round(avg(y),6)+0.0 AS mean, round(median(y),6)+0.0 AS median, round(avg((y>0)::INT),6) AS win_rate,
+  round(avg(y) FILTER (WHERE date-DATE '1970-01-01'<=(SELECT mid FROM {mid})),6)+0.0 AS mean_h1, round(avg(y) FILTER (WHERE date-DATE '1970-01-01'>(SELECT mid FROM {mid})),6)+0.0 AS mean_h2 FROM {pre}_rows GROUP BY ALL) JOIN {pre}_ci {on}"""
 
 
 def pool_grid(d, labels, hs):
     mid = C.mid_date(d)
-    long = C.by_horizon(d, hs, [*labels, "date"])
-    out = C.pooled_table(C.with_total(long, labels), ["horizon", *labels], "y", mid)
-    return out.select("horizon", *labels, "n", *[r6(x).alias(x) for x in ("mean", "median", "win_rate", "mean_h1", "mean_h2")])
+    long = cut(C.with_total(C.by_horizon(d.withColumn("ident", ident()), hs, [*labels, "date", "ident"]), labels))
+    k = ["horizon", *labels]
+    out = C.pooled_table(long, k, "y", mid).join(poisson_interval(long, k, "y", "ident"), k)
+    return out.select(*k, "n", *[r6(x).alias(x) for x in ("mean", "median", "win_rate", "mean_h1", "mean_h2", "ci_lo", "ci_hi")])
 
 
 _L3 = ["group_strength", "stock_pos", "tier"]
 
 
-@query("cel13_laggard_grid", " UNION ALL ".join(_pool_sql("lag_rows", "lag_mid", _L3, h) for h in (10, 20)))
+@query("cel13_laggard_grid", _pool_sql("c13", "lag_rows", "lag_mid", _L3, (10, 20)))
 def cel13(t):
     return pool_grid(C.laggard_labels(srows_of(t), 0.0, 2.0), _L3, (10, 20))
 
 
+_CELL13 = [(g, p, x) for g in ("族群強", "族群弱") for p in ("落後", "領先") for x in ("貼低≤0", "中段0–2", "延伸>2")]
+_REGIMES = ("進攻", "中性", "防禦")
+view("c13g", " UNION ALL ".join(f"SELECT {h} AS horizon, '{r}' AS regime, '{g}' AS group_strength, '{p}' AS stock_pos, '{x}' AS tier" for h in (10, 20) for r in _REGIMES for g, p, x in _CELL13))
+view("c13d", " UNION ALL ".join(f"SELECT {h} AS horizon, {h + 1} AS blk, regime, group_strength, stock_pos, tier, date, avg(alpha{h}) AS v, count(*) AS c FROM lag_rows WHERE alpha{h} IS NOT NULL AND regime IS NOT NULL GROUP BY ALL" for h in (10, 20)))
+_K13 = ["horizon", "regime", *_L3]
+boot_views("c13r", "c13d", _K13, "blk")
+
+
+@query("cel13_laggard_by_regime", f"""SELECT {', '.join(f'g.{k}' for k in _K13)}, coalesce(n.n,0) AS n, coalesce(c.n_obs,0) AS n_dates, round(c.mean,6)+0.0 AS mean, round(c.ci_lo,6)+0.0 AS ci_lo, round(c.ci_hi,6)+0.0 AS ci_hi, (coalesce(c.n_obs,0)<30)::INT AS thin
+FROM c13g g LEFT JOIN c13r_ci c USING ({', '.join(_K13)}) LEFT JOIN (SELECT {', '.join(_K13)}, CAST(sum(c) AS BIGINT) AS n FROM c13d GROUP BY ALL) n USING ({', '.join(_K13)})""")
+def cel13_regime(t):
+    """Every cell of every regime, empty ones too: mean of the daily means with its block interval."""
+    from tidewater.operators.resample import block_bootstrap
+
+    d = C.laggard_labels(srows_of(t), 0.0, 2.0).where(F.col("regime").isNotNull() & F.col("regime").isin(*_REGIMES))
+    day = cut(C.by_horizon(d, (10, 20), ["date", "regime", *_L3]).groupBy(*_K13, "date").agg(F.avg("y").alias("v"), F.count(F.lit(1)).alias("c"), F.max(F.col("horizon") + 1).alias("blk")))
+    ci = block_bootstrap(day, _K13, "date", "v", "blk")
+    n = day.groupBy(*_K13).agg(F.sum("c").alias("n"))
+    every = t.spark.createDataFrame([(h, r, *c) for h in (10, 20) for r in _REGIMES for c in _CELL13], "horizon int, regime string, group_strength string, stock_pos string, tier string")
+    out = F.broadcast(every).join(n, _K13, "left").join(ci, _K13, "left")
+    return out.select(*_K13, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_obs", F.lit(0)).cast("bigint").alias("n_dates"), *[r6(x).alias(x) for x in ("mean", "ci_lo", "ci_hi")], (F.coalesce("n_obs", F.lit(0)) < 30).cast("int").alias("thin"))
+
+
 view("g3_rows", """
 SELECT s.*, CASE WHEN rk<=5 THEN '族群前5' ELSE '族群非前5' END AS group_strength, CASE WHEN rs_subind BETWEEN -3 AND 0 THEN '貼落後' ELSE '非貼落後' END AS stock_pos,
   CASE WHEN ma60_dist_pct BETWEEN -2 AND 2 THEN '位階中段' ELSE '破線或延伸' END AS tier, CASE WHEN net_flow_z>=0 THEN '資金非負' ELSE '資金為負' END AS flow
@@ -278,25 +306,50 @@ view("g3_mid", "SELECT quantile_cont(date-DATE '1970-01-01',0.5) AS mid FROM g3_
 _L4 = [*_L3, "flow"]
 
 
-@query("cel14_four_way_grid", " UNION ALL ".join(_pool_sql("g3_rows", "g3_mid", _L4, h) for h in (10, 20)))
+@query("cel14_four_way_grid", _pool_sql("c14", "g3_rows", "g3_mid", _L4, (10, 20)))
 def cel14(t):
     return pool_grid(C.four_way_labels(srows_of(t), weekly_trend(t), (-3.0, 0.0), (-2.0, 2.0)), _L4, (10, 20))
 
 
-@query("cel15_contrarian_lift", """
-SELECT 20 AS horizon, coalesce(bucket,'（全體）') AS bucket, count(*) AS n, round(avg(y),6)+0.0 AS mean, round(median(y),6)+0.0 AS median, round(avg((y>0)::INT),6) AS win_rate FROM (
-  SELECT CASE WHEN focal THEN 'focal' ELSE 'other' END AS bucket, alpha20 AS y FROM lifted WHERE alpha20 IS NOT NULL) GROUP BY GROUPING SETS ((bucket), ())""")
+view("con_rows", "SELECT date, entity, CASE WHEN focal THEN 'focal' ELSE 'other' END AS bucket, alpha5, alpha20 FROM lifted")
+view("con_mid", "SELECT quantile_cont(date-DATE '1970-01-01',0.5) AS mid FROM con_rows")
+
+
+view("c14d", " UNION ALL ".join(f"SELECT {h} AS horizon, {C.block_snapshots(h)} AS blk, {', '.join(_L4)}, date, avg(d) AS v FROM (SELECT *, alpha{h}-avg(alpha{h}) OVER (PARTITION BY date) AS d FROM g3_rows WHERE alpha{h} IS NOT NULL) GROUP BY ALL" for h in (10, 20)))
+boot_views("c14r", "c14d", ["horizon", *_L4], "blk")
+
+
+@query("cel14_four_way_delta", f"SELECT horizon, {', '.join(_L4)}, (group_strength='族群前5' AND stock_pos='貼落後' AND tier='位階中段' AND flow='資金非負')::INT AS is_target, n_obs AS n_dates, round(mean,6)+0.0 AS delta_mean, round(ci_lo,6)+0.0 AS ci_lo, round(ci_hi,6)+0.0 AS ci_hi FROM c14r_ci")
+def cel14_delta(t):
+    """Cells against the mean of all rows of their date, with a block interval of the daily difference."""
+    from tidewater.operators.resample import block_bootstrap
+
+    long = cut(C.by_horizon(C.four_way_labels(srows_of(t), weekly_trend(t), (-3.0, 0.0), (-2.0, 2.0)), (10, 20), ["date", *_L4]))
+    pop = long.groupBy("horizon", "date").agg(F.avg("y").alias("_pop"))
+    k = ["horizon", *_L4]
+    day = long.join(F.broadcast(pop), ["horizon", "date"]).groupBy(*k, "date").agg(F.avg(F.col("y") - F.col("_pop")).alias("v"), F.max("blk").alias("blk"))
+    target = (F.col("group_strength") == "族群前5") & (F.col("stock_pos") == "貼落後") & (F.col("tier") == "位階中段") & (F.col("flow") == "資金非負")
+    return block_bootstrap(day, k, "date", "v", "blk").select(*k, target.cast("int").alias("is_target"), F.col("n_obs").alias("n_dates"), r6("mean").alias("delta_mean"), r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
+@query("cel15_contrarian_lift", _pool_sql("c15", "con_rows", "con_mid", ["bucket"], (5, 20)))
 def cel15(t):
-    d = lifted(t).select("date", F.when(F.col("focal"), "focal").otherwise("other").alias("bucket"), F.col("alpha20").alias("y"))
-    o = C.pooled_table(C.with_total(d, ["bucket"]), ["bucket"], "y")
-    return o.select(F.lit(20).alias("horizon"), "bucket", "n", *[r6(x).alias(x) for x in ("mean", "median", "win_rate")])
+    d = lifted(t).select("date", "entity", F.when(F.col("focal"), "focal").otherwise("other").alias("bucket"), "alpha5", "alpha20")
+    return pool_grid(d, ["bucket"], (5, 20))
+
+
+view("dec_rows", f"SELECT inflection AS flow, proximity AS base, alpha20 AS y, {IDENT} AS ident FROM lifted WHERE alpha20 IS NOT NULL AND inflection IS NOT NULL AND proximity<>''")
+poisson_views("dec", "dec_rows", ["flow", "base"])
 
 
-@query("cel15_contrarian_decomposition", "SELECT inflection AS flow, proximity AS base, count(*) AS n, round(avg(alpha20),6)+0.0 AS mean, round(avg((alpha20>0)::INT),6) AS win_rate FROM lifted WHERE alpha20 IS NOT NULL AND inflection IS NOT NULL AND proximity<>'' GROUP BY 1,2")
+@query("cel15_contrarian_decomposition", """SELECT flow, base, n, mean, win_rate, round(ci_lo,6)+0.0 AS ci_lo, round(ci_hi,6)+0.0 AS ci_hi FROM (
+  SELECT flow, base, count(*) AS n, round(avg(y),6)+0.0 AS mean, round(avg((y>0)::INT),6) AS win_rate FROM dec_rows GROUP BY 1,2) JOIN dec_ci USING (flow, base)""")
 def cel15b(t):
     d = lifted(t).where(F.col("alpha20").isNotNull() & F.col("inflection").isNotNull() & (F.col("proximity") != ""))
-    return d.groupBy(F.col("inflection").alias("flow"), F.col("proximity").alias("base")).agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("alpha20")).alias("mean"), r6(F.avg((F.col("alpha20") > 0).cast("double"))).alias("win_rate"))
+    d = cut(d.select(F.col("inflection").alias("flow"), F.col("proximity").alias("base"), F.col("alpha20").alias("y"), ident().alias("ident")))
+    k = ["flow", "base"]
+    g = d.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("y")).alias("mean"), r6(F.avg((F.col("y") > 0).cast("double"))).alias("win_rate"))
+    return g.join(poisson_interval(d, k, "y", "ident"), k).select(*k, "n", "mean", "win_rate", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
 
 
 view("foc_d", "SELECT 20 AS horizon, date, avg(lift20) AS v FROM lifted WHERE focal AND lift20 IS NOT NULL GROUP BY date")

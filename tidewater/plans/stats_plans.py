@@ -8,11 +8,11 @@ from tidewater.operators import panel as P
 from tidewater.operators import stats as S
 from tidewater.operators import study as U
 from tidewater.operators.order import average_ranks, exact_quantiles
-from tidewater.operators.resample import block_bootstrap
+from tidewater.operators.resample import POISSON, PRIME, STEPS, block_bootstrap, poisson_interval
 from tidewater.plans.panel_plans import panel_of
 from tidewater.plans.regime_plans import regime_of
 from tidewater.plans.registry import query, view
-from tidewater.sources.staging import staged
+from tidewater.sources.staging import cut, staged
 
 FACTORS = ["ma20_dist_pct", "ma60_dist_pct", "vol_ratio"]
 
@@ -43,6 +43,28 @@ LEFT JOIN {pre}_pts g ON {on.format('g')} AND g.i=d.st-1 GROUP BY {dkk}d.r""")
 SELECT {kk}max(CASE WHEN q={lo} THEN m END) AS lo, max(CASE WHEN q={hi} THEN m END) AS hi FROM {pre}_q {f'GROUP BY {k}' if keys else ''}) c ON {on.format('c')}""")
 
 
+#: A whole number that names a row of an entity and a date, in SQL and as a column.
+IDENT = "(entity::BIGINT*100003+(date-DATE '1970-01-01'))"
+
+
+def ident():
+    return F.col("entity").cast("long") * 100_003 + F.unix_date("date")
+
+
+def poisson_views(pre, rows, keys, n_boot=1000, seed=20260710, alpha=0.05):
+    """SQL twin of the Poisson interval over view ``rows`` (keys, y, ident)."""
+    k = ", ".join(keys)
+    u = "u"
+    steps = f"SELECT {k}, y, r, ((ident%{PRIME})*48271+(r+{seed})*69621+1)%{PRIME} AS u FROM (SELECT {k}, y, CAST(ident AS BIGINT) AS ident FROM {rows} WHERE y IS NOT NULL), range({n_boot}) q(r)"
+    for odd, one in STEPS:
+        steps = f"SELECT {k}, y, r, ({u}*{u}+{u}*{odd}+{one})%{PRIME} AS u FROM ({steps})"
+    w = "+".join(f"(u>={x})::INT" for x in POISSON)
+    view(f"{pre}_m", f"SELECT {k}, r, sum(w*y)/nullif(sum(w),0) AS m FROM (SELECT *, {w} AS w FROM ({steps})) WHERE w>0 GROUP BY {k}, r")
+    lo, hi = int(n_boot * (alpha / 2)), int(n_boot * (1 - alpha / 2)) - 1
+    view(f"{pre}_q", f"SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY m)-1 AS q FROM {pre}_m")
+    view(f"{pre}_ci", f"SELECT {k}, CASE WHEN n>=10 THEN lo END AS ci_lo, CASE WHEN n>=10 THEN hi END AS ci_hi FROM (SELECT {k}, max(CASE WHEN q={lo} THEN m END) AS lo, max(CASE WHEN q={hi} THEN m END) AS hi FROM {pre}_q GROUP BY {k}) JOIN (SELECT {k}, count(y) AS n FROM {rows} GROUP BY {k}) USING ({k})")
+
+
 def fisher_sql(ic, n):
     out = []
     for nm, sg in (("ci_lo", "-"), ("ci_hi", "+")):
@@ -220,13 +242,18 @@ def sta11(t):
                     (F.col("factor") == F.col("_best")).cast("int").alias("selected"))
 
 
+view("lift12", f"SELECT coalesce(sub_industry,'none') AS category, alpha20 AS y, {IDENT} AS ident FROM panel WHERE alpha20 IS NOT NULL UNION ALL SELECT '（全體）', alpha20, {IDENT} FROM panel WHERE alpha20 IS NOT NULL")
+poisson_views("ci12", "lift12", ["category"])
+
+
 @query("sta12_category_lift", """
-SELECT coalesce(category,'（全體）') AS category, count(*) AS n, round(avg(y),6)+0.0 AS mean, round(median(y),6)+0.0 AS median, round(avg((y>0)::INT),6) AS win_rate
-FROM (SELECT coalesce(sub_industry,'none') AS category, alpha20 AS y FROM panel WHERE alpha20 IS NOT NULL) GROUP BY GROUPING SETS ((category), ())""")
+SELECT category, n, mean, median, win_rate, round(ci_lo,6)+0.0 AS ci_lo, round(ci_hi,6)+0.0 AS ci_hi FROM (
+  SELECT category, count(*) AS n, round(avg(y),6)+0.0 AS mean, round(median(y),6)+0.0 AS median, round(avg((y>0)::INT),6) AS win_rate FROM lift12 GROUP BY 1) JOIN ci12_ci USING (category)""")
 def sta12(t):
-    p = panel_of(t).where(F.col("alpha20").isNotNull()).select(F.coalesce("sub_industry", F.lit("none")).alias("category"), F.col("alpha20").alias("y"), "date")
-    d = C.pooled_table(C.with_total(p, ["category"]), ["category"], "y")
-    return d.select("category", "n", *[r6(c).alias(c) for c in ("mean", "median", "win_rate")])
+    p = panel_of(t).where(F.col("alpha20").isNotNull()).select(F.coalesce("sub_industry", F.lit("none")).alias("category"), F.col("alpha20").alias("y"), "date", ident().alias("ident"))
+    rows = cut(C.with_total(p, ["category"]))
+    d = C.pooled_table(rows, ["category"], "y").join(poisson_interval(rows, ["category"], "y", "ident"), "category")
+    return d.select("category", "n", *[r6(c).alias(c) for c in ("mean", "median", "win_rate", "ci_lo", "ci_hi")])
 
 
 _ED, _LB = (-3.0, -1.0, 0.0, 1.0, 3.0), ("<=-3", "-3..-1", "-1..0", "0..1", "1..3", ">3")
