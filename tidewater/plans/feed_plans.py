@@ -1,10 +1,13 @@
 """Ingest queries: feed rows are derived from the tables in the feeds' own text form, then parsed."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.exprs import iso, r6, week_tag
+from tidewater.operators import history as H
 from tidewater.operators import panel as P
 from tidewater.plans.registry import query, view
+from tidewater.sources.staging import staged
 from tidewater.sources import feeds as S
 
 view("feed_day", "SELECT date, entity, close, volume, round(close-floor(close/100),0) AS lo FROM prices")
@@ -191,9 +194,32 @@ def src21(t):
     return S.peer_membership(t.themes, t.broad)
 
 
-@query("src22_state_freeze", "SELECT isoyear(w.date)||'-W'||lpad(weekofyear(w.date)::VARCHAR,2,'0') AS snapshot_week, m.grp, p.entity, p.close FROM prices p JOIN weekly w USING (date) JOIN membership m USING (entity)")
+# A quarter's tags: brands that make a twelfth of an entity's lines in it. They come, go and return.
+view("quarter_tags", """SELECT q, entity, grp FROM (SELECT year(l_shipdate)*4+quarter(l_shipdate)-1 AS q, l_suppkey AS entity, p_brand AS grp, count(*) AS c, sum(count(*)) OVER (PARTITION BY year(l_shipdate)*4+quarter(l_shipdate)-1, l_suppkey) AS n
+  FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3) WHERE c*12>=n""")
+
+
+def quarter_tags(t):
+    def build():
+        day = F.to_date("l_shipdate")
+        p = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("grp"))
+        c = t.raw("lineitem").select("l_partkey", F.col("l_suppkey").alias("entity"), (F.year(day) * 4 + F.quarter(day) - 1).alias("q")).join(p, "l_partkey").groupBy("q", "entity", "grp").agg(F.count(F.lit(1)).alias("c"))
+        return c.withColumn("n", F.sum("c").over(Window.partitionBy("q", "entity"))).where("c * 12 >= n").select("q", "entity", "grp")
+
+    return staged(t.spark, t.root, "quarter_tags", build)
+
+
+@query("src22_membership_intervals", """SELECT entity, grp, CAST(min(q) AS INTEGER) AS valid_from, CAST(CASE WHEN max(q)<(SELECT max(q) FROM quarter_tags) THEN max(q)+1 END AS INTEGER) AS valid_to
+FROM (SELECT *, q-row_number() OVER (PARTITION BY entity, grp ORDER BY q) AS g FROM quarter_tags) GROUP BY entity, grp, g""")
+def src22_intervals(t):
+    """Tags as validity intervals: opened, closed and reopened by the quarterly snapshots."""
+    return H.validity_intervals(quarter_tags(t), ["entity", "grp"], "q")
+
+
+@query("src22_state_freeze", "SELECT isoyear(w.date)||'-W'||lpad(weekofyear(w.date)::VARCHAR,2,'0') AS snapshot_week, m.grp, p.entity, p.close FROM prices p JOIN weekly w USING (date) JOIN quarter_tags m ON m.entity=p.entity AND m.q=year(w.date)*4+quarter(w.date)-2")
 def src22(t):
-    """Membership as of each week, kept with the rows it applies to."""
+    """Tags as frozen for each week, those of the last whole quarter before it, kept with the rows they apply to."""
     wk = F.broadcast(P.weekly_dates(t.prices).select("date"))
-    rows = t.prices.join(wk, "date", "left_semi")
-    return S.freeze(rows.join(t.membership, "entity"), week_tag("date")).select("snapshot_week", "grp", "entity", "close")
+    rows = t.prices.join(wk, "date", "left_semi").withColumn("q", F.year("date") * 4 + F.quarter("date") - 2)
+    held = H.as_of(rows, H.validity_intervals(quarter_tags(t), ["entity", "grp"], "q"), "entity", "q")
+    return S.freeze(held, week_tag("date")).select("snapshot_week", "grp", "entity", "close")
