@@ -248,7 +248,7 @@ UNION ALL SELECT o.series_id, o.n, o.seq, CASE r.color WHEN 'green' THEN CASE WH
 def str01(t):
     ev = T.file_stream(t.spark, t.root, "events").select(F.col("event_type").alias("series_id"), "ts", F.col("event_id").alias("seq"), F.least(F.col("value") * 4, F.lit(100.0)).alias("score"))
     base = f"{stage_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    return T.run_to_table(T.light_stream(ev, 60, 80, 3), t.spark, f"{base}/out", f"{base}/ckpt").select("series_id", "seq", "color")
+    return T.run_lights(ev, t.spark, base, 60, 80, 3).select("series_id", "seq", "color")
 
 
 @query("str02_keyed_append", "SELECT strftime(ts,'%Y-%m-%d') AS day, user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1,2,3")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.sources.staging import cut, write_stage
 
@@ -25,26 +24,91 @@ def step(prev: str | None, s: float | None, green_max: float, red_min: float, ba
     return "red" if s >= up[1] else "green" if s < down[0] else "yellow"
 
 
-def light_stream(scores: DataFrame, green_max: float, red_min: float, band: float) -> DataFrame:
-    """series_id, ts, score -> colour of every reading; state is one colour per series.
+STATES = ("insufficient", "green", "yellow", "red")
 
-    Readings are folded in event-time order within a micro-batch; batches must
-    arrive in order per series.  Rows of a series in one batch come as Arrow
-    chunks, so only the colour is kept between them.
+
+def _colors(slices: DataFrame, green_max: float, red_min: float, band: float) -> DataFrame:
+    """Slices with the state in which they are entered -> one row per reading with its colour."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for key, state, rows in zip(d["series_id"], d["state"], d["rows"]):
+                out = []
+                for r in rows:
+                    state = step(state, r["score"], green_max, red_min, band)
+                    out.append((key, r["ts"], r["seq"], state))
+                yield pd.DataFrame(out, columns=["series_id", "ts", "seq", "color"])
+
+    return slices.mapInPandas(told, "series_id string, ts timestamp, seq bigint, color string")
+
+
+def _maps(slices: DataFrame, green_max: float, red_min: float, band: float) -> DataFrame:
+    """Each slice as a map of the four states: the colour it ends in for each colour it can be entered with."""
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            ends = []
+            for rows in d["rows"]:
+                now = list(STATES)
+                for r in rows:
+                    now = [step(x, r["score"], green_max, red_min, band) for x in now]
+                ends.append(now)
+            yield d[["series_id", "slice"]].assign(ends=ends)
+
+    return slices.select("series_id", "slice", "rows").mapInPandas(mapped, "series_id string, slice long, ends array<string>")
+
+
+def light_batch(path: str, state: str, green_max: float, red_min: float, band: float, slice_rows: int = 1024):
+    """foreachBatch writer of colours below ``path``; the last colour of every series is kept below ``state``.
+
+    Maps of states compose, so a series need not be folded reading by reading
+    in one task: its readings lie in slices of bounded size on many tasks, each
+    slice becomes one map, one small row a slice is folded per series, and the
+    slices are then coloured where they lie.  A batch is written under its
+    number and starts from the state of the batch before, so a replay gives
+    the same files.
     """
 
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = state.get[0] if state.exists else None
-        rows = pd.concat(list(chunks)).sort_values(["ts", "seq"])
-        out = []
-        for s in rows["score"]:
-            prev = step(prev, None if pd.isna(s) else float(s), green_max, red_min, band)
-            out.append(prev)
-        state.update((prev,))
-        yield pd.DataFrame({"series_id": key[0], "ts": rows["ts"].values, "seq": rows["seq"].values, "color": out})
-
-    return scores.groupBy("series_id").applyInPandasWithState(
-        fold, "series_id string, ts timestamp, seq bigint, color string", "color string", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = cut(batch.select("series_id", F.col("ts").cast("timestamp").alias("ts"), "seq", F.col("score").cast("double").alias("score")))
+        # Places within a series from counts of short stretches of time, so that no series is sorted as one.
+        stretch = F.floor(F.unix_micros("ts") / 60_000_000)
+        rows = rows.withColumn("_t", stretch)
+        ends = Window.partitionBy("series_id").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy("series_id", "_t").agg(F.count(F.lit(1)).alias("_c")).select("series_id", "_t", F.coalesce(F.sum("_c").over(ends), F.lit(0)).alias("_before"))
+        inside = F.row_number().over(Window.partitionBy("series_id", "_t").orderBy("ts", "seq")) - 1
+        placed = rows.withColumn("_in", inside).join(counts, ["series_id", "_t"]).withColumn("slice", F.floor((F.col("_before") + F.col("_in")) / slice_rows))
+        slices = cut(placed.groupBy("series_id", "slice").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "score"))).alias("rows")))
+        try:
+            known = spark.read.schema("series_id string, color string, batch long").parquet(state).where(F.col("batch") < batch_id)
+            known = known.groupBy("series_id").agg(F.max_by("color", "batch").alias("color"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only a missing table is a first batch
+                raise
+            known = slices.limit(0).select("series_id", F.lit("").alias("color"))
+
+        def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            now, out = part["color"].iloc[0] or STATES[0], []
+            for n, to in sorted(zip(part["slice"], part["ends"])):
+                out.append((key[0], n, now, to[STATES.index(now)]))
+                now = out[-1][3]
+            return pd.DataFrame(out, columns=["series_id", "slice", "state", "leaves"])
+
+        maps = _maps(slices, green_max, red_min, band).join(known, "series_id", "left")
+        entered = cut(maps.groupBy("series_id").applyInPandas(walk, "series_id string, slice long, state string, leaves string"))
+        _colors(slices.join(entered, ["series_id", "slice"]), green_max, red_min, band).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        last = entered.groupBy("series_id").agg(F.max_by("leaves", "slice").alias("color"))
+        last.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    return write
+
+
+def run_lights(scores: DataFrame, spark: SparkSession, base: str, green_max: float, red_min: float, band: float, slice_rows: int = 1024) -> DataFrame:
+    """series_id, ts, seq, score as a stream -> the colour of every reading, over all batches available. Batches come in order of time per series."""
+    work = light_batch(f"{base}/out", f"{base}/state", green_max, red_min, band, slice_rows)
+    scores.writeStream.foreachBatch(work).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("series_id string, ts timestamp, seq bigint, color string").parquet(f"{base}/out")
 
 
 def upsert_batch(path: str, part: str, keys: Sequence[str], by: Sequence[str]):
