@@ -99,19 +99,24 @@ def cel01b(t):
     return regime_out(C.evaluate_cells_by_regime(rot_cells(t), HS))
 
 
-for _h in (10, 20):
-    split_views(f"cwf{_h}", "rot_cells", _h + 1)
-view("cwf_l", " UNION ALL ".join(f"SELECT {h} AS horizon, s.split_id, c.date, c.cell, c.alpha{h} AS y, {C.block_snapshots(h)} AS blk FROM rot_cells c JOIN cwf{h} s ON c.date BETWEEN s.test_start AND s.test_end WHERE c.alpha{h} IS NOT NULL" for h in (10, 20)))
-view("cwf_d", "SELECT horizon, split_id, cell, date, avg(y)-max(pop) AS v, max(blk) AS blk, count(*) AS c FROM (SELECT *, avg(y) OVER (PARTITION BY horizon, split_id, date) AS pop FROM cwf_l) GROUP BY 1,2,3,4")
-boot_views("cwfb", "cwf_d", ["horizon", "split_id", "cell"], "blk")
+def walk_sql(pre, cells, hs):
+    """Views and SQL of a grid on the test blocks of every horizon."""
+    for h in hs:
+        split_views(f"{pre}w{h}", cells, h + 1)
+    view(f"{pre}w_l", " UNION ALL ".join(f"SELECT {h} AS horizon, s.split_id, c.date, c.cell, c.alpha{h} AS y, {C.block_snapshots(h)} AS blk FROM {cells} c JOIN {pre}w{h} s ON c.date BETWEEN s.test_start AND s.test_end WHERE c.alpha{h} IS NOT NULL" for h in hs))
+    view(f"{pre}w_d", f"SELECT horizon, split_id, cell, date, avg(y)-max(pop) AS v, max(blk) AS blk, count(*) AS c FROM (SELECT *, avg(y) OVER (PARTITION BY horizon, split_id, date) AS pop FROM {pre}w_l) GROUP BY 1,2,3,4")
+    boot_views(f"{pre}wb", f"{pre}w_d", ["horizon", "split_id", "cell"], "blk")
+    return f"""SELECT horizon, CAST(split_id AS BIGINT) AS split_id, cell, n AS test_n, n_obs AS test_n_dates, round(mean,6)+0.0 AS test_delta_mean, round(ci_lo,6)+0.0 AS test_ci_lo, round(ci_hi,6)+0.0 AS test_ci_hi
+FROM {pre}wb_ci JOIN (SELECT horizon, split_id, cell, CAST(sum(c) AS BIGINT) AS n FROM {pre}w_d GROUP BY 1,2,3) USING (horizon, split_id, cell)"""
+
+
+def walk_out(d):
+    return d.select("horizon", F.col("split_id").cast("bigint").alias("split_id"), "cell", "test_n", "test_n_dates", *[r6(x).alias(x) for x in ("test_delta_mean", "test_ci_lo", "test_ci_hi")])
 
 
-@query("cel02_walk_forward_cells", """
-SELECT horizon, CAST(split_id AS BIGINT) AS split_id, cell, n AS test_n, n_obs AS test_n_dates, round(mean,6)+0.0 AS test_delta_mean, round(ci_lo,6)+0.0 AS test_ci_lo, round(ci_hi,6)+0.0 AS test_ci_hi
-FROM cwfb_ci JOIN (SELECT horizon, split_id, cell, CAST(sum(c) AS BIGINT) AS n FROM cwf_d GROUP BY 1,2,3) USING (horizon, split_id, cell)""")
+@query("cel02_walk_forward_cells", walk_sql("c2", "rot_cells", HS))
 def cel02(t):
-    d = C.walk_forward_cells(rot_cells(t), (10, 20))
-    return d.select("horizon", F.col("split_id").cast("bigint").alias("split_id"), "cell", "test_n", "test_n_dates", *[r6(x).alias(x) for x in ("test_delta_mean", "test_ci_lo", "test_ci_hi")])
+    return walk_out(C.walk_forward_cells(rot_cells(t), HS))
 
 
 @query("cel03_rotation_cells", "SELECT strftime(date,'%Y-%m-%d') AS date, grp, entity, cell FROM rot_cells")
@@ -141,10 +146,26 @@ def recent_of(t):
 view("rf_cells", "SELECT s.* REPLACE (s.cell||CASE WHEN r.recent THEN '_triggered' ELSE '_untriggered' END AS cell) FROM rot_cells s JOIN recent r USING (grp, date)")
 
 
-@query("cel04_rotation_flow_cells", cell_sql("c4", "rf_cells", (20,)))
+@query("cel04_rotation_flow_cells", cell_sql("c4", "rf_cells", HS))
 def cel04(t):
-    d = rot_cells(t).join(recent_of(t), ["grp", "date"]).withColumn("cell", F.concat("cell", F.when(F.col("recent"), "_triggered").otherwise("_untriggered")))
-    return cell_out(C.evaluate_cells(d, (20,)))
+    return cell_out(C.evaluate_cells(rf_cells(t), HS))
+
+
+def rf_cells(t):
+    return rot_cells(t).join(recent_of(t), ["grp", "date"]).withColumn("cell", F.concat("cell", F.when(F.col("recent"), "_triggered").otherwise("_untriggered")))
+
+
+view("fl_cells", "SELECT s.*, CASE WHEN r.recent THEN 'hit' ELSE 'miss' END AS cell FROM srows s JOIN recent r USING (grp, date)")
+
+
+def fl_cells(t):
+    return srows_of(t).join(recent_of(t), ["grp", "date"]).withColumn("cell", F.when(F.col("recent"), "hit").otherwise("miss"))
+
+
+@query("cel04_flow_cells", cell_sql("c4f", "fl_cells", HS))
+def cel04b(t):
+    """Groups whose flow was triggered lately against the rest, whatever their rank."""
+    return cell_out(C.evaluate_cells(fl_cells(t), HS))
 
 
 def _top_sql(src, val, ok="true"):
@@ -157,8 +178,12 @@ view("mg_cells", _top_sql("mg_rows", "chg"))
 
 @query("cel05_margin_cells", cell_sql("c5", "mg_cells", HS))
 def cel05(t):
+    return cell_out(C.evaluate_cells(mg_cells(t), HS))
+
+
+def mg_cells(t):
     d = C.pct_change_rows(panel_mh(t), "margin_balance", 5, 50.0).join(F.broadcast(P.weekly_dates(t.prices).select("date")), "date", "left_semi")
-    return cell_out(C.evaluate_cells(C.top_share(d.where(F.col("chg").isNotNull()), "chg"), HS))
+    return C.top_share(d.where(F.col("chg").isNotNull()), "chg")
 
 
 view("mo_cells", _top_sql("panel0", "ma60_dist_pct", "date IN (SELECT date FROM weekly)"))
@@ -180,9 +205,12 @@ view("bh_cells", _top_sql("bh_rows", "chg"))
 
 @query("cel07_bigholder_cells", cell_sql("c7", "bh_cells", HS))
 def cel07(t):
+    return cell_out(C.evaluate_cells(bh_cells(t), HS))
+
+
+def bh_cells(t):
     d = C.point_change_rows(panel_mh(t), "big_holder_pct", 1, 1.0)
-    d = d.withColumn("chg", F.round("chg", 9))
-    return cell_out(C.evaluate_cells(C.top_share(d, "chg"), HS))
+    return C.top_share(d.withColumn("chg", F.round("chg", 9)), "chg")
 
 
 view("vg_rows", "SELECT g.date, g.entity, p.alpha10, p.alpha20, p.alpha40, g.composite FROM (" + legs_sql("legsw_in", "date, entity") + ") g JOIN panel0 p ON p.date=g.date AND p.entity=g.entity WHERE g.composite IS NOT NULL")
@@ -192,26 +220,36 @@ view("vg_cells", "SELECT * FROM (SELECT *, CASE WHEN rank() OVER (PARTITION BY d
 @query("cel08_valuation_cells", cell_sql("c8", "vg_cells", HS))
 def cel08(t):
     """The fifth of names furthest below their composite reference price against the fifth furthest above."""
-    gaps = V.gap_panel(t.ratios, t.prices, P.weekly_dates(t.prices), t.membership, t.broad, MINP).select("date", "entity", "composite").where("composite is not null")
-    d = panel_of(t).select("date", "entity", *_AL).join(gaps, ["date", "entity"])
-    return cell_out(C.evaluate_cells(C.two_tails(d, "composite"), HS))
+    return cell_out(C.evaluate_cells(vg_cells(t), HS))
+
+
+def vg_cells(t):
+    def build():
+        gaps = V.gap_panel(t.ratios, t.prices, P.weekly_dates(t.prices), t.membership, t.broad, MINP).select("date", "entity", "composite").where("composite is not null")
+        return C.two_tails(panel_of(t).select("date", "entity", *_AL).join(gaps, ["date", "entity"]), "composite")
+
+    return staged(t.spark, t.root, "valuation_cells", build)
 
 
 view("combo", "SELECT a.date, a.entity, a.alpha10, a.alpha20, a.alpha40, CASE WHEN a.cell='hit' AND b.cell='hit' THEN 'both_hit' WHEN b.cell='hit' THEN 'a_only_hit' WHEN a.cell='hit' THEN 'b_only_hit' ELSE 'neither' END AS cell FROM mo_cells a JOIN rot_cells b USING (date, entity)")
 
 
-@query("cel09_pairwise_combo", cell_sql("c9", "combo", (20,)))
+@query("cel09_pairwise_combo", cell_sql("c9", "combo", HS))
 def cel09(t):
-    return cell_out(C.evaluate_cells(C.combine_pairs(rot_cells(t), mo_cells(t)), (20,)))
+    return cell_out(C.evaluate_cells(C.combine_pairs(rot_cells(t), mo_cells(t)), HS))
 
 
 view("gr_cells", "SELECT s.*, CASE WHEN rk<=5 THEN 'top5' ELSE 'rest' END AS cell FROM srows s JOIN grank g USING (grp, date)")
 
 
-@query("cel10_group_rank_grid", cell_sql("c10", "gr_cells", (10, 20)))
+@query("cel10_group_rank_grid", cell_sql("c10", "gr_cells", HS))
 def cel10(t):
+    return cell_out(C.evaluate_cells(gr_cells(t), HS))
+
+
+def gr_cells(t):
     d = srows_of(t).join(C.group_ranks(weekly_trend(t)).select("grp", "date", "grp_rank"), ["grp", "date"])
-    return cell_out(C.evaluate_cells(d.withColumn("cell", F.when(F.col("grp_rank") <= 5, "top5").otherwise("rest")), (10, 20)))
+    return d.withColumn("cell", F.when(F.col("grp_rank") <= 5, "top5").otherwise("rest"))
 
 
 view("vel", "SELECT g.grp, g.date, g.rk AS rank_now, o.rk-g.rk AS rank_velocity FROM grank g JOIN (SELECT date, lag(date,2) OVER (ORDER BY date) AS pd FROM (SELECT DISTINCT date FROM grank)) d USING (date) JOIN grank o ON o.grp=g.grp AND o.date=d.pd")
@@ -225,19 +263,45 @@ def cel11(t):
     return C.rank_velocity(weekly_trend(t)).select("grp", iso("date").alias("date"), F.col("rank_now").cast("bigint").alias("rank_now"), F.col("rank_velocity").cast("bigint").alias("rank_velocity"))
 
 
-@query("cel11_rank_velocity_grid", cell_sql("c11", "vel_cells", (20,)))
+@query("cel11_rank_velocity_grid", cell_sql("c11", "vel_cells", HS))
 def cel11b(t):
-    return cell_out(C.evaluate_cells(C.velocity_cells(srows_of(t), weekly_trend(t)), (20,)))
+    return cell_out(C.evaluate_cells(vel_cells(t), HS))
+
+
+def vel_cells(t):
+    return staged(t.spark, t.root, "velocity_cells", lambda: C.velocity_cells(srows_of(t), weekly_trend(t)))
 
 
 view("ft_cells", "SELECT s.*, CASE WHEN rk<=5 THEN 'top5' WHEN r.recent THEN 'not_top5_triggered' ELSE 'not_top5_untriggered' END AS cell FROM srows s JOIN grank g USING (grp, date) JOIN recent r USING (grp, date)")
 
 
-@query("cel12_flow_trigger_grid", cell_sql("c12", "ft_cells", (10, 20)))
+@query("cel12_flow_trigger_grid", cell_sql("c12", "ft_cells", HS))
 def cel12(t):
+    return cell_out(C.evaluate_cells(ft_cells(t), HS))
+
+
+def ft_cells(t):
     d = srows_of(t).join(C.group_ranks(weekly_trend(t)).select("grp", "date", "grp_rank"), ["grp", "date"]).join(recent_of(t), ["grp", "date"])
-    cell = F.when(F.col("grp_rank") <= 5, "top5").when(F.col("recent"), "not_top5_triggered").otherwise("not_top5_untriggered")
-    return cell_out(C.evaluate_cells(d.withColumn("cell", cell), (10, 20)))
+    return d.withColumn("cell", F.when(F.col("grp_rank") <= 5, "top5").when(F.col("recent"), "not_top5_triggered").otherwise("not_top5_untriggered"))
+
+
+# ------------------------------------------------------------- every grid by regime and on test blocks
+
+_GRIDS = {
+    "cel04_rotation_flow": ("rf_cells", rf_cells), "cel04_flow": ("fl_cells", fl_cells), "cel05_margin": ("mg_cells", mg_cells), "cel06_momentum": ("mo_cells", mo_cells),
+    "cel07_bigholder": ("bh_cells", bh_cells), "cel08_valuation": ("vg_cells", vg_cells), "cel10_group_rank": ("gr_cells", gr_cells), "cel11_rank_velocity": ("vel_cells", vel_cells), "cel12_flow_trigger": ("ft_cells", ft_cells),
+}
+
+
+def with_regime(t, cells):
+    return cells.select("date", "cell", *_AL).join(F.broadcast(regime_of(t).select("date", F.col("regime_label").alias("regime"))), "date", "left")
+
+
+for _name, (_cells, _build) in _GRIDS.items():
+    _pre = _cells.split("_")[0]
+    view(f"{_pre}x", f"SELECT c.date, c.cell, {', '.join(f'c.{x}' for x in _AL)}, r.regime_label AS regime FROM {_cells} c LEFT JOIN regime r ON r.date=c.date WHERE c.cell IS NOT NULL")
+    query(f"{_name}_by_regime", regime_sql(f"{_pre}x", f"{_pre}x", HS))(lambda t, build=_build: regime_out(C.evaluate_cells_by_regime(with_regime(t, build(t)), HS)))
+    query(f"{_name}_walk_forward", walk_sql(f"{_pre}x", f"{_pre}x", HS))(lambda t, build=_build: walk_out(C.walk_forward_cells(build(t), HS)))
 
 
 view("lag_rows", """
