@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.exprs import iso, own_rows, r6, week_tag, with_scalar
@@ -141,16 +142,17 @@ def cal20b(t):
 
 @query("pan10_window_audit", """
 SELECT entity, strftime(date,'%Y-%m-%d') AS date, strftime(ed,'%Y-%m-%d') AS entry_date, ec AS entry_close, strftime(xd,'%Y-%m-%d') AS exit_date, xc AS exit_close, (SELECT count(*) FROM adj_al a WHERE a.entity=q.entity AND a.al>ed AND a.al<=xd) AS n_events, round((xc/ec-1)*100,6)+0.0 AS price_ret_pct
-FROM (SELECT entity, date, lead(date,1) OVER w AS ed, lead(close,1) OVER w AS ec, lead(date,6) OVER w AS xd, lead(close,6) OVER w AS xc FROM prices WINDOW w AS (PARTITION BY entity ORDER BY date)) q WHERE date=DATE '1998-03-02' AND xd IS NOT NULL""")
+FROM (SELECT entity, date, lead(date,1) OVER w AS ed, lead(close,1) OVER w AS ec, lead(date,6) OVER w AS xd, lead(close,6) OVER w AS xc FROM prices WINDOW w AS (PARTITION BY entity ORDER BY date)) q WHERE xd IS NOT NULL""")
 def pan10(t):
-    """Entry, exit and the events inside each window that starts on one day."""
+    """Entry, exit and the number of events inside the window of every start day: a difference of running counts, no join of windows and events."""
     w = own_rows()
-    q = t.prices.select("entity", "date", F.lead("date", 1).over(w).alias("ed"), F.lead("close", 1).over(w).alias("ec"), F.lead("date", 6).over(w).alias("xd"), F.lead("close", 6).over(w).alias("xc"))
-    q = q.where((F.col("date") == F.to_date(F.lit("1998-03-02"))) & F.col("xd").isNotNull())
-    ev = roll_forward(t.dividends.select("entity", "ex_date"), t.prices, "entity", "ex_date", "date", "al").select("entity", "al")
-    n = q.join(ev, "entity").where((F.col("al") > F.col("ed")) & (F.col("al") <= F.col("xd"))).groupBy("entity").agg(F.count(F.lit(1)).alias("n_events"))
-    return q.join(n, "entity", "left").select("entity", iso("date").alias("date"), iso("ed").alias("entry_date"), F.col("ec").alias("entry_close"), iso("xd").alias("exit_date"), F.col("xc").alias("exit_close"),
-                                             F.coalesce("n_events", F.lit(0)).alias("n_events"), r6((F.col("xc") / F.col("ec") - 1) * 100).alias("price_ret_pct"))
+    hit = roll_forward(t.dividends.select("entity", "ex_date"), t.prices, "entity", "ex_date", "date", "al").where("al is not null").groupBy("entity", F.col("al").alias("date")).agg(F.count(F.lit(1)).alias("c"))
+    p = t.prices.select("entity", "date", "close").join(hit, ["entity", "date"], "left")
+    p = p.withColumn("ev", F.sum(F.coalesce("c", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    q = p.select("entity", "date", *[F.lead(c, n).over(w).alias(f"{k}{c}") for k, n in (("e_", 1), ("x_", 6)) for c in ("date", "close", "ev")]).where("x_date is not null")
+    return q.select(
+        "entity", iso("date").alias("date"), iso("e_date").alias("entry_date"), F.col("e_close").alias("entry_close"), iso("x_date").alias("exit_date"), F.col("x_close").alias("exit_close"),
+        (F.col("x_ev") - F.col("e_ev")).alias("n_events"), r6((F.col("x_close") / F.col("e_close") - 1) * 100).alias("price_ret_pct"))
 
 
 view("adj_al", "SELECT entity, (SELECT min(date) FROM prices p WHERE p.entity=d.entity AND p.date>=d.ex_date) AS al FROM dividends d")

@@ -162,10 +162,10 @@ def src17(t):
 
 
 @query("src18_history_overlay", """
-SELECT strftime(coalesce(a.date,b.date),'%Y-%m-%d') AS date, coalesce(a.entity,b.entity) AS entity, CASE WHEN a.entity IS NOT NULL THEN 'official' ELSE 'deep' END AS src FROM (SELECT date, entity FROM flows WHERE date<=DATE '2000-12-31') a
-FULL JOIN (SELECT date, entity FROM prices WHERE date<=(SELECT max(date) FROM flows WHERE date<=DATE '2000-12-31')) b ON a.date=b.date AND a.entity=b.entity""")
+SELECT strftime(coalesce(a.date,b.date),'%Y-%m-%d') AS date, coalesce(a.entity,b.entity) AS entity, CASE WHEN a.entity IS NOT NULL THEN 'official' ELSE 'deep' END AS src FROM (SELECT date, entity FROM flows) a
+FULL JOIN (SELECT date, entity FROM prices WHERE date<=(SELECT max(date) FROM flows)) b ON a.date=b.date AND a.entity=b.entity""")
 def src18(t):
-    off = t.flows.where(F.col("date") <= F.to_date(F.lit("2000-12-31"))).select("date", "entity", F.lit("official").alias("src"))
+    off = t.flows.select("date", "entity", F.lit("official").alias("src"))
     return S.overlay_history(off, t.prices.select("date", "entity", F.lit("deep").alias("src"))).select(iso("date").alias("date"), "entity", "src")
 
 
