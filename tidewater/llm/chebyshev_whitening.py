@@ -34,7 +34,8 @@ LARGEST = 1 << 50
 
 def whole_numbers(vector: str) -> Column:
     """floor(64 c) + 1000000 of every entry, as long."""
-    return F.transform(F.col(vector), lambda c: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(c.cast("double") * 64).cast("long") + F.lit(1_000_000).cast("long"))))
+    held = lambda c: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), c.cast("double") * 64))
+    return F.transform(F.col(vector), lambda c: F.floor(held(c)).cast("long") + F.lit(1_000_000).cast("long"))
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
