@@ -103,6 +103,42 @@ def cand_of(t):
     return D.rule_candidates(X.latest_rows(spanel_of(t)), _RULES, 5.0, 60.0, 40)
 
 
+_FULL = [
+    {"name": "net20_low", "label": "ambush", "flow_z_col": "net_flow_20d_z", "z_threshold": 0.3, "modifier": "low"},
+    {"name": "for5_mom", "label": "breakout", "flow_z_col": "foreign_flow_5d_z", "z_threshold": 0.3, "modifier": "mom", "mom": "foreign_momentum_5d"},
+    {"name": "tru20_rev", "label": "reversal", "flow_z_col": "trust_flow_20d_z", "z_threshold": 0.0, "modifier": "none", "require_confirm": False},
+    {"name": "net5_rev", "label": "reversal", "flow_z_col": "net_flow_5d_z", "z_threshold": 0.0, "modifier": "none"},
+    {"name": "net5", "label": "ambush", "flow_z_col": "net_flow_5d_z", "z_threshold": 0.5, "modifier": "none"},
+]
+_FULL_LOW, _FULL_DROP, _FULL_BOOST, _FULL_LAG = 5.0, 5.0, 0.1, 0.0
+
+
+def _full_sql(i, r):
+    cond = [f"{r['flow_z_col']}>{r['z_threshold']}"]
+    cond += [f"above_low_60d_pct<={_FULL_LOW}"] if r["modifier"] == "low" else [f"{r['mom']}>0"] if r["modifier"] == "mom" else []
+    cond += [f"above_high_60d_pct<=-{_FULL_DROP}"] if r["label"] == "reversal" else []
+    cond += ["coalesce(confirm_buy,false)"] if r["label"] == "reversal" and r.get("require_confirm", True) else []
+    return f"SELECT s.entity, s.date, {i} AS o, '{r['name']}' AS name, '{r['label']}' AS label, '{D.LABELS[r['label']]}' AS shown, '{r['flow_z_col']}' AS col, {r['flow_z_col']} AS z, round(round({r['flow_z_col']}*{_room},9),3)+0.0 AS score, flow_momentum_20d AS mom, above_low_60d_pct AS lo, above_high_60d_pct AS hi, rs_subind_20d AS rs, coalesce(confirm_buy,false) AS confirm_buy FROM snap s LEFT JOIN confirm USING (entity) WHERE " + " AND ".join(cond)
+
+
+view("full_h", " UNION ALL ".join(_full_sql(i, r) for i, r in enumerate(_FULL)))
+view("full_l", "SELECT entity, string_agg(shown,'/' ORDER BY o) AS labels FROM (SELECT entity, shown, min(o) AS o FROM full_h GROUP BY 1,2) GROUP BY 1")
+view("full_r", "SELECT entity, string_agg(name,'/' ORDER BY o) AS rules FROM full_h GROUP BY 1")
+view("full_b", f"SELECT *, coalesce(score IS NOT NULL AND rs<{_FULL_LAG} AND label='ambush', false) AS boosted FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC NULLS LAST, o) AS k FROM full_h) WHERE k=1")
+
+
+@query("cal18_candidate_table", f"""
+SELECT entity, strftime(date,'%Y-%m-%d') AS date, label AS primary_label, shown AS primary_name, labels, rules, cp_score, col AS flow_z_col, flow_z, freshness, above_low_pct, above_high_pct, confirm_buy::INT AS confirm_buy, rs_subind, boosted::INT AS cp_boosted FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY cp_score DESC NULLS LAST, flow_z DESC NULLS LAST, entity) AS kk FROM (SELECT b.*, l.labels, r.rules, CASE WHEN boosted THEN round(round(score*{1 + _FULL_BOOST}::DOUBLE,9),3)+0.0 ELSE score END AS cp_score, round(round(z,9),2)+0.0 AS flow_z,
+    CASE WHEN coalesce(mom,0)>0 THEN '加速' WHEN coalesce(mom,0)<0 THEN '放緩' END AS freshness, round(round(lo,9),1)+0.0 AS above_low_pct, round(round(hi,9),1)+0.0 AS above_high_pct, round(round(rs,9),2)+0.0 AS rs_subind
+    FROM full_b b JOIN full_l l USING (entity) JOIN full_r r USING (entity))) WHERE kk<=40""")
+def cal18_full(t):
+    """Candidates with the laggard boost, the drop from the high and the confirmed purchase."""
+    confirm = W.recent_buy_confirm(t.prices, t.flows)
+    d = D.candidate_table(X.latest_rows(spanel_of(t)), confirm, _FULL, _FULL_LOW, _FULL_DROP, 60.0, 40, ("ambush",), _FULL_BOOST, _FULL_LAG)
+    return d.withColumns({"date": iso("date"), "confirm_buy": F.col("confirm_buy").cast("int"), "cp_boosted": F.col("cp_boosted").cast("int")})
+
+
 @query("cal18_rule_candidates", "SELECT * FROM cand")
 def cal18(t):
     return cand_of(t).select("entity", "primary_label", "rules", "cp_score", "flow_z")
