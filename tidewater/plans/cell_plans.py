@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewater.functions.exprs import iso, r6
+from tidewater.functions.exprs import iso, r6, with_scalar
 from tidewater.operators import cells as C
 from tidewater.operators import flows as W
 from tidewater.operators import momentum as M
@@ -428,6 +428,32 @@ def cel15c(t):
     return block_bootstrap(d, ["horizon"], "date", "v", 21).select("horizon", F.col("n_obs").alias("n_dates"), *[r6(x).alias(x) for x in ("mean", "ci_lo", "ci_hi")])
 
 
+split_views("gate_w", "foc_d", 21)
+view("gate_wf", "SELECT split_id, avg(v) AS m FROM foc_d JOIN gate_w ON date BETWEEN test_start AND test_end GROUP BY 1")
+view("gate_rg", "SELECT regime_label AS regime, avg(v) AS m, count(*) AS t FROM foc_d JOIN regime USING (date) WHERE regime_label IS NOT NULL GROUP BY 1 HAVING count(*)>=30")
+
+
+@query("sta15_contrarian_gate", """
+SELECT (ci_ok AND wf_ok AND regime_ok)::INT AS passed, round(ci_lo,6)+0.0 AS lift_lo, wf_pos, wf_valid, n_positive AS positive_regimes, defensive::INT AS defensive_ok, ci_ok::INT AS ci_ok, wf_ok::INT AS wf_ok, regime_ok::INT AS regime_ok FROM (
+  SELECT *, coalesce(ci_lo>0,false) AS ci_ok, wf_valid>0 AND wf_pos>=wf_valid*0.8::DOUBLE AS wf_ok, n_positive>=2 AND defensive AS regime_ok FROM (SELECT max(ci_lo) AS ci_lo FROM foc_ci) CROSS JOIN (SELECT count(*) FILTER (WHERE m>0) AS wf_pos, count(*) AS wf_valid FROM gate_wf)
+  CROSS JOIN (SELECT count(*) FILTER (WHERE m>0) AS n_positive, coalesce(bool_or(regime='防禦' AND m>0),false) AS defensive FROM gate_rg))""")
+def sta15_gate(t):
+    """Three thresholds at once on the daily lift of the focal bucket: interval above zero, test blocks, at least two regimes with the defensive one."""
+    from tidewater.operators import stats as S
+    from tidewater.operators.resample import block_bootstrap
+
+    day = cut(lifted(t).where(F.col("focal") & F.col("lift20").isNotNull()).groupBy("date").agg(F.avg("lift20").alias("v")))
+    ci = block_bootstrap(day.withColumn("horizon", F.lit(20)), ["horizon"], "date", "v", 21).agg(F.max("ci_lo").alias("ci_lo"))
+    blocks = S.in_test_block(day, S.walk_forward_splits(day, embargo=21)).groupBy("split_id").agg(F.avg("v").alias("m"))
+    walk = blocks.agg(F.count(F.when(F.col("m") > 0, 1)).alias("wf_pos"), F.count(F.lit(1)).alias("wf_valid"))
+    slices = day.join(F.broadcast(regime_of(t).select("date", "regime_label")), "date").where("regime_label is not null").groupBy("regime_label").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("t")).where("t >= 30")
+    regimes = slices.agg(F.count(F.when(F.col("m") > 0, 1)).alias("positive_regimes"), F.coalesce(F.max((F.col("regime_label") == "防禦") & (F.col("m") > 0)), F.lit(False)).alias("defensive"))
+    d = with_scalar(with_scalar(ci, walk), regimes)
+    ok = {"ci_ok": F.coalesce(F.col("ci_lo") > 0, F.lit(False)), "wf_ok": (F.col("wf_valid") > 0) & (F.col("wf_pos") >= F.col("wf_valid") * 0.8), "regime_ok": (F.col("positive_regimes") >= 2) & F.col("defensive")}
+    d = d.withColumns(ok)
+    return d.select((F.col("ci_ok") & F.col("wf_ok") & F.col("regime_ok")).cast("int").alias("passed"), r6("ci_lo").alias("lift_lo"), "wf_pos", "wf_valid", "positive_regimes", F.col("defensive").cast("int").alias("defensive_ok"), *[F.col(k).cast("int").alias(k) for k in ok])
+
+
 view("prelim", " UNION ALL ".join(f"SELECT date, alpha10, alpha20, alpha40, '{n}' AS flag, {c} AS on_flag FROM srows" for n, c in (("strong", "trend_score>=60"), ("lagging", "rs_subind<0"), ("inflow", "net_flow_z>0"))))
 view("prelim_l", " UNION ALL ".join(f"SELECT flag, {h} AS horizon, date, avg(CASE WHEN on_flag THEN alpha{h} END)-avg(alpha{h}) AS v, count(CASE WHEN on_flag THEN alpha{h} END) AS c, {C.block_snapshots(h)} AS blk FROM prelim WHERE alpha{h} IS NOT NULL GROUP BY flag, date" for h in (10, 20)))
 boot_views("prl", "prelim_l", ["flag", "horizon"], "blk")
