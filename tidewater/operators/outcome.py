@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.exprs import count_if, own_rows, share, with_scalar
 from tidewater.operators.asof import roll_forward
+from tidewater.operators.breach import first_below
 from tidewater.operators.order import exact_quantiles
 from tidewater.operators.panel import clean_prices, with_cumulative_dividends
+from tidewater.sources.staging import cut
 
 # fixed patterns: labels and day counts are masked, then the first number after a break sign is the price
 STOP_MASK = r"(?:MA|Ma|ma)\s*\d+|low_?\d+|\d+\s*日|\d+(?:\.\d+)?\s*%|\bT[1-9]\b"
@@ -105,34 +107,35 @@ def layer_summary(todate: DataFrame, keys: Sequence[str]) -> DataFrame:
 def stop_ledger(picks: DataFrame, prices: DataFrame, tolerance: float = 1.02) -> DataFrame:
     """First close below the stop, execution next row against execution after the next weekly review.
 
-    The entity's closes ride along as one calendar-bounded array; a pick never
-    turns into one row per later day.
+    The breach is looked up in blocks of minima (``first_below``); every later
+    close is a lead of the breach's own row, so no pick carries a history.
     """
-    px = clean_prices(prices).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("a"))
-    review = picks.select("data_date").distinct().agg(F.array_sort(F.collect_set("data_date")).alias("rv"))
-    d = with_scalar(picks.withColumn("stop_price", stop_price(F.col("stop"))).join(px, "entity", "left"), review)
-
-    def first(arr: Column, cond) -> Column:
-        return F.nullif(F.array_position(F.transform(arr, cond), F.lit(True)), F.lit(0).cast("bigint")).cast("int")
-
-    d = d.withColumn("i0", first(F.col("a"), lambda x: x["date"] > F.col("data_date")))
-    d = d.withColumn("entry_price", F.try_element_at("a", "i0")["close"])
-    usable = F.col("stop_price") <= F.col("entry_price") * tolerance
-    d = d.withColumn("sp", F.when(usable, F.col("stop_price")))
-    tail = F.slice("a", F.col("i0"), F.size("a"))
-    d = d.withColumn("si", F.when(F.col("sp").isNotNull() & F.col("i0").isNotNull(), F.col("i0") - 1 + first(tail, lambda x: x["close"] < F.col("sp"))))
-    d = d.withColumn("ci", F.when(F.col("si") < F.size("a"), F.col("si") + 1))
-    at = lambda i: F.try_element_at("a", i)
-    d = d.withColumns({"signal_date": at(F.col("si"))["date"], "cond_price": at(F.col("ci"))["close"]})
-    d = d.withColumn("review_date", F.try_element_at(F.filter("rv", lambda x: x > F.col("signal_date")), F.lit(1)))
-    d = d.withColumn("wi", F.when(F.col("review_date").isNotNull() & F.col("ci").isNotNull(), first(F.col("a"), lambda x: x["date"] > F.col("review_date"))))
-    pct = lambda i: (at(i)["close"] / F.nullif(F.col("cond_price"), F.lit(0.0)) - 1.0) * 100.0
+    w = own_rows()
+    at = lambda c, n: F.lead(c, n).over(w)
+    px = cut(clean_prices(prices).select(
+        "entity", F.col("date").alias("_date"), F.col("close").alias("_close"), F.row_number().over(w).alias("_i"),
+        at("close", 1).alias("_c1"), at("close", 6).alias("_c6"), at("close", 21).alias("_c21")))
+    d = roll_forward(picks.withColumn("_ek", F.date_add("data_date", 1)), px, "entity", "_ek", "_date", "_entry").drop("_ek")
+    first_row = px.select("entity", F.col("_date").alias("_entry"), F.col("_i").alias("_i0"), F.col("_close").alias("entry_price"))
+    d = d.join(first_row, ["entity", "_entry"], "left").withColumn("stop_price", stop_price(F.col("stop")))
+    d = d.withColumn("_sp", F.when(F.col("stop_price") <= F.col("entry_price") * tolerance, F.col("stop_price")))
+    d = first_below(d, px.select("entity", "_i", "_close"), "entity", "_i0", "_sp", "_si")
+    d = d.join(px.select("entity", F.col("_i").alias("_si"), F.col("_date").alias("signal_date"), F.col("_c1").alias("cond_price"), "_c6", "_c21"), ["entity", "_si"], "left")
+    # The review after each trading day: both sides are calendars.
+    one = F.lit(1).alias("_one")
+    days = px.select("_date", F.date_add("_date", 1).alias("_next"), one).distinct()
+    reviews = roll_forward(days, picks.select(F.col("data_date").alias("_review"), one).distinct(), "_one", "_next", "_review", "review_date")
+    d = d.join(F.broadcast(reviews.select(F.col("_date").alias("signal_date"), "review_date")), "signal_date", "left")
+    d = roll_forward(d.withColumn("_ek", F.date_add("review_date", 1)), px, "entity", "_ek", "_date", "_wd").drop("_ek")
+    known = F.col("review_date").isNotNull() & F.col("cond_price").isNotNull()
+    d = d.withColumn("_wd", F.when(known, F.col("_wd"))).join(px.select("entity", F.col("_date").alias("_wd"), F.col("_i").alias("_wi"), F.col("_close").alias("_wc")), ["entity", "_wd"], "left")
+    pct = lambda c: (F.col(c) / F.nullif(F.col("cond_price"), F.lit(0.0)) - 1.0) * 100.0
     status = (
-        F.when(F.col("i0").isNull(), "no_price").when(F.col("sp").isNull(), "unparsed").when(F.col("si").isNull(), "not_triggered")
-        .when(F.col("wi").isNull(), "pending_review").otherwise("measured"))
-    return d.withColumns({
-        "delay_td": F.col("wi") - F.col("ci"), "delay_cost_pct": F.when(F.col("wi").isNotNull(), pct(F.col("wi"))), "fwd_r5_pct": pct(F.col("ci") + 5),
-        "fwd_r20_pct": pct(F.col("ci") + 20), "status": status}).drop("a", "rv", "i0", "si", "ci", "wi", "sp")
+        F.when(F.col("_i0").isNull(), "no_price").when(F.col("_sp").isNull(), "unparsed").when(F.col("_si").isNull(), "not_triggered")
+        .when(F.col("_wi").isNull(), "pending_review").otherwise("measured"))
+    return d.select(
+        *picks.columns, "stop_price", "entry_price", "signal_date", "cond_price", "review_date", (F.col("_wi") - F.col("_si") - 1).alias("delay_td"),
+        pct("_wc").alias("delay_cost_pct"), pct("_c6").alias("fwd_r5_pct"), pct("_c21").alias("fwd_r20_pct"), status.alias("status"))
 
 
 def week_over_week(picks: DataFrame) -> DataFrame:
