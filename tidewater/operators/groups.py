@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from tidewater.operators.momentum import clipped_returns
 from tidewater.operators.order import average_ranks, exact_quantiles
 from tidewater.sources.staging import cut
 
+#: Names in a block and dates in a stretch of the Gram products: 4 MB a matrix.
+GRAM_NAMES = 512
+GRAM_DAYS = 1024
+
 
 def threshold_filter(df: DataFrame, rules: Sequence[tuple[str, float | None, float | None]], columns: Mapping[str, str]) -> DataFrame:
     """Conjunction of inclusive bounds from a rule list; an unmapped item is an error."""
@@ -153,21 +159,64 @@ def cluster_exposure(holdings: DataFrame, clusters: DataFrame) -> DataFrame:
     return with_scalar(g, n).withColumn("share", F.round(sh, 3)).withColumn("flagged", (F.col("n_held") > F.col("max_count")) | (sh > F.col("max_share"))).drop("_n")
 
 
+def _gram_edges(min_overlap: int, threshold: float):
+    """Two blocks of names with their returns -> the pairs across them that correlate at the threshold."""
+
+    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["block"] == key[0]], rows[rows["block"] == key[1]]
+        days = np.unique(np.concatenate([np.concatenate(part["days"].to_list()) for part in (left, right) if len(part)]))
+
+        def dense(part: pd.DataFrame, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            x, there = np.zeros((len(part), hi - lo)), np.zeros((len(part), hi - lo))
+            for i, (d, v) in enumerate(zip(part["days"], part["rets"])):
+                at = np.searchsorted(days, d) - lo
+                ok = (at >= 0) & (at < hi - lo)
+                x[i, at[ok]], there[i, at[ok]] = v[ok], 1.0
+            return x, there
+
+        n, sx, sy, sxx, syy, sxy = (np.zeros((len(left), len(right))) for _ in range(6))
+        for lo in range(0, len(days), GRAM_DAYS):
+            hi = min(lo + GRAM_DAYS, len(days))
+            (x, mx), (y, my) = dense(left, lo, hi), dense(right, lo, hi)
+            for total, (u, v) in zip((n, sx, sy, sxx, syy, sxy), ((mx, my), (x, my), (mx, y), (x * x, my), (mx, y * y), (x, y))):
+                total += u @ v.T
+        m = np.maximum(n, 1.0)
+        spread = np.sqrt(np.maximum(sxx / m - (sx / m) ** 2, 0.0) * np.maximum(syy / m - (sy / m) ** 2, 0.0))
+        rho = (sxy / m - sx * sy / m**2) / np.where(spread > 1e-12, spread, np.nan)
+        a, b = left["entity"].to_numpy(), right["entity"].to_numpy()
+        i, j = np.nonzero((n >= min_overlap) & (np.abs(rho) >= threshold) & ((a[:, None] < b[None, :]) if key[0] == key[1] else True))
+        swap = a[i] > b[j]
+        return pd.DataFrame({"a": np.where(swap, b[j], a[i]), "b": np.where(swap, a[i], b[j]), "n": n[i, j].astype("int64"), "rho": rho[i, j]})
+
+    return pairs
+
+
 def correlation_edges(prices: DataFrame, holdings: DataFrame, window: int, min_overlap: int, threshold: float) -> DataFrame:
     """Pairs of *held* names whose last-window returns correlate at least at the threshold.
 
-    The result is defined on pairs of one portfolio: every pair of it is an answer.
+    Blocked Gram products: names are dealt to blocks of ``GRAM_NAMES``, each
+    name is one row (its last ``window`` returns) that goes to every pair of
+    blocks it belongs to, and a pair of blocks is six matrix products over
+    stretches of ``GRAM_DAYS`` dates.  Only pairs at the threshold leave a
+    task; what moves is one row per name and block, not one per pair and date,
+    and a task holds two blocks.  Every pair is looked at, since names share
+    only part of their dates and no bound on the common part holds without it.
+    Names are integers; returns are taken from each name's own mean, which
+    changes no correlation and keeps the sums small.
     """
-    held = cut(holdings.select("entity").distinct())
+    held = cut(holdings.select("entity").where("entity is not null").distinct())
     r = clipped_returns(prices.join(held, "entity", "left_semi"))
     w = Window.partitionBy("entity").orderBy(F.desc("date"))
-    r = cut(r.withColumn("_b", F.row_number().over(w)).where(F.col("_b") <= window).select("entity", "date", "ret"))
-    a, b = r.select("date", F.col("entity").alias("a"), F.col("ret").alias("x")), r.select("date", F.col("entity").alias("b"), F.col("ret").alias("y"))
-    j = a.join(b, "date").where(F.col("a") < F.col("b"))
-    from tidewater.functions.exprs import pearson
-
-    g = j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("rho"))
-    return g.where((F.col("n") >= min_overlap) & (F.abs("rho") >= threshold))
+    r = r.withColumn("_b", F.row_number().over(w)).where(F.col("_b") <= window)
+    names = r.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(F.unix_date("date").alias("d"), "ret"))).alias("x"), F.avg("ret").alias("mean"))
+    blocks = held.agg(F.ceil(F.count(F.lit(1)) / GRAM_NAMES).alias("_blocks"))
+    block = F.pmod(F.xxhash64("entity"), F.col("_blocks")).cast("int")
+    names = cut(with_scalar(names, blocks).select(
+        "entity", block.alias("block"), F.transform("x", lambda v: v["d"]).alias("days"), F.transform("x", lambda v: v["ret"] - F.col("mean")).alias("rets"), "_blocks"))
+    dealt = names.withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int"))))
+    dealt = dealt.withColumns({"_lo": F.least("block", "_other"), "_hi": F.greatest("block", "_other")}).drop("_other", "_blocks")
+    kind = prices.schema["entity"].dataType.simpleString()
+    return dealt.groupBy("_lo", "_hi").applyInPandas(_gram_edges(min_overlap, threshold), f"a {kind}, b {kind}, n bigint, rho double")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,6 +157,33 @@ def bucket_ledger(returns: DataFrame) -> DataFrame:
     return e.join(F.broadcast(p), "hold", "left").withColumn("gap_pp", F.col("avg_return_pct") - F.col("picks_avg"))
 
 
+def recall_check(returns: DataFrame, picks: DataFrame, prefix: str, layer: str = "opportunity", min_picks: int = 10, min_weeks: int = 12) -> DataFrame:
+    """Tagged picks of a layer against its other picks, per hold, with one verdict.
+
+    ``returns`` has week, entity, layer, hold, status, return_pct, excess_pct,
+    ``picks`` week, entity, layer, thesis_tag.  ``eligible`` needs enough
+    tagged picks or enough weeks since the first of them up to the last week of
+    the ledger.  ``warn`` is set where both groups have matured rows on some
+    hold and the tagged ones have the lower mean excess *and* the lower win
+    rate on every such hold; an empty group never counts as worse.
+    """
+    mine = picks.where((F.col("layer") == layer) & F.coalesce(F.col("thesis_tag").startswith(prefix), F.lit(False))).select("week", "entity", "data_date").distinct()
+    last = picks.agg(F.max("data_date").alias("_last"))
+    head = mine.agg(F.countDistinct("week", "entity").alias("n_tagged"), F.min("data_date").alias("_first"))
+    head = with_scalar(head, last).select("n_tagged", F.floor(F.datediff("_last", "_first") / 7).alias("weeks_elapsed"))
+    eligible = (F.col("n_tagged") >= min_picks) | F.coalesce(F.col("weeks_elapsed") >= min_weeks, F.lit(False))
+    ok = returns.where((F.col("status") == "matured") & F.col("return_pct").isNotNull() & (F.col("layer") == layer))
+    keys = mine.select("week", "entity").distinct().withColumn("_tag", F.lit(True))
+    g = ok.join(keys, ["week", "entity"], "left").groupBy("hold").agg(*[
+        x for name, c in (("left", F.col("_tag").isNotNull()), ("other", F.col("_tag").isNull())) for x in (
+            count_if(c).alias(f"n_{name}"), F.avg(F.when(c, F.col("excess_pct"))).alias(f"alpha_{name}"), F.avg(F.when(c, (F.col("return_pct") > 0).cast("double"))).alias(f"win_{name}"))])
+    both = F.col("alpha_left").isNotNull() & F.col("alpha_other").isNotNull()
+    worse = both & (F.col("alpha_left") < F.col("alpha_other")) & (F.col("win_left") < F.col("win_other"))
+    verdict = g.agg(count_if(both).alias("n_comparable"), count_if(worse).alias("_worse"))
+    d = with_scalar(with_scalar(g, head), verdict)
+    return d.withColumn("eligible", eligible).withColumn("warn", F.col("eligible") & (F.col("n_comparable") > 0) & (F.col("_worse") == F.col("n_comparable"))).drop("_worse")
+
+
 def entry_context(prices: DataFrame, dates: DataFrame, pullback: int = 10, ma: int = 60) -> DataFrame:
     from tidewater.functions.exprs import roll_avg
 
@@ -201,6 +228,18 @@ def on_time(rows: DataFrame, now: Column, rewrite_days: int) -> DataFrame:
     return rows.where(now <= F.date_add("data_date", rewrite_days))
 
 
+def with_frozen(rows: DataFrame, factors: Mapping[str, DataFrame], date_col: str = "data_date") -> DataFrame:
+    """Rows with each factor's value of their own date, never of an earlier one; null where there is none.
+
+    ``factors`` maps a name to a table (entity, date, value).  A table with two
+    rows of one key would multiply rows, so callers compare counts before they write.
+    """
+    for name, table in factors.items():
+        key, day, value = table.columns[:3]
+        rows = rows.join(table.select(F.col(key).alias("entity"), F.col(day).alias(date_col), F.col(value).alias(name)), ["entity", date_col], "left")
+    return rows
+
+
 def known_quarter(d: Column) -> Column:
     """Index (year*4+quarter-1) of the latest quarter past its deadline at ``d``."""
     y = F.year(d)

@@ -25,6 +25,7 @@ from tidewater.plans.registry import query, view
 from tidewater.plans.stats_plans import boot_views
 from tidewater.plans.fair_value_plans import fair_value_panel
 from tidewater.plans.valuation_plans import MINP, latest_ratios
+from tidewater.sources.staging import cut as staging_cut
 from tidewater.sources.staging import stage_dir
 from tidewater.streaming import forms as T
 
@@ -41,7 +42,7 @@ for _s, _op in (("tr", "<"), ("te", ">=")):
 LEFT JOIN he_{_s} e ON e.entity=k.entity AND e.e BETWEEN d.p-15 AND d.p+15 WHERE d.p>=30 AND d.p<=(SELECT max(p) FROM hd_{_s})-15 GROUP BY 1,2""")
     view(f"hb_{_s}", f"SELECT count(*) FILTER (WHERE NOT coalesce(occ,false) AND nxt IS NOT NULL)::DOUBLE/count(*) FILTER (WHERE NOT coalesce(occ,false)) AS b FROM hsp_{_s}")
     view(f"hv_{_s}", f"SELECT job, count(*) AS n, count(nxt)/count(*)/(SELECT b FROM hb_{_s}) AS lift FROM hdt_{_s} t JOIN hd_{_s} d USING (date) JOIN hsp_{_s} s ON s.entity=t.entity AND s.p=d.p WHERE NOT coalesce(occ,false) GROUP BY 1")
-_HJ = {k: v for k, v in entity_jobs().items() if k.startswith(("net_flow_20d_z", "volume_z"))}
+_HJ = entity_jobs()
 view("hold_trig", " UNION ALL ".join(
     f"SELECT entity, date, '{n}' AS job FROM (SELECT entity, date, coalesce({c},false) AS h, lag(coalesce({c},false),1,false) OVER (PARTITION BY entity, date>=(SELECT d FROM cut70) ORDER BY date) AS p FROM spanel_m) WHERE h AND NOT p" for n, c in _HJ.items()))
 
@@ -85,6 +86,47 @@ def cal17(t):
     return x.select(F.col("label").alias("regime"), "n_events", F.col("n_obs").alias("n_dates"), r6("mean").alias("hit_rate"), r6(b).alias("base_rate"), r6(F.col("mean") / b).alias("lift"), r6(F.col("ci_lo") / b).alias("ci_lo"), r6(F.col("ci_hi") / b).alias("ci_hi"))
 
 
+# fixed values: the labels that a verdict across regimes looks at
+_QUALIFIED = ("進攻", "中性", "防禦")
+_MIN_TRIGGERS, _MIN_LIFT, _MIN_EVENTS = 8, 1.3, 30
+view("rs_sel", f"SELECT job FROM (SELECT t.job, count(*) AS n, count(nxt)/count(*)/(SELECT b FROM amb_base) AS lift FROM scan_trig t JOIN cal_days d USING (date) JOIN amb_spine s ON s.entity=t.entity AND s.p=d.p WHERE NOT coalesce(occ,false) GROUP BY 1) WHERE n>={_MIN_TRIGGERS} AND round(lift,9)>={_MIN_LIFT}")
+view("rsa_o", "SELECT t.job, t.date, (nxt IS NOT NULL)::INT::DOUBLE AS hit, coalesce(r.regime_label,'未標') AS label FROM scan_trig t JOIN cal_days d USING (date) JOIN amb_spine s ON s.entity=t.entity AND s.p=d.p LEFT JOIN regime r ON r.date=t.date WHERE NOT coalesce(occ,false) AND t.job IN (SELECT job FROM rs_sel)")
+view("rsa_d", "SELECT job, label, date, avg(hit) AS v FROM rsa_o GROUP BY 1,2,3")
+boot_views("rsab", "rsa_d", ["job", "label"], "16")
+view("rsa_t", "SELECT c.job, c.label, o.n_events, o.hits, c.n_obs, c.mean, b.b, o.hits/o.n_events/nullif(b.b,0) AS lift, c.ci_lo/nullif(b.b,0) AS lo, c.ci_hi/nullif(b.b,0) AS hi FROM rsab_ci c JOIN (SELECT job, label, count(*) AS n_events, sum(hit) AS hits FROM rsa_o GROUP BY 1,2) o USING (job, label) JOIN rs_base b USING (label)")
+
+
+@query("cal17_regime_slices_all", f"""
+SELECT job, label AS regime, n_events, n_obs AS n_dates, round(hits/n_events,6) AS hit_rate, round(b,6) AS base_rate, round(lift,6) AS lift, round(lo,6) AS ci_lo, round(hi,6) AS ci_hi, up AS n_above, down AS n_below, CASE WHEN up>=2 THEN '跨 regime 穩健（lift>1 同向）' WHEN down>=2 THEN '跨 regime 穩健（lift<1 同向＝跨 regime 否證）' WHEN bull AND up=1 THEN 'bull-only' WHEN nq=0 THEN '樣本不足' WHEN up=1 THEN '單一 regime 有效' ELSE '無 regime 桶 lift>1（方向未成立）' END AS verdict FROM rsa_t JOIN (
+  SELECT job, count(*) FILTER (WHERE q AND round(lift,9)>1) AS up, count(*) FILTER (WHERE q AND round(lift,9)<1) AS down, bool_or(q AND round(lift,9)>1 AND label='進攻') AS bull, count(*) FILTER (WHERE q) AS nq FROM (SELECT *, label IN {_QUALIFIED} AND n_events>={_MIN_EVENTS} AND lift IS NOT NULL AS q FROM rsa_t) GROUP BY 1) USING (job)""")
+def cal17_all(t):
+    """Every job of the scan with enough triggers and lift, by regime: hit rate of its events, lift against the regime's own base rate,
+    interval over date means, and in how many regimes with enough events the lift is above and below one."""
+    j = judge_of(t, "ambush", 15)
+    lab = regime_of(t).select("date", F.col("regime_label").alias("label"))
+    o = j.outcomes(triggers_of(t, "scan_trig", entity_jobs())).select("job", "date", "hit")
+    s = with_scalar(o.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("h")), j.base.select("base_rate"))
+    jobs = s.where((F.col("n") >= _MIN_TRIGGERS) & (F.round(F.col("h") / F.nullif(F.col("base_rate"), F.lit(0.0)), 9) >= _MIN_LIFT)).select("job")
+    o = o.join(F.broadcast(jobs), "job", "left_semi").join(F.broadcast(lab), "date", "left").withColumn("label", F.coalesce("label", F.lit("未標")))
+    # One row a job, label and date: the only rows that the statistics read.
+    d = staging_cut(o.groupBy("job", "label", "date").agg(F.avg(F.col("hit").cast("double")).alias("v"), F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("bigint")).alias("hits")))
+    n = d.groupBy("job", "label").agg(F.sum("n").alias("n_events"), F.sum("hits").alias("hits"))
+    x = block_bootstrap(d.select("job", "label", "date", "v"), ["job", "label"], "date", "v", 16).join(n, ["job", "label"]).join(j.base_by(lab), "label")
+    b = F.nullif(F.col("base_rate"), F.lit(0.0))
+    x = x.withColumn("lift", F.col("hits") / F.col("n_events") / b)
+    w = Window.partitionBy("job")
+    fit = F.col("label").isin(*_QUALIFIED) & (F.col("n_events") >= _MIN_EVENTS) & F.col("lift").isNotNull()
+    side = lambda c: F.count(F.when(fit & c, 1)).over(w)
+    above = F.round("lift", 9) > 1
+    up, down = side(above), side(F.round("lift", 9) < 1)
+    verdict = (
+        F.when(up >= 2, "跨 regime 穩健（lift>1 同向）").when(down >= 2, "跨 regime 穩健（lift<1 同向＝跨 regime 否證）").when((up == 1) & (side(above & (F.col("label") == "進攻")) == 1), "bull-only")
+        .when(side(F.lit(True)) == 0, "樣本不足").when(up == 1, "單一 regime 有效").otherwise("無 regime 桶 lift>1（方向未成立）"))
+    return x.select(
+        "job", F.col("label").alias("regime"), "n_events", F.col("n_obs").alias("n_dates"), r6(F.col("hits") / F.col("n_events")).alias("hit_rate"), r6("base_rate").alias("base_rate"), r6("lift").alias("lift"),
+        r6(F.col("ci_lo") / b).alias("ci_lo"), r6(F.col("ci_hi") / b).alias("ci_hi"), up.alias("n_above"), down.alias("n_below"), verdict.alias("verdict"))
+
+
 # ------------------------------------------------------------- candidates
 
 _RULES = [("net20", "ambush", "net_flow_20d_z", 0.3, "low"), ("for5", "breakout", "foreign_flow_5d_z", 0.3, "foreign_momentum_5d>0"), ("tru20", "reversal", "trust_flow_20d_z", 0.3, "above_high_60d_pct<=-5"), ("net5", "ambush", "net_flow_5d_z", 0.3, "")]

@@ -259,7 +259,7 @@ def grp08(t):
     return G.label_concentration(t.themes.withColumnRenamed("grp", "label"), 90, 0.8).withColumn("flagged", F.col("flagged").cast("int"))
 
 
-view("held", "SELECT DISTINCT entity FROM picks WHERE week>='1998-W01' AND week<='1998-W26'")
+view("held", "SELECT DISTINCT entity FROM picks")
 view("held_ret", "SELECT entity, date, ret FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS b FROM clipped WHERE entity IN (SELECT entity FROM held)) WHERE b<=250")
 view("edges", "SELECT a.entity AS a, b.entity AS b, count(*) AS n, corr(a.ret, b.ret) AS rho FROM held_ret a JOIN held_ret b ON a.date=b.date AND a.entity<b.entity GROUP BY 1,2 HAVING count(*)>=15 AND stddev_pop(a.ret)*stddev_pop(b.ret)>1e-12 AND abs(corr(a.ret,b.ret))>=0.3")
 
@@ -267,7 +267,7 @@ view("edges", "SELECT a.entity AS a, b.entity AS b, count(*) AS n, corr(a.ret, b
 def held_of(t):
     from tidewater.plans.outcome_plans import picks_of
 
-    return picks_of(t).where((F.col("week") >= "1998-W01") & (F.col("week") <= "1998-W26")).select("entity").distinct()
+    return picks_of(t).select("entity").distinct()
 
 
 @query("grp09_correlation_edges", "SELECT a, b, n, round(rho,6)+0.0 AS rho FROM edges")

@@ -151,6 +151,27 @@ def out08(t):
     return d.select("reason", "hold", "n", "n_beat_market", r6("avg_return_pct").alias("avg_return_pct"), r6("picks_avg").alias("picks_avg"), r6("gap_pp").alias("gap_pp"), worst.cast("int").alias("worst"))
 
 
+view("fwdp10", "SELECT entity, date AS entry_date, close AS entry_price, " + ", ".join(f"lead(date,{h}) OVER w AS x{h}, lead(close,{h}) OVER w AS c{h}, lead(cum_div,{h}) OVER w-cum_div AS d{h}" for h in (10, 20)) + " FROM px_div WINDOW w AS (PARTITION BY entity ORDER BY date)")
+view("fret10", " UNION ALL ".join(f"""SELECT week, e.entity, layer, {h} AS hold, (c{h}-entry_price)/entry_price*100+d{h}/entry_price*100 AS ret, (c{h}-entry_price)/entry_price*100+d{h}/entry_price*100-(m1.market_index-m0.market_index)/m0.market_index*100 AS excess
+  FROM entry e JOIN fwdp10 f ON f.entity=e.entity AND f.entry_date=e.entry_date JOIN mk_k m0 ON m0.date=e.entry_date AND m0.after>{h} LEFT JOIN mkt_index m1 ON m1.date=x{h} WHERE x{h} IS NOT NULL""" for h in (10, 20)))
+view("rchk", """SELECT hold, count(*) FILTER (WHERE entity%3=0) AS n_left, avg(excess) FILTER (WHERE entity%3=0) AS alpha_left, avg((ret>0)::INT) FILTER (WHERE entity%3=0) AS win_left,
+  count(*) FILTER (WHERE entity%3<>0) AS n_other, avg(excess) FILTER (WHERE entity%3<>0) AS alpha_other, avg((ret>0)::INT) FILTER (WHERE entity%3<>0) AS win_other FROM fret10 WHERE layer='opportunity' AND ret IS NOT NULL GROUP BY 1""")
+view("rchk_h", """SELECT count(*) FILTER (WHERE entity%3=0 AND layer='opportunity') AS n_tagged, CAST(floor(date_diff('day', min(data_date) FILTER (WHERE entity%3=0 AND layer='opportunity'), max(data_date))/7) AS BIGINT) AS weeks_elapsed FROM picks""")
+
+
+@query("out08_recall_check", f"""
+SELECT hold AS horizon_td, n_tagged, weeks_elapsed, n_left, round(alpha_left,6)+0.0 AS alpha_left, round(win_left,6)+0.0 AS win_left, n_other, round(alpha_other,6)+0.0 AS alpha_other, round(win_other,6)+0.0 AS win_other, (n_tagged>=10 OR weeks_elapsed>=12)::INT AS eligible,
+  ((n_tagged>=10 OR weeks_elapsed>=12) AND (SELECT count(*)>0 AND bool_and(alpha_left<alpha_other AND win_left<win_other) FROM rchk WHERE alpha_left IS NOT NULL AND alpha_other IS NOT NULL))::INT AS warn FROM rchk JOIN rchk_h ON true""")
+def out08_recall(t):
+    """Every third name of the opportunity layer bears the tag."""
+    tag = F.when(F.col("entity") % 3 == 0, F.lit("左側M-BR1 頂底")).otherwise("一般")
+    p = picks_of(t).withColumn("thesis_tag", tag)
+    s = p.select("week", "entity", "layer", F.col("data_date").alias("screened_at"))
+    d = O.recall_check(O.forward_returns(s, t.prices, t.dividends, index_of(t), (10, 20)), p, "左側M-BR1")
+    return d.select(F.col("hold").alias("horizon_td"), "n_tagged", "weeks_elapsed", "n_left", *[r6(x).alias(x) for x in ("alpha_left", "win_left")], "n_other", *[r6(x).alias(x) for x in ("alpha_other", "win_other")],
+                    F.col("eligible").cast("int").alias("eligible"), F.col("warn").cast("int").alias("warn"))
+
+
 view("ectx", """
 SELECT date, entity, (close/lag(close,10) OVER w-1)*100 AS rp, CASE WHEN count(*) OVER w60>=60 THEN (close/avg(close) OVER w60-1)*100 END AS md, close*volume/1e6 AS amount_m FROM prices WHERE close>0
 WINDOW w AS (PARTITION BY entity ORDER BY date), w60 AS (PARTITION BY entity ORDER BY date ROWS 59 PRECEDING)
@@ -367,3 +388,36 @@ def pck11(t):
     return F.broadcast(d).join(K.revenue_acceleration(t.revenue), "m").select(iso("date").alias("date"), "entity", r6("rev_accel").alias("rev_accel"))
 
 
+view("ff_arr", "SELECT *, CAST(right(week,2) AS INTEGER) AS wn FROM picks")
+view("ff_led", """
+SELECT week, entity, data_date, CASE WHEN day(data_date)%2=0 THEN 'second' ELSE 'first' END AS delivery FROM ff_arr WHERE day(data_date)%2=0 OR wn%5<>0
+""")
+
+
+@query("out12_frozen_ledger", """
+SELECT l.week, l.entity, l.delivery, round(c.mo,6)+0.0 AS mom_6_1, round(c.hn,6)+0.0 AS high52_near, round(e.eps_accel,9)+0.0 AS eps_accel, round(r.rev_accel,6)+0.0 AS rev_accel FROM ff_led l LEFT JOIN cfac c ON c.entity=l.entity AND c.date=l.data_date
+LEFT JOIN (SELECT w.date, e.entity, e.eps_accel FROM weekly w JOIN eacc e ON e.qi=""" + _KQ.format("w.date") + """) e ON e.entity=l.entity AND e.date=l.data_date
+LEFT JOIN (SELECT w.date, r.entity, r.rev_accel FROM weekly w JOIN racc r ON r.m=year(w.date)*12+month(w.date)-1-CASE WHEN day(w.date)>=11 THEN 1 ELSE 2 END) r ON r.entity=l.entity AND r.date=l.data_date""")
+def out12_frozen(t):
+    """Two deliveries of all weeks as streams of files.  Every fifth week comes too late at first; the second
+    delivery replaces the weeks whose date is even and comes too late for the others."""
+    from tidewater.sources.staging import stage_dir
+    from tidewater.streaming import forms as T
+
+    base = f"{stage_dir(t.spark)}/frozen-{uuid.uuid4().hex}"
+    p = picks_of(t).select("week", "data_date", "entity", "layer")
+    late = F.substring("week", -2, 2).cast("int") % 5 == 0
+    even = F.dayofmonth("data_date") % 2 == 0
+    d = P.weekly_dates(t.prices).select("date")
+    px = K.calendar_factors(t.prices, P.market_calendar(t.prices, 5), 9.0, (2, 1), 2, 60, (20,))
+    eps = F.broadcast(d.withColumn("qi", O.known_quarter(F.col("date")))).join(K.eps_acceleration(single_q(t), K.quarter_end_close(t.prices)), "qi")
+    rev = F.broadcast(d.withColumn("m", O.known_month(F.col("date")))).join(K.revenue_acceleration(t.revenue), "m")
+    factors = {n: staged(t.spark, t.root, f"frozen_{n}", lambda x=x, n=n: x.select("entity", "date", n)) for n, x in (("mom_6_1", px), ("high52_near", px), ("eps_accel", eps), ("rev_accel", rev))}
+    for name, days in (("first", F.when(late, 30).otherwise(3)), ("second", F.when(even, 10).otherwise(20))):
+        rows = p.withColumns({"delivery": F.lit(name), "now": F.date_add("data_date", days)})
+        rows.repartition("week").write.parquet(f"{base}/{name}")
+        came = t.spark.readStream.schema(rows.schema).parquet(f"{base}/{name}")
+        work = T.frozen_batch(f"{base}/ledger", f"{base}/refused/{name}", factors, 14)
+        came.writeStream.foreachBatch(work).option("checkpointLocation", f"{base}/c-{name}").trigger(availableNow=True).start().awaitTermination()
+    d = t.spark.read.schema(T.ledger_schema(rows, factors)).parquet(f"{base}/ledger")
+    return d.select("week", "entity", "delivery", r6("mom_6_1").alias("mom_6_1"), r6("high52_near").alias("high52_near"), r6("eps_accel", 9).alias("eps_accel"), r6("rev_accel").alias("rev_accel"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tidewater.operators.outcome import with_frozen
 from tidewater.sources.staging import cut, write_stage
 
 
@@ -137,6 +139,54 @@ def upsert_batch(path: str, part: str, keys: Sequence[str], by: Sequence[str]):
     return write
 
 
+def ledger_schema(rows: DataFrame, factors: Mapping[str, DataFrame]) -> StructType:
+    """Columns of a frozen ledger: those of the delivered rows without ``now``, the factors, then the week."""
+    mine = [f for f in rows.schema if f.name not in ("week", "now")]
+    return StructType([*mine, *[StructField(n, d.schema[d.columns[2]].dataType) for n, d in factors.items()], rows.schema["week"]])
+
+
+def frozen_batch(path: str, refused: str, factors: Mapping[str, DataFrame], rewrite_days: int):
+    """foreachBatch writer of a ledger whose weeks can be replaced until a deadline and are frozen after it.
+
+    Rows have week, data_date, entity, now (the day they came); a batch holds
+    whole weeks.  A week is written or replaced as a whole, with the factors of
+    its own date, if the last row's ``now`` is at most ``rewrite_days`` after
+    the earliest date it has in the ledger (or, not yet there, in the batch).
+    Refused, under ``refused`` by batch and reason, and left as it was, is a
+    week that is ``late``, has ``no_date``, has several dates or rows without
+    one (``dates``), or whose count changes when factors are joined, because a
+    factor has two rows of one key (``rows``).  A replayed batch gives the same
+    tables.  Columns of other names are kept.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = cut(batch)
+        weeks = new.groupBy("week").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("data_date").alias("_base"), F.countDistinct("data_date").alias("_dates"), F.count("data_date").alias("_dated"), F.max("now").alias("_now"))
+        try:
+            old = spark.read.schema(ledger_schema(batch, factors)).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only a missing table is a first batch
+                raise
+            old = new.limit(0)
+        had = old.join(new.select("week").distinct(), "week", "left_semi").groupBy("week").agg(F.count(F.lit(1)).alias("_had"), F.min("data_date").alias("_old"))
+        weeks = weeks.join(had, "week", "left").withColumn("_base", F.when(F.col("_had") > 0, F.col("_old")).otherwise(F.col("_base")))
+        full = cut(with_frozen(new, factors))
+        # Both counts are one row a week.
+        weeks = weeks.join(full.groupBy("week").agg(F.count(F.lit(1)).alias("_m")), "week", "left")
+        why = (
+            F.when(F.col("_base").isNull(), "no_date").when((F.col("_dates") != 1) | (F.col("_dated") != F.col("_n")), "dates")
+            .when(F.col("_now").isNull() | (F.col("_now") > F.date_add("_base", rewrite_days)), "late").when(F.col("_m") != F.col("_n"), "rows"))
+        weeks = cut(weeks.select("week", F.col("_n").alias("n_rows"), why.alias("reason")))
+        weeks.where("reason is not null").write.mode("overwrite").parquet(f"{refused}/batch={batch_id}")
+        good = full.join(weeks.where("reason is null").select("week"), "week", "left_semi")
+        names = ledger_schema(batch, factors).names
+        good.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
+
+    return write
+
+
 def on_time_stream(rows: DataFrame, ts: str, now_col: str, days: int) -> DataFrame:
     """Hard deadline as a filter; the watermark only bounds downstream state."""
     d = rows.withWatermark(ts, f"{days} days")
