@@ -49,3 +49,33 @@ def test_language_stage_without_known_languages():
     assert sorted(r.doc_id for r in got.collect()) == [1, 4] and got.columns == d.columns
     labelled = d.withColumn("lang", F.when(F.col("doc_id") == 3, "fr"))  # the only label is at a text without a letter
     assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, labelled, SF).collect()) == [1, 4]
+
+
+def test_language_stage_rejects_by_cosine():
+    spark = make_session("4", 4)
+    en = "the cat sat on the mat and looked at the moon over the quiet town while rain fell on the old road"
+    rows = [(i, en, "en", "a") for i in range(5)]
+    rows += [(10, "QZX" * 200, None, "a"), (11, "привет мир как твои дела сегодня вечером", None, "a"), (12, "qzx", None, "a"), (13, "the moon over the town", None, "a"), (14, "a. 5", None, "a"), (None, en, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")  # score clashes with an output
+    got = corpus_pipeline.known_language(spark, d, SF)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == sorted((x is None, x) for x in [*range(5), 12, 13, 14, None]) and {r.score for r in got.collect()} == {"a"}
+    assert corpus_pipeline.known_language(spark, d.limit(0), SF).collect() == []
+
+
+def test_copies_with_repeated_and_null_ids():
+    spark = make_session("4", 4)
+    words = [f"w{i}" for i in range(60)]
+    base, near, clean, long = " ".join(words), " ".join(words[:-1] + ["other"]), "quite another clean text of more than five words", " ".join(f"v{i}" for i in range(120_000))
+    rows = [(1, base, "x"), (1, base, "y"), (1, base, "y"), (5, near, "x"), (1, clean, "x"), (None, clean, "z"), (None, "a text without any id but six words", "x"), (7, None, "n"), (8, "", "n"), (9, long, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    once = corpus_pipeline.without_copies(spark, d, SF)
+    key = lambda r: tuple(str(x)[:80] for x in r)
+    want = [(1, base, "y"), (5, near, "x"), (1, clean, "x"), (None, "a text without any id but six words", "x"), (8, "", "n"), (9, long, "x")]
+    assert once.columns == d.columns and sorted(map(key, once.collect())) == sorted(map(key, want))
+    got = corpus_pipeline.without_near_copies(spark, once, SF)
+    want.remove((1, base, "y"))  # a near copy of the text of id 5; the clean text of id 1 stays
+    assert got.columns == d.columns and sorted(map(key, got.collect())) == sorted(map(key, want))
+    assert corpus_pipeline.without_near_copies(spark, d.limit(0), SF).collect() == [] and corpus_pipeline.without_copies(spark, d.limit(0), SF).collect() == []
+    tie = spark.createDataFrame([(3, base, "x"), (3, near, "x")], "doc_id long, text string, kept string")
+    assert corpus_pipeline.without_near_copies(spark, tie, SF).count() == 1

@@ -146,8 +146,10 @@ def predict(df: DataFrame, profiles: DataFrame, text: str = "text", dims: int =
 
     ``profiles`` comes from ``prototypes``; its one row per language (``dims``
     numbers, 8 KB) is gathered and broadcast: there are fewer than 8,000
-    language codes, so this stays below 64 MB however many documents there are.  A null text or one without a letter is `und`
-    with score 0; without any profile all are.  Of equal cosines the language
+    language codes, so this stays below 64 MB however many documents there are.  A null text or one
+    without a letter is `und` with score 0; without any profile all are.  Where
+    all letters of a text stand alone there is no trigram, so its cosines are
+    all 0.  Of equal cosines the language
     first by code point wins.  Input columns named like the outputs give way.
     """
     rows = sorted(profiles.collect(), key=lambda r: r["lang"])
@@ -170,7 +172,7 @@ def predict(df: DataFrame, profiles: DataFrame, text: str = "text", dims: int =
                     continue
                 cos = v @ unit.T / np.where(norm, norm, 1)[:, None]
                 best = cos.argmax(axis=1)
-                lang += [names[b] if n else "und" for b, n in zip(best, norm)]
+                lang += [names[b] if n or letters_of(x).any() else "und" for b, n, x in zip(best, norm, texts.iloc[at:at + 256])]
                 score += [float(min(1.0, max(0.0, c[b]))) if n else 0.0 for c, b, n in zip(cos, best, norm)]
             yield pd.DataFrame({"lang": lang, "score": score})
 

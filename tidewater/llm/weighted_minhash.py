@@ -352,14 +352,15 @@ def verified_links(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
             return links.select("a", "b", "weighted", "plain").distinct(), label
 
 
-def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """id, class_id, class_size, n_links and kept for every row.
+def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8, key: str | None = None) -> DataFrame:
+    """id, class_id, class_size, n_links and kept for every row, with the text's key where ``key`` names a column for it.
 
     Two texts are linked if the weighted or the plain Jaccard similarity of
     their five-word shingles (words: runs of 0-9, a-z and characters from \\x80
     on, A-Z lower-cased) is at least ``threshold``; equal texts belong together
     without a link.  class_id is the least id of the connected class (null ids
-    are left out of the least), kept marks the row of the largest id; n_links
+    are left out of the least), kept marks the row of the largest id, among those
+    of one id the text of the largest key (rows equal in both are all marked); n_links
     counts the links found at the row's text.  A text without words has no
     shingle and is only equal to itself; null counts as empty; texts of fewer
     than five words are one shingle.  Repeated rows get the same class; an
@@ -372,6 +373,8 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold
     links, label = verified_links(docs, threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = slim.select("id", text_key(F.col("text")).alias("node"))
-    rows = rows.join(label.join(degree, "node"), "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    of_class = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(of_class, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", F.col("id").eqNullSafe(F.col("last")).alias("kept"))
+    rows = rows.join(label.join(degree, "node"), "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    of_class = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.max(F.struct("id", "node")).alias("last"), F.count(F.lit(1)).alias("class_size"))
+    kept = F.col("id").eqNullSafe(F.col("last.id")) & (F.col("node") == F.col("last.node"))
+    more = [F.col("node").alias(key)] if key else []
+    return rows.join(of_class, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", kept.alias("kept"), *more)
