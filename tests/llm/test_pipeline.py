@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_operators import shingle_set
 from tests.session import make_session
+from tidewater.llm import hyper_language
 from tidewater.llm.common import documents
 from tidewater.sources.staging import write_stage
 
@@ -79,3 +80,11 @@ def test_copies_with_repeated_and_null_ids():
     assert corpus_pipeline.without_near_copies(spark, d.limit(0), SF).collect() == [] and corpus_pipeline.without_copies(spark, d.limit(0), SF).collect() == []
     tie = spark.createDataFrame([(3, base, "x"), (3, near, "x")], "doc_id long, text string, kept string")
     assert corpus_pipeline.without_near_copies(spark, tie, SF).count() == 1
+
+
+def test_lone_letters_get_a_learned_language():
+    spark = make_session("4", 4)
+    d = spark.createDataFrame([(1, "the cat sat here", "en"), (2, "le chat est ici", "fr")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "A."), (2, "5. é!"), (3, "12."), (4, None), (5, "le chat")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in hyper_language.predict(asked, hyper_language.prototypes(d)).collect()}
+    assert got[1] == got[2] == ("en", 0.0) and got[3] == got[4] == ("und", 0.0) and got[5][0] == "fr"
