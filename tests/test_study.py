@@ -130,3 +130,22 @@ def test_poisson_interval_against_plain_sums(spark):
         part = [(y, i) for k, y, i in rows if k == c and y is not None]
         means = sorted(sum(weight(i, r) * y for y, i in part) / sum(weight(i, r) for _, i in part) for r in range(n))
         assert got[c] == pytest.approx((means[int(n * 0.025)], means[int(n * 0.975) - 1]))
+
+
+def test_poisson_weights_of_a_block_of_rows():
+    ids = np.array([0, 1, 999, 7 * 100_003 + 9000, 60_000 * 100_003 + 9000, B.PRIME, 3 * B.PRIME - 1, -5])
+    got = B.poisson_weights(ids, 500, 20260710)
+    assert got.tolist() == [[weight(int(i), r) for r in range(500)] for i in ids]
+
+
+def test_poisson_interval_draws_the_rows_of_one_ident_together(spark, monkeypatch):
+    monkeypatch.setattr(B, "HELD", 2)
+    rnd, n = random.Random(4), 60
+    rows = [(h, c, rnd.gauss(1, 2), i) for i in range(400) for h in (5, 20) for c in (rnd.choice("abc"), None)]
+    d = spark.createDataFrame(rows, "h int, c string, y double, i long").withColumn("c", F.coalesce("c", F.lit("all")))
+    got = {(r["h"], r["c"]): (r["ci_lo"], r["ci_hi"]) for r in B.poisson_interval(d.repartition(3), ["h", "c"], "y", "i", n).collect()}
+    for h, c in got:
+        part = [(y, i) for g, k, y, i in rows if (g, k or "all") == (h, c)]
+        means = sorted(sum(weight(i, r) * y for y, i in part) / sum(weight(i, r) for _, i in part) for r in range(n))
+        assert got[h, c] == pytest.approx((means[int(n * 0.025)], means[int(n * 0.975) - 1]))
+    assert len(got) == 8

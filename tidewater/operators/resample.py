@@ -8,10 +8,13 @@ an md5 counter hash, which any engine can repeat.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewater.sources.staging import cut
 
@@ -104,12 +107,35 @@ PRIME = 2_147_483_647
 POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
 
 
-def squared(u: Column, odd: int, one: int) -> Column:
-    """One mixing step modulo the prime, which any engine can repeat."""
-    return (u * u + u * odd + one) % PRIME
+STEPS = ((16807, 7), (48271, 11), (69621, 13))
+#: Rows drawn at a time, so that their numbers stay in a core's cache, and keys whose sums a task holds.
+DRAWN, HELD = 32, 512
 
 
-STEPS = ((16807, 7), (48271, 11), (69621, 13))
+def poisson_weights(ident: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """The Poisson weight of every row (a whole number that names it) in every replicate, as SQL draws it."""
+    u = (np.mod(ident.astype(np.int64), PRIME) * 48271)[:, None] + ((np.arange(n_boot, dtype=np.int64) + seed) * 69621 + 1)
+    high = np.empty_like(u)
+
+    def fold() -> None:
+        """u modulo 2**31 - 1 without a division, the prime itself standing for zero."""
+        for _ in range(2):
+            np.right_shift(u, 31, out=high)
+            np.bitwise_and(u, PRIME, out=u)
+            np.add(u, high, out=u)
+
+    fold()
+    for odd, one in STEPS:
+        np.add(u, odd, out=high)
+        np.multiply(u, high, out=u)
+        np.add(u, one, out=u)
+        fold()
+    drawn = u.astype(np.int32)
+    w = np.zeros(u.shape, dtype=np.int8)
+    for t in POISSON:
+        w += (drawn >= t).view(np.int8)
+    w *= (drawn != PRIME).view(np.int8)
+    return w
 
 
 def poisson_interval(rows: DataFrame, keys: Sequence[str], value: str, ident: str, n_boot: int = 1000, seed: int = 20260710, alpha: float = 0.05) -> DataFrame:
@@ -118,19 +144,52 @@ def poisson_interval(rows: DataFrame, keys: Sequence[str], value: str, ident: st
     Every row draws its own Poisson weight in each replicate from a counter
     hash, so a replicate needs neither the number of rows nor their order: all
     replicates are one sum that is combined map-side, however many rows a key
-    has.  Keys with less than ten rows get a null interval.
+    has.  Rows of one ident that lie together (horizons, labels and totals of
+    one source row) are drawn once, and their sums are one matrix product.
+    Keys with less than ten rows get a null interval.
     """
     ks = list(keys)
-    d = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*ks, F.col(value).cast("double").alias("_y"), F.col(ident).alias("_id"))
+    d = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*ks, F.col(value).cast("double").alias("_y"), F.col(ident).cast("long").alias("_id"))
     size = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = (F.pmod(F.col("_id").cast("long"), F.lit(PRIME)) * 48271 + (F.col("_b").cast("long") + seed) * 69621 + 1) % PRIME
-    d = d.withColumn("_u", u)
-    for odd, one in STEPS:
-        d = d.withColumn("_u", squared(F.col("_u"), odd, one))
-    weight = sum(((F.col("_u") >= t).cast("int") for t in POISSON), F.lit(0))
-    d = d.withColumn("_w", weight)
-    means = d.groupBy(*ks, "_b").agg((F.sum(F.col("_w") * F.col("_y")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    out = StructType([d.schema[k] for k in ks] + StructType.fromDDL("_wy array<double>, _w array<double>").fields)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            part = pd.DataFrame([[*k, s[0], s[1]] for k, s in held.items()], columns=[f.name for f in out])
+            held.clear()
+            return part
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            labels = list(batch[ks].itertuples(index=False, name=None)) if ks else [()] * len(batch)
+            number: dict[tuple, int] = {}
+            code = np.array([number.setdefault(k, len(number)) for k in labels])
+            ids, at = np.unique(batch["_id"].to_numpy(np.int64), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            y, code, at = batch["_y"].to_numpy()[order], code[order], at[order]
+            total = {c: np.zeros((2, n_boot)) for c in range(len(number))}
+            for lo in range(0, len(ids), DRAWN):
+                w = poisson_weights(ids[lo:lo + DRAWN], n_boot, seed).astype(np.float64)
+                part = slice(*np.searchsorted(at, (lo, lo + DRAWN)))
+                used, col = np.unique(code[part], return_inverse=True)
+                m = np.zeros((2 * len(used), len(w)))
+                np.add.at(m, (2 * col, at[part] - lo), y[part])
+                np.add.at(m, (2 * col + 1, at[part] - lo), 1.0)
+                for c, s in zip(used, (m @ w).reshape(len(used), 2, n_boot)):
+                    total[c] += s
+            for k, c in number.items():
+                held[k] = held[k] + total[c] if k in held else total[c]
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    parts = d.mapInPandas(sums, out)
+    each = F.posexplode(F.arrays_zip("_wy", "_w")).alias("_b", "_x")
+    means = parts.select(*ks, each).groupBy(*ks, "_b").agg((F.sum("_x._wy") / F.nullif(F.sum("_x._w"), F.lit(0.0))).alias("_m"))
     order = Window.partitionBy(*ks).orderBy("_m")
     means = means.withColumn("_q", F.row_number().over(order) - 1)  # one row a replicate
     lo, hi = int(n_boot * (alpha / 2)), int(n_boot * (1 - alpha / 2)) - 1
