@@ -221,3 +221,16 @@ def test_upsert_partitions_is_idempotent(spark, tmp_path):
         O.upsert_partitions(rows, str(tmp_path / "t"), "week")
     O.upsert_partitions(spark.createDataFrame([("b", 3)], "week string, entity long"), str(tmp_path / "t"), "week")
     assert sorted((r["week"], r["entity"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_big_holder_changes_are_ranked_as_they_are(spark, monkeypatch):
+    from tidewater.plans import cell_plans as CP
+
+    pairs = [(10.2, 10.3), (5.1, 5.2), (30.4, 30.5), (7.7, 7.8), (2.2, 2.3), (50.0, 49.0)]
+    rows = [(e, day(i), p) for e, pair in enumerate(pairs) for i, p in enumerate(pair)]
+    panel = spark.createDataFrame(rows, "entity int, date date, big_holder_pct double")
+    monkeypatch.setattr(CP, "panel_mh", lambda t: panel)
+    got = {r["entity"] for r in CP.bh_cells(None).where("cell = 'hit'").collect()}
+    change = [b - a for a, b in pairs]
+    want = {e for e, c in enumerate(change) if sum(x > c for x in change) < 2}
+    assert len({round(c, 9) for c in change}) == 2 and got == want
