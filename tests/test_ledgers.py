@@ -130,3 +130,14 @@ def test_frozen_ledger_over_batches(spark, tmp_path):
     assert table() == {("a", 1, "new", 0.5), ("b", 3, "y", 1.5)} and refused(2) == set()
     send(3, [])
     assert len(table()) == 2
+
+
+def test_factors_of_a_frozen_ledger_are_not_broadcast(spark, tmp_path):
+    from tidewater.operators.outcome import with_frozen
+
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (2, dt.date(2024, 1, 5)), (1, dt.date(2024, 1, 12))], "entity int, data_date date")
+    spark.createDataFrame([(1, dt.date(2024, 1, 5), 0.5), (2, dt.date(2024, 1, 12), 0.7)], "entity int, date date, f double").write.parquet(f"{tmp_path}/f")
+    d = with_frozen(rows, {"f": spark.read.parquet(f"{tmp_path}/f")})
+    assert sorted(tuple(r) for r in d.select("entity", "data_date", "f").where("f is not null").collect()) == [(1, dt.date(2024, 1, 5), 0.5)]
+    assert d.count() == 3
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
