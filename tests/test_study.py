@@ -48,6 +48,21 @@ def test_permuted_is_a_bijection(spark):
         assert sorted(m.values()) == list(range(n)) and m == {x: place(x, n, key) for x in range(n)}
 
 
+def test_permuted_block_is_the_same_bijection():
+    for n in (1, 2, 3, 7, 10, 64, 130):
+        a = int(np.ceil(np.sqrt(n)))
+        got = U.permuted_block(np.arange(n)[:, None], n, np.array([[5, 77, 199 * 1_000_003 + 11_000]]), a, -(-n // a))
+        assert got.tolist() == [[place(x, n, k) for k in (5, 77, 199 * 1_000_003 + 11_000)] for x in range(n)]
+
+
+def test_permutations_are_counted_in_blocks_not_row_by_row(spark):
+    """One Python pass over blocks, no chain of interpreted steps for every row and permutation."""
+    rows = [("k", date(2020, 1, 1), e, float(e % 5 - 2), 1.0, -1.0) for e in range(9)]
+    d = U.convergence(spark.createDataFrame(rows, "c string, date date, entity int, f double, r double, a double"), ["c"], 1.0, 5)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "shiftleft" not in plan.split("MapInPandas")[0]
+
+
 def test_convergence_against_dealing_anew(spark):
     rnd, n_perm = random.Random(6), 25
     rows = [("k", date(2020, 1, d), e, rnd.choice([None, rnd.gauss(0, 2)]), rnd.gauss(0, 1), rnd.gauss(0, 1)) for d in (1, 2, 3) for e in range(rnd.choice([3, 90, 400]))]
