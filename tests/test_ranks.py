@@ -45,3 +45,15 @@ def test_daily_ic_shuffles_a_row_once(spark):
     for r in df.collect():
         x, y = zip(*[v[1:] for v in rows if v[0] == r["date"] and v[1] is not None])
         assert r["n"] == len(x) and r["ic"] == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], abs=1e-9)
+
+
+def test_quantile_rows_are_not_shuffled_to_find_their_cells(spark):
+    """The wanted cells, a few a group, are broadcast; before, every row was shuffled to meet them."""
+    rnd = random.Random(5)
+    rows = [(g, rnd.choice([None, 0.0, rnd.gauss(0, 5)])) for g in "ab" for _ in range(201)]
+    df = O.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"m": 0.5, "q": 0.9}, "n")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    for r in df.collect():
+        v = [x for g, x in rows if g == r["g"] and x is not None]
+        assert r["n"] == len(v) and [r["m"], r["q"]] == pytest.approx(list(np.quantile(v, [0.5, 0.9])))
