@@ -57,3 +57,17 @@ def test_quantile_rows_are_not_shuffled_to_find_their_cells(spark):
     for r in df.collect():
         v = [x for g, x in rows if g == r["g"] and x is not None]
         assert r["n"] == len(v) and [r["m"], r["q"]] == pytest.approx(list(np.quantile(v, [0.5, 0.9])))
+
+
+def test_flows_join_narrow_prices(spark, monkeypatch):
+    """Flows come along with the prices, so the wide panel is not shuffled once more to meet them."""
+    from tidewater.operators import panel as P
+
+    seen = []
+    monkeypatch.setattr(P, "cut", lambda df: seen.append(df.columns) or df)
+    days = [date(2020, 1, d) for d in range(1, 9)]
+    prices = spark.createDataFrame([(d, e, 10.0 + e, 5.0) for d in days for e in (1, 2)], "date date, entity long, close double, volume double")
+    div = spark.createDataFrame([], "entity long, ex_date date, cash double")
+    flows = spark.createDataFrame([(days[0], 1, 7, 8, 9)], "date date, entity long, foreign_net long, trust_net long, dealer_net long")
+    P.build_price_panel(prices, div, flows, horizons=(5,))
+    assert "foreign_net" in seen[0]
