@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from tidewater.functions.exprs import own_rows, roll_avg, roll_z, share, with_whole_z
 from tidewater.operators.flows import FLOW, MOM, NETS
 from tidewater.operators.momentum import market_index
+from tidewater.sources.staging import cut
 
 WINDOWS = (5, 20)
 
 
-def group_returns(baskets: DataFrame, membership: DataFrame, n: int) -> DataFrame:
-    """entity, date, subind_ret: mean basket return over the entity's own groups."""
+def group_returns(baskets: DataFrame, membership: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, grps), (grps, date, subind_ret): mean basket return over the groups of an entity.
+
+    Entities with the same groups share one series, so there is no row per
+    entity and calendar day.
+    """
     w = own_rows("grp")
     b = baskets.select("grp", "date", ((F.col("basket_index") / F.lag("basket_index", n).over(w) - 1) * 100).alias("_b"))
-    return membership.join(b, "grp").groupBy("entity", "date").agg(F.avg("_b").alias("subind_ret"))
+    of = membership.groupBy("entity").agg(F.array_sort(F.collect_list("grp")).alias("grps"))
+    sets = of.select("grps").distinct().select("grps", F.explode("grps").alias("grp"))
+    return of, cut(sets.join(b, "grp").groupBy("grps", "date").agg(F.avg("_b").alias("subind_ret")))
 
 
 def market_returns(index: DataFrame, n: int) -> DataFrame:
@@ -30,7 +37,7 @@ def market_returns(index: DataFrame, n: int) -> DataFrame:
 
 def build_stock_panel(prices: DataFrame, flows: DataFrame, membership: DataFrame, baskets: DataFrame, index: DataFrame | None = None,
                       short: int = 5, long: int = 20, ma_windows: Sequence[int] = (20, 60, 240), pos: int = 60, rs: int = 20) -> DataFrame:
-    """One shuffle on entity for every frame, one date join for the market, one for the groups.
+    """One shuffle on entity for every frame; market and groups come by small tables, which move no row.
 
     Windows of windows are staged selects; all share one partitioning and order.
     """
@@ -62,9 +69,10 @@ def build_stock_panel(prices: DataFrame, flows: DataFrame, membership: DataFrame
         *[(F.col(f"ret_{n}d") - (F.col(f"net_flow_{n}d_z") - F.lag(f"net_flow_{n}d_z", n).over(w))).alias(f"price_flow_div_{n}d") for n in wins],
     )
     idx = market_index(prices) if index is None else index
-    p = p.join(F.broadcast(market_returns(idx, rs)), "date", "left").join(group_returns(baskets, membership, rs), ["entity", "date"], "left")
+    of, grouped = group_returns(baskets, membership, rs)
+    p = p.join(F.broadcast(market_returns(idx, rs)), "date", "left").join(of, "entity", "left").join(grouped, ["grps", "date"], "left")
     r = F.col(f"ret_{rs}d")
-    return p.withColumns({f"rs_market_{rs}d": r - F.col("market_ret"), f"rs_subind_{rs}d": r - F.col("subind_ret")}).drop("market_ret", "subind_ret")
+    return p.withColumns({f"rs_market_{rs}d": r - F.col("market_ret"), f"rs_subind_{rs}d": r - F.col("subind_ret")}).drop("market_ret", "subind_ret", "grps")
 
 
 def coverage_meta(panel: DataFrame, flows: DataFrame, membership: DataFrame) -> DataFrame:

@@ -40,8 +40,17 @@ LEFT JOIN (SELECT entity, date, avg(b) AS sr FROM membership JOIN (SELECT grp, d
 """)
 
 
+def _spanel(t):
+    return X.build_stock_panel(t.prices, t.flows, t.membership, baskets_of(t), index_of(t))
+
+
 def spanel_of(t):
-    return staged(t.spark, t.root, "stock_panel", lambda: X.build_stock_panel(t.prices, t.flows, t.membership, baskets_of(t), index_of(t)))
+    return staged(t.spark, t.root, "stock_panel", lambda: _spanel(t))
+
+
+def latest_of(t):
+    """The latest row of every entity, for queries that read no other row: the panel is not written."""
+    return staged(t.spark, t.root, "stock_latest", lambda: X.latest_rows(_spanel(t)))
 
 
 _SPD = [f"{x}_z" for x in _FL] + ["volume_z_5d", "dom_20d", "above_low_60d_pct", "above_high_60d_pct", "above_ma20_pct", "above_ma60_pct", "above_ma240_pct",

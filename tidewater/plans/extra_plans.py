@@ -16,7 +16,7 @@ from tidewater.operators import stats as S
 from tidewater.operators import valuation as V
 from tidewater.operators.asof import roll_forward
 from tidewater.operators.resample import block_bootstrap
-from tidewater.plans.episode_plans import entity_jobs, episodes_of, judge_of, spanel_of, triggers_of
+from tidewater.plans.episode_plans import entity_jobs, episodes_of, judge_of, latest_of, spanel_of, triggers_of
 from tidewater.plans.flow_plans import rotation_of
 from tidewater.plans.outcome_plans import picks_of
 from tidewater.plans.panel_plans import panel_of, tr_targets
@@ -142,7 +142,7 @@ SELECT entity, label AS primary_label, rules, score AS cp_score, round(round(z,9
 
 
 def cand_of(t):
-    return D.rule_candidates(X.latest_rows(spanel_of(t)), _RULES, 5.0, 60.0, 40)
+    return D.rule_candidates(latest_of(t), _RULES, 5.0, 60.0, 40)
 
 
 _FULL = [
@@ -177,7 +177,7 @@ SELECT entity, strftime(date,'%Y-%m-%d') AS date, label AS primary_label, shown
 def cal18_full(t):
     """Candidates with the laggard boost, the drop from the high and the confirmed purchase."""
     confirm = W.recent_buy_confirm(t.prices, t.flows)
-    d = D.candidate_table(X.latest_rows(spanel_of(t)), confirm, _FULL, _FULL_LOW, _FULL_DROP, 60.0, 40, ("ambush",), _FULL_BOOST, _FULL_LAG)
+    d = D.candidate_table(latest_of(t), confirm, _FULL, _FULL_LOW, _FULL_DROP, 60.0, 40, ("ambush",), _FULL_BOOST, _FULL_LAG)
     return d.withColumns({"date": iso("date"), "confirm_buy": F.col("confirm_buy").cast("int"), "cp_boosted": F.col("cp_boosted").cast("int")})
 
 
@@ -207,12 +207,12 @@ _EP2 = [("foreign_flow_5d_z", "foreign_flow_20d_z"), ("net_flow_5d_z", "net_flow
 SELECT entity, sig AS early_signal, round(round(z,9),2)+0.0 AS short_z, round(round(lz,9),2)+0.0 AS long_z FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY z DESC) AS k FROM (
   SELECT entity, 'foreign_flow_5d_z' AS sig, foreign_flow_5d_z AS z, foreign_flow_20d_z AS lz, flow_decel FROM snap UNION ALL SELECT entity, 'net_flow_5d_z', net_flow_5d_z, net_flow_20d_z, flow_decel FROM snap) WHERE z>0.5 AND lz<0.8 AND flow_decel>=0) WHERE k=1""")
 def cal20(t):
-    return D.early_inflow(X.latest_rows(spanel_of(t)), _EP2, 0.5, 0.8)
+    return D.early_inflow(latest_of(t), _EP2, 0.5, 0.8)
 
 
 @query("cal20_overheat", "SELECT entity, round(round(above_high_60d_pct,9),1)+0.0 AS above_high_pct, concat_ws('＋','短窗減速',CASE WHEN price_flow_div_5d>0 THEN '量價背離' END,CASE WHEN volume_z_5d<0 THEN '量縮' END) AS reasons FROM snap WHERE above_high_60d_pct>=-8 AND flow_decel<0 AND (price_flow_div_5d>0 OR volume_z_5d<0)")
 def cal20b(t):
-    return D.overheat(X.latest_rows(spanel_of(t)))
+    return D.overheat(latest_of(t))
 
 
 # ------------------------------------------------------------- panel audits
