@@ -39,7 +39,35 @@ def test_market_median_does_not_shuffle_the_panel(spark):
     out = P.with_market_median(panel, (5,))
     top = out._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin [date" in top
+    assert "SortMergeJoin" not in top
     for r in out.collect():
         values = sorted(v for d, _, v in rows if d == r["date"])
         assert r["mkt_ew_r5"] == values[4] and r["alpha5"] == r["r5"] - values[4]
+
+
+def test_group_joins_do_not_shuffle_rows_by_entity(spark, tmp_path):
+    """Membership has a known size, so it is sent to the rows."""
+    from tidewater.sources.tables import Tables
+
+    root = str(tmp_path)
+    spark.createDataFrame([(e, e % 3) for e in range(30)], "s_suppkey long, s_nationkey int").write.parquet(f"{root}/supplier.parquet")
+    spark.createDataFrame([(i, f"n{i}", 0) for i in range(3)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{root}/nation.parquet")
+    spark.createDataFrame([(0, "r")], "r_regionkey int, r_name string").write.parquet(f"{root}/region.parquet")
+    t = Tables(spark, root)
+    for m in (t.membership, t.broad):
+        assert m.count() == 30 and int(str(m._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100_000
+    joined = t.membership.join(t.raw("supplier").selectExpr("s_suppkey as entity"), "entity")
+    assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relative_strength_on_some_days_is_that_of_all_days(spark):
+    from tidewater.operators import momentum as M
+
+    prices = spark.createDataFrame([(d, e, 50.0 + (e * 13 + i * 7) % 11) for e in range(6) for i, d in enumerate(days(8))], "date date, entity long, close double")
+    members = spark.createDataFrame([("ab"[e % 2], e) for e in range(6)], "grp string, entity long")
+    some = spark.createDataFrame([(days(8)[i],) for i in (4, 7)], "date date")
+    get = lambda df: {(r["date"], r["entity"], r["grp"]): r["rs_subind"] for r in df.collect()}
+    whole = get(M.rs_vs_group(prices, members, 3))
+    part = get(M.rs_vs_group(prices, members, 3, some))
+    assert set(part) == {k for k in whole if k[0] in (days(8)[4], days(8)[7])}
+    assert all(v == pytest.approx(whole[k], abs=1e-9) for k, v in part.items())
