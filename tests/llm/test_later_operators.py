@@ -182,6 +182,18 @@ def test_whitening_edges(spark):
     assert {r["component"] for r in flat} == {1} and len(flat) == 9
 
 
+def test_whitening_ends_after_few_passes_once_strong_components_are_locked(spark):
+    g = np.random.default_rng(16)
+    x = g.standard_normal((10_000, 64))
+    for j in range(2):
+        x += g.standard_normal((len(x), 1)) * (2 + j) / 4 * g.standard_normal(64)
+    rows = spark.createDataFrame([(x_i.tolist(),) for x_i in x], "embedding array<double>")
+    model = cw.fit(rows, "embedding")
+    assert model.passes < 100 and model.residual < 1e-12
+    _, _, _, e, u = fitted(x.tolist())
+    assert np.abs(model.values - e[:16]).max() < 1e-12 * e[0] and np.abs(np.abs(np.diag(model.vectors.T @ u[:, :16])) - 1).max() < 1e-10
+
+
 # Edit embedding
 
 

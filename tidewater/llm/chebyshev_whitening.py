@@ -201,10 +201,12 @@ def fit(df: DataFrame, vector: str, components: int = COMPONENTS, seed: int = 7)
         """Chebyshev polynomial of ``degree`` over [low, high], scaled to 1 at ``top``."""
         half, middle = (high - low) / 2, (high + low) / 2
         first = scale = half / (top - middle)
-        before, now = y, (product(y, riding) - middle * y) * (scale / half)
+        # Iterates stay outside the locked directions: to the product these are zeros of the spectrum, far below ``low``,
+        # so the polynomial would blow up the rounding that leaks into them.
+        before, now = y, outside((product(y, riding) - middle * y) * (scale / half))
         for _ in range(degree - 1):
             new = 1 / (2 / first - scale)
-            before, now = now, (product(now, riding) - middle * now) * (2 * new / half) - scale * new * before
+            before, now = now, outside((product(now, riding) - middle * now) * (2 * new / half) - scale * new * before)
             scale = new
         return now
 
