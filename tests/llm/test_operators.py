@@ -272,6 +272,21 @@ def test_block_links_are_all_links():
     assert want and sorted(got) == sorted(want)
 
 
+def test_weighted_minhash_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    g, n, made, write = np.random.default_rng(3), 400, [], weighted_minhash.write_stage
+    monkeypatch.setattr(weighted_minhash, "write_stage", lambda d, name: made.append(write(d, name)) or made[-1] if name == "pairs" else write(d, name))
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        text = list(words)
+        for at in g.choice(200, 3, replace=False):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    got = {x.doc_id: x.class_id for x in weighted_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(n)] == class_ids([text for _, text in rows])
+    assert sum(d.count() for d in made) < 30 * n
+
+
 def test_weighted_minhash_repeated_lines(spark):
     g = np.random.default_rng(21)
     texts = []

@@ -31,7 +31,8 @@ BANDS, ROWS = 10, 3
 #: Open texts of a bucket up to which each of them is compared with the whole bucket: in the first round, later.
 SMALL = 8, 16
 #: Leaders of a larger bucket in each round, and rounds after which its open texts are compared block by block.
-LEADERS, ROUNDS = 4, 3
+#: A text of a large group has one in each of its 2 * BANDS buckets, so that more of them make so many times more pairs.
+LEADERS, ROUNDS = 1, 3
 #: Texts and bytes of shingle sets of a block, and elements of a block pair that are multiplied at once.
 BLOCK_TEXTS, BLOCK_BYTES, BLOCK_ELEMENTS = 1024, 16 << 20, 4096
 #: New links between classes up to which one task joins them; more are joined by rounds of shuffles.
