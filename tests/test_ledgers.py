@@ -141,3 +141,28 @@ def test_factors_of_a_frozen_ledger_are_not_broadcast(spark, tmp_path):
     assert sorted(tuple(r) for r in d.select("entity", "data_date", "f").where("f is not null").collect()) == [(1, dt.date(2024, 1, 5), 0.5)]
     assert d.count() == 3
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frozen_ledger_holds_all_names_with_whole_windows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+    from tests.oracle_check import compare, table
+
+    rnd = random.Random(9)
+    lines = [(o * 1000 + i, o, 1, i % 3 + 1, float(rnd.randint(1, 50)), 40000.0 + 3000 * o + 10 * min(i, 400 - i) + rnd.randint(0, 50), rnd.choice([0.0, 0.05, 0.1]), 0.02, rnd.choice("NRA"), rnd.choice("FO"), dt.datetime(2020, 1, 1) + dt.timedelta(days=i))
+             for o in range(1, 10) for i in range(300 if o < 9 else 120)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+        "supplier": ([(o, o % 2, 100.0) for o in range(1, 10)], "s_suppkey long, s_nationkey int, s_acctbal double"),
+        "nation": ([(0, "a", 0), (1, "b", 0)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(0, "r")], "r_regionkey int, r_name string")}
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    d = entry.queries()["out12_frozen_ledger"](spark, str(tmp_path))
+    got = d.collect()
+    per_week = {w: sum(r["week"] == w for r in got) for w in {r["week"] for r in got}}
+    assert max(per_week.values()) == 9 and {r["entity"] for r in got} == set(range(1, 10))
+    assert any(r["mom_6_1"] is not None for r in got) and any(r["high52_near"] not in (None, 1.0) for r in got)
+    cur = con.execute(entry.oracle_sql()["out12_frozen_ledger"])
+    assert compare(table(d.columns, got), table([x[0] for x in cur.description], cur.fetchall())) is None
