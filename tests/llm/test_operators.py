@@ -398,6 +398,35 @@ def test_image_tables_hold_pairs_within_24_bits_and_noisy_copies(spark):
     assert all(i == j for i, j in got | got_small)
 
 
+def test_image_pairs_stay_in_tasks_of_bounded_size(spark, monkeypatch):
+    g = np.random.default_rng(23)
+    vectors = [(i, [float(x) for x in g.normal(0, 0.15, 64)]) for i in range(40)]
+    d = spark.createDataFrame(vectors, "id long, v array<double>")
+    asked, base = (image_features.pictures(x, "id", "v", e) for x, e in ((d.where("id % 4 = 0"), True), (d, False)))
+    whole = sorted(map(tuple, image_features.copies(asked, base).collect()))
+    for name, size in (("BLOCK", 100), ("SLICE", 300), ("PAIRS", 50)):  # many tasks and stretches, one image or row at a time
+        monkeypatch.setattr(image_features, name, size)
+    found = image_features.copies(asked, base)
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) >= 9
+    # pairs are not joined by Spark, and neither side of their search is broadcast
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Generate explode" in plan and "_block" in plan and "flip" not in plan
+    # the pairs of the tables and of brute force, both within the distance
+    q, b = (image_features.index(x)[1] for x in (asked, base))
+    got = {(x.q_row, x.b_row) for x in image_features.near_pairs(q, b, 24).collect()}
+    x, y = ([(r.row, np.array([r.w0, r.w1, r.w2, r.w3], np.int64).view(np.uint64)) for r in t.collect()] for t in (q, b))
+
+    def share_a_table(u, v):
+        bits = np.bitwise_count(image_features.words_of(np.array([u]))[:, 0] ^ image_features.words_of(np.array([v]))[:, 0])
+        return bits.min() <= 1
+
+    at = np.stack([v for _, v in y])
+    want = set()
+    for r, u in x:
+        want |= {(r, y[i][0]) for i in np.nonzero(np.bitwise_count(at ^ u).sum(axis=1) <= 24)[0] if share_a_table(u, at[i])}
+    assert got == want and len(want) > 100
+
+
 def test_image_query_says_which_rows_are_equal(spark, tmp_path):
     g = np.random.default_rng(17)
     vectors = [(i, [float(x) for x in g.normal(0, 0.15, 64)]) for i in range(1, 6)]
