@@ -1,5 +1,6 @@
 """What the entity panels move: no row per entity and calendar day, no second shuffle of wide rows."""
 
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -71,3 +72,66 @@ def test_relative_strength_on_some_days_is_that_of_all_days(spark):
     part = get(M.rs_vs_group(prices, members, 3, some))
     assert set(part) == {k for k in whole if k[0] in (days(8)[4], days(8)[7])}
     assert all(v == pytest.approx(whole[k], abs=1e-9) for k, v in part.items())
+
+
+def test_rows_of_an_entity_are_shuffled_once_for_dividends_flows_and_windows(spark):
+    schema = "date date, entity long, close double, volume double"
+    px = [(d, e, 10.0 + e + i, 5.0) for i, d in enumerate(days(9)) for e in (1, 2, 3)] + [(days(9)[2], None, 4.0, 1.0), (None, 2, 4.0, 1.0), (days(9)[4], 1, 77.0, 1.0)]
+    div = [(1, days(9)[1], 2.0), (1, days(9)[1], 0.5), (2, date(2023, 12, 1), 1.0), (3, date(2024, 3, 1), 9.0), (None, days(9)[2], 3.0)]
+    nets = [(days(9)[3], 1, 7), (days(9)[4], 1, 8), (days(9)[2], None, 6), (date(2024, 3, 1), 2, 5)]
+    prices, flows = spark.createDataFrame(px, schema), spark.createDataFrame(nets, "date date, entity long, foreign_net long")
+    d = P.with_cumulative_dividends(prices, spark.createDataFrame(div, "entity long, ex_date date, cash double"), flows)
+    plan = P.forward_levels(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(entity") <= 4 and "hashpartitioning(entity#" in plan
+    got = sorted(map(str, d.where("date is not null and entity is not null").collect()))
+    net = {(x, e): v for x, e, v in nets}
+    paid = {1: days(9)[1], 2: days(9)[0]}
+    cash = {1: 2.5, 2: 1.0}
+    want = [spark.createDataFrame([(x, e, c, v, net.get((x, e)), cash[e] if e in paid and x >= paid[e] else 0.0)], schema + ", foreign_net long, cum_div double").first() for x, e, c, v in px if x and e and c != 77.0]
+    assert len(got) == 28 and set(map(str, want)) <= set(got)
+    assert d.where("entity is null or date is null").where("foreign_net is not null").count() == 0
+
+
+def test_the_wide_panel_is_not_written(spark, monkeypatch):
+    """Medians of a date and returns against them are left to the reader: what is written has the rows' own columns."""
+    seen = []
+    monkeypatch.setattr(P, "cut", lambda df: seen.append(df.columns) or df)
+    prices = spark.createDataFrame([(d, e, 10.0 + e, 5.0) for d in days(9) for e in (1, 2, 3)], "date date, entity long, close double, volume double")
+    members = spark.createDataFrame([("a", 1), ("b", 2)], "grp string, entity long")
+    panel = P.build_price_panel(prices, spark.createDataFrame([], "entity long, ex_date date, cash double"), None, members, horizons=(2,))
+    assert {"alpha2", "mkt_ew_r2", "sub_industry"} <= set(panel.columns) and len(seen) == 2
+    assert "sub_industry" in seen[0] and not any("alpha2" in x for x in seen)
+
+
+def test_daily_ranks_shuffle_wide_rows(spark, tmp_path, monkeypatch):
+    """Rows go by date before they become one per factor and target."""
+    from tidewater.operators import stats as S
+    from tidewater.plans import stats_plans as SP
+
+    rows = [(d, e, float(e), float(e % 4), float(e * i % 7), float(e % 5), float(-e)) for i, d in enumerate(days(3)) for e in range(12)]
+    panel = spark.createDataFrame(rows, "date date, entity long, ma20_dist_pct double, ma60_dist_pct double, vol_ratio double, alpha5 double, alpha20 double")
+    monkeypatch.setattr(SP, "panel_of", lambda t: panel)
+    keys, plans, found = ["factor", "target"], [], []
+    for by_date in (False, True):
+        d = S.daily_ic(SP.long_of(None, by_date=by_date), keys, "x", "y")
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        found.append(sorted(map(tuple, d.selectExpr("factor", "target", "date", "round(ic, 9)", "n").collect())))
+    assert found[0] == found[1] and len(found[0]) == 16  # vol_ratio is constant on the first day
+    assert "hashpartitioning(date" in plans[1] and "hashpartitioning(factor" not in plans[1] and "hashpartitioning(factor" in plans[0]
+
+
+def test_breadth_shuffles_a_row_once(spark):
+    from tidewater.operators import flows as W
+
+    fi = spark.createDataFrame([(e, i, (e * i) % 5 - 2, i % 3 - 1) for e in range(4) for i in range(9)], "entity long, idx long, total_net long, foreign_net long")
+    members = spark.createDataFrame([("a", e) for e in range(4)], "grp string, entity long")
+    d = W._breadth(fi, members, None)
+    assert not re.search(r"hashpartitioning\(entity#\d+L, idx", d._jdf.queryExecution().executedPlan().toString())
+    on, want = {}, {}
+    for e in range(4):
+        net = {i: (e * i) % 5 - 2 for i in range(9)}
+        state = [int(sum(net.get(j, 0) for j in range(i - 4, i + 1)) > 0) for i in range(14)]
+        for i in range(14):
+            want[i] = want.get(i, 0) + state[i] - (state[i - 1] if i else 0)
+    got = {r["idx"]: r["d_flow_breadth_5d"] for r in d.collect()}
+    assert {i: v for i, v in got.items() if v} == {i: v for i, v in want.items() if v}
