@@ -135,3 +135,40 @@ def test_breadth_shuffles_a_row_once(spark):
             want[i] = want.get(i, 0) + state[i] - (state[i - 1] if i else 0)
     got = {r["idx"]: r["d_flow_breadth_5d"] for r in d.collect()}
     assert {i: v for i, v in got.items() if v} == {i: v for i, v in want.items() if v}
+
+
+def test_pool_joins_rows_of_the_weeks_only(spark, tmp_path, monkeypatch):
+    """The days between are gone before the pool's rows are joined; lags and lows still see them."""
+    from tidewater.plans import cell_plans, outcome_plans as OP
+    from tidewater.sources.tables import Tables
+
+    closes = {d: 50.0 + (i * 7) % 11 for i, d in enumerate(days(20))}
+    panel = spark.createDataFrame([(d, 1, c, 2e6, 0.1, 1.0) for d, c in closes.items()], "date date, entity long, close double, volume double, ma20_dist_pct double, vol_ratio double")
+    fridays = [d for d in closes if d.isocalendar()[2] == 5]
+    weeks = spark.createDataFrame([(d,) for d in fridays], "date date")
+    rows = spark.createDataFrame([(d, 1, "a", 0.5, 60.0) for d in fridays], "date date, entity long, grp string, ma60_dist_pct double, trend_score double")
+    spark.createDataFrame([(1, 500.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    plans = []
+    monkeypatch.setattr(OP, "panel_of", lambda t: panel)
+    monkeypatch.setattr(OP.P, "weekly_dates", lambda p: weeks)
+    monkeypatch.setattr(cell_plans, "srows_of", lambda t: rows)
+    monkeypatch.setattr(OP, "staged", lambda s, r, n, build: plans.append(build()) or plans[-1])
+    t = Tables(spark, str(tmp_path))
+    t.__dict__["prices"] = None
+    d = OP.pool_of(t)
+    assert "_wk" in d._jdf.queryExecution().optimizedPlan().toString()
+    for r in d.collect():
+        own = [c for x, c in closes.items() if x <= r["date"]]
+        assert r["low_60d"] == min(own) and r["close"] == own[-1] and r["amount_million"] == own[-1] * 2 and r["price_discontinuity"] == (abs(own[-1] / own[-2] - 1) * 100 > 9)
+    assert len(d.collect()) == len(fridays)
+
+
+def test_an_entity_listed_twice_counts_once_in_the_median(spark):
+    prices = spark.createDataFrame([(d, e, 10.0 + i * e, 5.0) for i, d in enumerate(days(5)) for e in (1, 2, 3)], "date date, entity long, close double, volume double")
+    flows = spark.createDataFrame([(days(5)[0], 1, 7, 8, 9)], "date date, entity long, foreign_net long, trust_net long, dealer_net long")
+    div = spark.createDataFrame([], "entity long, ex_date date, cash double")
+    once = [(1, "m"), (2, "m"), (3, "m")]
+    at = lambda mk: P.build_price_panel(prices, div, flows, None, spark.createDataFrame(mk, "entity long, market string"), horizons=(1,)).where(f"date = '{days(5)[0]}'").collect()
+    a, b = at(once), at([*once, (3, "m"), (3, "z")])
+    assert (len(a), len(b)) == (3, 5) and "_again" not in a[0].asDict()
+    assert {r["mkt_ew_r1"] for r in a} == {r["mkt_ew_r1"] for r in b} and len({r["alpha1"] for r in b}) == 3
